@@ -9,8 +9,8 @@
    triangle inequality, a pair whose largest coordinate difference is over r cannot link and is discarded; survivors
    are verified by their exact distance. The search walks the bucket breadth first and never looks again at a
    fingerprint it has reached: it returns at most one edge per member (a spanning forest), not all pairs.
-5. A bucket with more than `bucket_rows` members is dealt again: of its 32 other bits in 8 blocks of 4, at least 5
-   agree, which makes C(8, 5) = 56 keys. Then 12 bits are left, so no bucket can hold over 4,096 members. Exact.
+5. A bucket with more than `bucket_rows` members is dealt again: of its other bits in 8 groups, at least 5
+   agree, which makes C(8, 5) = 56 keys. At most 13 bits are left, so no bucket can hold over 8,192 members. Exact.
 6. Components of the edges by alternating large and small stars, written to the shared folder each round.
 """
 

@@ -145,7 +145,7 @@ class TrieBpe:
         if self._split is not None and "<|" in text and len(parts := self._split.split(text)) > 1:
             return [c for k, part in enumerate(parts) for c in (["\0" + part] if k % 2 else self.chunks_of(part))]
         low = self._lowered(text)
-        if "\0" in low or any(c in low for c in "\x1c\x1d\x1e\x1f"):
+        if any(c in low for c in "\0\1\x1c\x1d\x1e\x1f"):
             return ["\1" + c for c in _WHITE.split(low) if c]
         return low.split()
 
