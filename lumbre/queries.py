@@ -745,7 +745,7 @@ def finance_values(spark, d):
     return rounded(out, "futuro", "presente")
 
 
-@query("SELECT count(*) AS filas, round(sum(p_retailprice * (1 + 0.05 * p_size)), 2) AS interes_total FROM part")
+@query("SELECT count(*) AS filas, CAST(round(sum(CAST(p_retailprice AS DECIMAL(18, 4)) * CAST(1 + CAST(0.05 AS DECIMAL(4, 2)) * p_size AS DECIMAL(8, 2))), 2) AS DOUBLE) AS interes_total FROM part")
 def simple_interest(spark, d):
     t = table(spark, d, "part").select("p_retailprice", F.lit(0.05).alias("tasa"), "p_size")
     return finance.simple_interest_total(t, "p_retailprice", "tasa", "p_size").select("filas", F.round(F.col("interes_total").cast("double"), 2).alias("interes_total"))
