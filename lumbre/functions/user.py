@@ -7,6 +7,7 @@ A function without recursion becomes one Catalyst expression: its statements are
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -41,6 +42,7 @@ class Program:
 
     def call(self, name: str, *arguments: float) -> float:
         """The value for given numbers; a function that doesn't return gives 0."""
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 40 * MAX_DEPTH))
         return self._invoke(name, [float(a) for a in arguments], 0)
 
     def _function(self, name: str, count: int) -> Function:
@@ -113,9 +115,6 @@ class Program:
 
             @F.pandas_udf("double")
             def run(*columns: pd.Series) -> pd.Series:
-                import sys
-
-                sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * MAX_DEPTH))
                 return pd.Series([None if any(v is None or v != v for v in row) else self.call(name, *row) for row in zip(*columns)], dtype="float64")
 
             return lambda *a: run(*(x.cast("double") for x in a))
