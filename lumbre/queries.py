@@ -292,6 +292,12 @@ def group_advanced(spark, d):
     return rounded(O.grouped(table(spark, d, "lineitem"), ["l_returnflag"], [M("varianza", c, name="varianza"), M("desviacion_estandar", c, name="desviacion"), M("mediana", c, name="mediana"), M("percentil", c, 90, "p90")]), "varianza", "desviacion", "p90")
 
 
+@query("""SELECT p, round(value, 4) AS value FROM (SELECT CAST(50 AS DOUBLE) AS p, quantile_cont(l_extendedprice, 0.5) AS value FROM lineitem
+UNION ALL SELECT 90, quantile_cont(l_extendedprice, 0.9) FROM lineitem UNION ALL SELECT 99.9, quantile_cont(l_extendedprice, 0.999) FROM lineitem)""")
+def percentiles_exact(spark, d):
+    return rounded(O.exact_percentiles(table(spark, d, "lineitem"), "l_extendedprice", [50, 90, 99.9], few=500), "value")
+
+
 @query("SELECT CAST(sum(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END) AS BIGINT) AS suma FROM lineitem")
 def sum_boolean(spark, d):
     return O.summary(table(spark, d, "lineitem").select((F.col("l_quantity") > 25).alias("b")), [M("suma", "b", name="suma")])

@@ -184,3 +184,24 @@ def test_states_merge_like_the_whole(spark):
     a = out["a"]
     assert (a.conteo, a.nulos, a.invalidos, a.suma, a.minimo, a.maximo) == (3, 1, 1, 15.0, 1.0, 10.0)
     assert abs(a.varianza - 14) < 1e-9 and abs(a.varianza_muestral - 21) < 1e-9 and out["b"].varianza_muestral == 0
+
+
+def test_exact_percentiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    v = [*rng.normal(size=4000).tolist(), *[0.5] * 3000, 1e12, -1e-300]
+    df = spark.createDataFrame([(x,) for x in v], "v double")
+    ps = [0, 10, 33.3, 50, 75, 99, 100]
+    for few in (10**6, 3):
+        got = {r.p: r.value for r in O.exact_percentiles(df, "v", ps, few).collect()}
+        assert [got[float(p)] for p in ps] == pytest.approx([float(np.percentile(v, p)) for p in ps], rel=1e-12)
+    assert O.exact_percentiles(df.limit(0), "v", [50]).collect()[0].value is None
+    assert math.isnan(O.exact_percentiles(spark.createDataFrame([(NAN,), (1.0,)], "v double"), "v", [50]).collect()[0].value)
+
+
+def test_scan_plan():
+    from lumbre.session import scan_partitions, scan_settings
+
+    assert scan_partitions(10, 4) == [(0, 4), (4, 4), (8, 2)] and len(scan_partitions(10**9, 1)) <= 4096 and scan_partitions(0, 4) == []
+    assert scan_settings(100, 30)["spark.sql.shuffle.partitions"] == "4"
