@@ -21,7 +21,7 @@ def _lengths(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = U.encoder(path)
         for b in S.batches_of(batches, 4 << 20):
-            yield pa.RecordBatch.from_arrays([pa.array(enc.lengths(b.column(0).to_pylist()))], names=["n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(enc.lengths(b.column(0)))], names=["n_tokens"])
 
     return run
 

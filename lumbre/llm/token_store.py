@@ -25,9 +25,9 @@ from lumbre.llm import _shared as S
 from lumbre.llm import rans
 from lumbre.llm import unit_encoder as U
 
-BLOCK_TOKENS = 1 << 18
+BLOCK_TOKENS = 1 << 19
 #: Rows of lanes between checkpoints.
-MARK_ROWS = 256
+MARK_ROWS = 128
 BITS = 20
 
 
@@ -62,7 +62,7 @@ def _encode_partition(path: str, end_id: int, block_tokens: int) -> Callable:
             return out
 
         for batch in S.batches_of(batches, 4 << 20):
-            ids, sizes = enc.encode(batch.column(1).to_pylist())
+            ids, sizes = enc.encode(batch.column(1))
             ends = np.cumsum(sizes)
             ids = np.insert(ids, ends, end_id)
             sizes = sizes + 1
@@ -200,7 +200,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, tokenizer: str | None
     sizes = staged.filter("block >= 0").select("part", "block", "n_tokens")
     w = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.join(base, "part").select("part", "block", (F.col("base") + F.coalesce(F.sum("n_tokens").over(w), F.lit(0))).alias("first_start"))
-    starts = S.store(starts, "starts")  # one row per block, some 2^18 tokens
+    starts = S.store(starts, "starts")  # one row per block, some 2^19 tokens
     few = starts.limit(S.MAX_BROADCAST_ROWS + 1).count() <= S.MAX_BROADCAST_ROWS
     placed = staged.filter("block >= 0").join(F.broadcast(starts) if few else starts, ["part", "block"])
     shared = spark.sparkContext.broadcast(freq)

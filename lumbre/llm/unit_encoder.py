@@ -1,33 +1,38 @@
-"""Encodes whole texts with the tokenizers library, one call per distinct unit rather than per text.
+"""Encodes whole texts with the tokenizers library, once per distinct unit rather than per text.
 
 The byte-level tokenizer splits a text before it merges, and never across a single space that precedes a non-space: such
 a space always starts a new piece. Cut there, a text is a list of units whose encodings joined are the text's encoding.
-Units repeat, so a bounded cache answers most of them. Texts that hold a special token's string, or a separator that
-Python and the tokenizer's pattern class differently, go to the library whole.
+A batch of texts is cut and its distinct units found in Arrow; a bounded memory answers most of them, and the library
+encodes the others. Texts in which a space meets other white space are cut by a pattern instead, and texts that hold a
+special token's string, or a separator that Python and the tokenizer's pattern class differently, go to the library whole.
 """
 
 from __future__ import annotations
 
 import functools
 import re
-from itertools import chain, islice, repeat
+from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-#: Units that a Python worker keeps; once they are reached, further units are learnt for one call only.
+#: Units that a Python worker keeps; once they are reached, further units are learnt for one batch only.
 CACHE_UNITS = 600_000
-_SPACE_THEN_SPACE = re.compile(r" (?!\S)")
+CACHE_PIECES = 250_000
 _CUT = re.compile(r" (?=\S)")
 #: Our marks, and the separators that are white space to Python but not to the tokenizer's pattern.
-#: Plain: no space within, none of the marks, nothing beyond Latin letters.
-_NOT_PLAIN = re.compile("[ \0\1]|[^\0-\u024f]").search
+_ODD = "\0\1\x1c\x1d\x1e\x1f"
+#: Texts that a plain split at each space would not cut rightly (RE2).
+_NOT_PLAIN_TEXT = r" (?:[\t\n\v\f\r \x{85}\p{Z}]|$)|[\x00\x01\x1c-\x1f]"
+#: Plain units: no space within, none of the marks, nothing beyond Latin letters.
+_NOT_PLAIN_UNIT = re.compile("[ \0\1]|[^\0-ɏ]").search
 #: The pattern by which the byte-level tokenizer cuts a text.
 _PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
 #: The byte-level alphabet: printable bytes stand for themselves, the others for U+0100 onwards in order.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_ALPHABET = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-_ODD = "\0\1\x1c\x1d\x1e\x1f"
 
 
 def default_path() -> str:
@@ -46,49 +51,58 @@ class UnitEncoder:
         self.cache_units = cache_units
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.vocab_size = self.library.get_vocab_size(with_added_tokens=True)
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
+        #: A unit is named without its leading space; "\1" leads a text's first unit, which has none, "\0" a whole text.
         self.index: dict[str, int] = {}
         self.flat = np.empty(1 << 20, np.uint32)
         self.used = 0
         self.start = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int64)
 
-    def _whole(self, text: str) -> bool:
-        return any(c in text for c in _ODD) or any(x in text for x in self.specials)
-
     def units(self, text: str) -> list[str]:
-        if self._whole(text):
-            return ["\0" + text]  # marked: encoded whole and not cached under its own name
-        cut = _CUT.split(text) if _SPACE_THEN_SPACE.search(text) else text.split(" ")
-        # A unit is written without its leading space; only the first has none, so it is marked.
+        if any(c in text for c in _ODD) or any(x in text for x in self.specials):
+            return ["\0" + text]
+        cut = _CUT.split(text)
         cut[0] = "\1" + cut[0]
         return cut
 
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        tail = piece[1:]
+        if piece[0] == " " and tail.isascii() and tail.isalpha():
+            name = "Ġ" + tail
+        else:
+            name = piece.encode().decode("latin-1").translate(_BYTE_ALPHABET)
+        return tuple([t.id for t in self.library.model.tokenize(name)])
+
+    def _encode_plain(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Side by side, each unit starts with the one space that it has; the tokenizer's own pattern cuts them, and its BPE model encodes each distinct piece."""
+        cut = _PATTERN(" " + " ".join(units))
+        known, fresh = self.pieces, {}
+        for p in dict.fromkeys(cut):
+            if p not in known:
+                fresh[p] = self._piece(p)
+        if len(known) + len(fresh) <= CACHE_PIECES:
+            known.update(fresh)
+            ids = [known[p] for p in cut]
+        else:
+            ids = [fresh[p] if p in fresh else known[p] for p in cut]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        first = np.flatnonzero(np.fromiter((p[0] == " " for p in cut), bool, len(cut)))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), np.add.reduceat(sizes, first)
+
     def _learn(self, missing: list[str]) -> None:
-        # Plain units are cut by the tokenizer's own pattern and each piece goes to the library's BPE model; pieces
-        # repeat more than units do (words with and without a comma). The rest takes the library's whole path.
-        simple = [u for u in missing if u and not _NOT_PLAIN(u)]
-        rest = [u for u in missing if not u or _NOT_PLAIN(u)]
-        pieces, bpe, got, sizes = self.pieces, self.library.model.tokenize, [], []
-        if len(pieces) > self.cache_units // 2:
-            pieces.clear()
-        for u in simple:
-            n = len(got)
-            for piece in _PATTERN(" " + u):
-                ids = pieces.get(piece)
-                if ids is None:
-                    tail = piece[1:]
-                    if piece[0] == " " and tail.isascii() and tail.isalpha():
-                        name = "\u0120" + tail
-                    else:
-                        name = piece.encode().decode("latin-1").translate(_BYTE_ALPHABET)
-                    ids = pieces[piece] = [t.id for t in bpe(name)]
-                got.extend(ids)
-            sizes.append(len(got) - n)
-        for e in self.library.encode_batch_fast([u[1:] if u[:1] in ("\0", "\1") else " " + u for u in rest], add_special_tokens=False) if rest else []:
-            got.extend(e.ids)
-            sizes.append(len(e.ids))
-        flat, size = np.array(got, np.uint32), np.array(sizes, np.int64)
+        plain = [u for u in missing if u and not _NOT_PLAIN_UNIT(u)]
+        rest = [u for u in missing if not u or _NOT_PLAIN_UNIT(u)]
+        flats, sizes = [], []
+        for i in range(0, len(plain), 50_000):
+            f, s = self._encode_plain(plain[i : i + 50_000])
+            flats.append(f)
+            sizes.append(s)
+        if rest:
+            encoded = [e.ids for e in self.library.encode_batch_fast([u[1:] if u[:1] in ("\0", "\1") else " " + u for u in rest], add_special_tokens=False)]
+            flats.append(np.array(list(chain.from_iterable(encoded)), np.uint32))
+            sizes.append(np.fromiter(map(len, encoded), np.int64, len(encoded)))
+        flat, size = np.concatenate(flats), np.concatenate(sizes)
         n, total = len(self.index), len(flat)
         assert len(size) == len(missing)
         while n + len(missing) > len(self.start):
@@ -99,35 +113,62 @@ class UnitEncoder:
         self.size[n : n + len(missing)] = size
         self.start[n : n + len(missing)] = self.used + np.cumsum(size) - size
         self.used += total
-        self.index.update(zip(simple + rest, range(n, n + len(missing))))
-
-    def _numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.index.update(zip(plain + rest, range(n, n + len(missing))))
+
+    def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(names of all units, units per text)."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        odd = pc.match_substring_regex(texts, _NOT_PLAIN_TEXT)
+        for x in self.specials:
+            odd = pc.or_(odd, pc.match_substring(texts, x))
+        odd = np.asarray(odd.to_numpy(zero_copy_only=False), bool)
+        # An odd text's cell is emptied for the split and its units are put in its place.
+        lists = pc.split_pattern(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts, " ")
+        counts = np.diff(lists.offsets.to_numpy())
+        names = lists.flatten()
+        heads = np.cumsum(counts) - counts
+        first = pc.binary_join_element_wise("\1", names.take(pa.array(heads)), "")
+        mask = np.zeros(len(names), bool)
+        mask[heads] = True
+        names = pc.replace_with_mask(names, pa.array(mask), first)
+        if odd.any():
+            parts, done = [], 0
+            for i in np.flatnonzero(odd).tolist():
+                own = self.units(texts[i].as_py())
+                parts += [names.slice(done, int(heads[i]) - done), pa.array(own, pa.string())]
+                done = int(heads[i]) + 1
+                counts[i] = len(own)
+            names = pa.concat_arrays([*parts, names.slice(done)])
+        return names, counts
+
+    def _numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(where each unit's ids start in self.flat, how many they are, units per text)."""
-        cut = [self.units(t) if t else [] for t in texts]
-        counts = np.fromiter(map(len, cut), np.int64, len(cut))
-        units = list(chain.from_iterable(cut))
-        numbers = np.fromiter(map(self.index.get, units, repeat(-1)), np.int64, len(units))
-        gaps = np.flatnonzero(numbers < 0)
-        kept, used = len(self.index), self.used
-        if len(gaps):
-            lost = [units[i] for i in gaps.tolist()]
-            self._learn(list(dict.fromkeys(lost)))
+        names, counts = self._cut(texts)
+        coded = names.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        numbers = np.fromiter(map(self.index.get, distinct, repeat(-1)), np.int64, len(distinct))
+        gaps = np.flatnonzero(numbers < 0).tolist()
+        if gaps:
+            kept, used, lost = len(self.index), self.used, [distinct[i] for i in gaps]
+            self._learn(lost)
             numbers[gaps] = np.fromiter(map(self.index.__getitem__, lost), np.int64, len(lost))
-        out = self.start[numbers], self.size[numbers], counts
-        if len(self.index) > self.cache_units:
-            for u in list(islice(reversed(self.index), len(self.index) - max(kept, 0))):
+        start, size = self.start[numbers], self.size[numbers]
+        if gaps and len(self.index) > self.cache_units:
+            for u in lost:
                 del self.index[u]
             self.used = used
-        return out
+            assert len(self.index) == kept
+        at = coded.indices.to_numpy()
+        return start[at], size[at], counts
 
-    def lengths(self, texts: list[str | None]) -> np.ndarray:
+    def lengths(self, texts: pa.Array) -> np.ndarray:
         _, sizes, counts = self._numbers(texts)
         cum = np.append(0, np.cumsum(sizes))
         ends = np.cumsum(counts)
         return cum[ends] - cum[ends - counts]
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, length of each text's)."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, length of each text's). Null counts as empty."""
         starts, sizes, counts = self._numbers(texts)
         cum = np.append(0, np.cumsum(sizes))
         ends = np.cumsum(counts)
