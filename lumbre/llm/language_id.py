@@ -11,15 +11,13 @@ by mistake at the rate f_l^k, so the count is corrected to (c_l - n f_l^k) / (1
 
 from __future__ import annotations
 
-import functools
-import re
-import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,39 +28,60 @@ MIN_RATE, MIN_SHARE = 1e-5, 0.1
 HASHES = 3
 #: Slots for each n-gram that the fullest language keeps, rounded up to a power of two.
 SLOTS_PER_GRAM = 8
-_WORDS = re.compile(r"[^\W\d_]+")
-CACHE_WORDS = 400_000
 
 
-def grams_of(word: str) -> list[str]:
-    """Character n-grams of a lower-case word between marks of its start and end."""
-    w = f"<{word}>"
-    return [w[i : i + n] for n in SIZES for i in range(len(w) - n + 1)]
+def cut_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """(words of all texts, coded by the distinct ones; words per text): runs of letters in lower case. Some are empty, which counts for nothing."""
+    lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.string()), "")), r"\P{L}+")
+    return lists.flatten().dictionary_encode(), np.diff(lists.offsets.to_numpy())
+
+
+def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the character n-grams of each word between marks of its start and end; number of the word of each)."""
+    number = np.array([i for i, w in enumerate(words) if w], np.int64)
+    if not len(number):
+        return np.empty(0, np.uint64), number
+    code = np.frombuffer(("<" + "><".join(w for w in words if w) + ">").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    owner = np.repeat(number, np.fromiter((len(w) + 2 for w in words if w), np.int64, len(number)))
+    hashes, owners = [], []
+    for n in SIZES:
+        if len(code) < n:
+            continue
+        h = np.full(len(code) - n + 1, n, np.uint64)
+        for k in range(n):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + code[k : len(code) - n + 1 + k]
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+        own = owner[: len(h)]
+        inside = own == owner[n - 1 :]
+        hashes.append(h[inside])
+        owners.append(own[inside])
+    return np.concatenate(hashes), np.concatenate(owners)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: dict[str, Counter] = {}
 
-    def out() -> pa.RecordBatch:
-        langs, grams, counts = [], [], []
+    def out() -> Iterator[pa.RecordBatch]:
         for lang, own in words.items():
-            got: Counter = Counter()
-            for w, n in own.items():
-                for g in grams_of(w):
-                    got[g] += n
-            langs.extend([lang] * len(got))
-            grams.extend(got)
-            counts.extend(got.values())
+            h, owner = grams_of(list(own))
+            weight = np.fromiter(own.values(), np.int64, len(own))[owner]
+            grams, at = np.unique(h, return_inverse=True)
+            n = np.bincount(at, weight, len(grams)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
         words.clear()
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(grams, pa.string()), pa.array(counts, pa.int64())], names=["lang", "gram", "n"])
 
     for b in S.batches_of(batches, 4 << 20):
-        for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            words.setdefault(lang, Counter()).update(_WORDS.findall(text.lower()))
+        for lang in pc.unique(b.column(1)).to_pylist():
+            coded, _ = cut_words(b.column(0).filter(pc.equal(b.column(1), lang)))
+            n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
+            own = words.setdefault(lang, Counter())
+            for w, k in zip(coded.dictionary.to_pylist(), n.tolist()):
+                own[w] += k
         if sum(map(len, words.values())) > 300_000:
-            yield out()
-    if words:
-        yield out()
+            yield from out()
+    yield from out()
 
 
 @dataclass
@@ -74,19 +93,24 @@ class LanguageFilter:
     rate: np.ndarray
     usual: int  # the language with most training n-grams, for texts of which nothing is known
 
-    def slots(self, grams: list[str]) -> np.ndarray:
-        raw = [g.encode("utf-8", "surrogatepass") for g in grams]
-        a = np.array([zlib.crc32(r) for r in raw], np.uint64)
-        b = np.array([zlib.crc32(r, 0x9E3779B9) | 1 for r in raw], np.uint64)
-        return (a[:, None] + np.arange(HASHES, dtype=np.uint64) * b[:, None]) & np.uint64(len(self.rows) - 1)
+    def slots(self, grams: np.ndarray) -> np.ndarray:
+        step = (grams >> np.uint64(32)) | np.uint64(1)
+        return ((grams[:, None] + np.arange(HASHES, dtype=np.uint64) * step[:, None]) & np.uint64(len(self.rows) - 1)).astype(np.int64)
 
-    def masks(self, grams: list[str]) -> np.ndarray:
+    def masks(self, grams: np.ndarray) -> np.ndarray:
         """For each n-gram, the languages that hold it (with false positives), as words of 64 bits."""
         return np.bitwise_and.reduce(self.rows[self.slots(grams)], axis=1)
 
-    def counts(self, grams: list[str]) -> np.ndarray:
-        bits = np.unpackbits(self.masks(grams).view(np.uint8), axis=1, bitorder="little")[:, : len(self.languages)]
-        return bits.sum(axis=0, dtype=np.int64)
+    def word_counts(self, words: list[str]) -> np.ndarray:
+        """For each word, how many of its n-grams each language holds, and last, how many it has."""
+        grams, owner = grams_of(words)
+        masks = self.masks(grams)
+        out = np.zeros((len(words), len(self.languages) + 1), np.int64)
+        for i in range(len(self.languages)):
+            bit = (masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)
+            out[:, i] = np.bincount(owner, bit.astype(np.float64), len(words))
+        out[:, -1] = np.bincount(owner, minlength=len(words))
+        return out
 
     def decide(self, counts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(language, score) of texts with these per-language counts of their n n-grams."""
@@ -96,19 +120,16 @@ class LanguageFilter:
         return np.where(score > 0, best, self.usual), score
 
 
-def build(kept: list[tuple[str, str]], languages: tuple[str, ...], usual: str) -> LanguageFilter:
-    """kept: (language, n-gram)."""
+def build(kept: dict[str, np.ndarray], languages: tuple[str, ...], usual: str) -> LanguageFilter:
+    """kept: the hashes of each language's n-grams."""
     order = {x: i for i, x in enumerate(languages)}
-    most = max(Counter(x for x, _ in kept).values(), default=1)
+    most = max(map(len, kept.values()), default=1)
     m = 1 << max(10, (SLOTS_PER_GRAM * most - 1).bit_length())
     out = LanguageFilter(languages, np.zeros((m, -(-len(languages) // 64)), np.uint64), np.zeros(len(languages)), order[usual])
-    for lang in languages:
-        grams = [g for x, g in kept if x == lang]
-        if not grams:
-            continue
+    for lang, grams in kept.items():
         i = order[lang]
         slots = np.unique(out.slots(grams).ravel())
-        out.rows[slots.astype(np.int64), i // 64] |= np.uint64(1 << (i % 64))
+        out.rows[slots, i // 64] |= np.uint64(1 << (i % 64))
         out.rate[i] = (len(slots) / m) ** HASHES
     return out
 
@@ -116,7 +137,7 @@ def build(kept: list[tuple[str, str]], languages: tuple[str, ...], usual: str) -
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageFilter | None:
     """From all rows with a text and a language; None if there are none."""
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
-    counts = S.store(rows.mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    counts = S.store(rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     seen = tuple(sorted(set(totals) | {r["lang"] for r in rows.select("lang").distinct().collect()}))
     if not seen:
@@ -125,45 +146,24 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> La
     rates = counts.join(total, "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("rate")).filter(F.col("rate") >= MIN_RATE)
     top = rates.groupBy("gram").agg(F.max("rate").alias("top"))
     kept = rates.join(top, "gram").filter(F.col("rate") >= MIN_SHARE * F.col("top")).select("lang", "gram").collect()
-    return build(sorted((r["lang"], r["gram"]) for r in kept), seen, max(seen, key=lambda x: (totals.get(x, 0), x)))
-
-
-@functools.lru_cache(maxsize=1)
-def _memory(key: int) -> tuple[dict[str, int], list[np.ndarray]]:
-    return {}, []
+    grams: dict[str, list[int]] = {}
+    for r in kept:
+        grams.setdefault(r["lang"], []).append(r["gram"])
+    return build({x: np.array(sorted(g), np.int64).view(np.uint64) for x, g in grams.items()}, seen, max(seen, key=lambda x: (totals.get(x, 0), x)))
 
 
-def _predict(shared, key: int) -> Callable:
+def _predict(shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: LanguageFilter | None = shared.value
-        index, table = _memory(key)
-        width = (len(model.languages) if model else 0) + 1
-        if not table:
-            table.append(np.zeros((0, width), np.int32))
         for b in S.batches_of(batches, 4 << 20):
-            texts = b.column(2).to_pylist()
-            cut = [_WORDS.findall(t.lower()) if t else [] for t in texts]
-            letters = np.array([any(c.isalpha() for w in ws for c in w) for ws in cut], bool)
             if model is None:
-                lang, score = ["und"] * len(texts), np.zeros(len(texts))
+                lang, score = ["und"] * b.num_rows, np.zeros(b.num_rows)
             else:
-                if len(index) > CACHE_WORDS:
-                    index.clear()
-                    table[0] = table[0][:0]
-                missing = list(dict.fromkeys(w for ws in cut for w in ws if w not in index))
-                if missing:
-                    grams = [grams_of(w) for w in missing]
-                    sizes = np.array([len(g) for g in grams])
-                    bits = np.unpackbits(model.masks([g for gs in grams for g in gs]).view(np.uint8), axis=1, bitorder="little")[:, : width - 1]
-                    own = np.add.reduceat(bits.astype(np.int32), np.cumsum(sizes) - sizes, axis=0)
-                    index.update(zip(missing, range(len(index), len(index) + len(missing))))
-                    table[0] = np.concatenate([table[0], np.column_stack([own, sizes.astype(np.int32)])])
-                sizes = np.array([len(ws) for ws in cut])
-                numbers = np.fromiter((index[w] for ws in cut for w in ws), np.int64, int(sizes.sum()))
-                sums = np.zeros((len(texts), width), np.int64)
-                full = np.flatnonzero(sizes)
-                if len(full):
-                    sums[full] = np.add.reduceat(table[0][numbers].astype(np.int64), (np.cumsum(sizes) - sizes)[full], axis=0)
+                coded, counts = cut_words(b.column(2))
+                per_word = model.word_counts(coded.dictionary.to_pylist())
+                # Each text has one word at least, if an empty one.
+                sums = np.add.reduceat(per_word[coded.indices.to_numpy()], np.cumsum(counts) - counts, axis=0)
+                letters = sums[:, -1] > 0
                 best, score = model.decide(sums[:, :-1], sums[:, -1])
                 score = np.where(letters, score, 0.0)
                 lang = [model.languages[i] if ok else "und" for i, ok in zip(best.tolist(), letters.tolist())]
@@ -183,4 +183,4 @@ def identify(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: s
     model = learn(docs.filter(~held), text_col, lang_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_predict(shared, shared._jbroadcast.id()), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(_predict(shared), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
