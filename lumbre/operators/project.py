@@ -100,6 +100,14 @@ def add_column(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(name, value)
 
 
+def add_categorical(df: DataFrame, name: str, codes: str, labels: list[str]) -> DataFrame:
+    """Labels by their codes from 0; null codes stay null, a code without label raises."""
+    require(df, codes)
+    code = col(codes)
+    known = F.element_at(F.array(*(F.lit(x) for x in labels)), F.greatest(F.least(code.cast("int"), F.lit(len(labels) - 1)), F.lit(0)) + 1)
+    return add_column(df, name, F.when(code.isNull(), None).when((code >= 0) & (code < len(labels)), known).otherwise(F.raise_error(F.lit("DATA: code without label"))))
+
+
 def add_product(df: DataFrame, left: str, right: str, out: str = "total") -> DataFrame:
     """left * right, null if either is; a product that is not finite raises OVERFLOW."""
     require(df, left, right)

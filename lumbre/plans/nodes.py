@@ -84,6 +84,21 @@ class Statistic:
     keep: bool = False
 
 
+@dataclass
+class Shape:
+    """What is asked of an array: forma, dimensiones or tamano."""
+
+    what: str
+    array: str
+
+
+@dataclass
+class ArrayOperation:
+    left: str
+    op: str
+    right: object
+
+
 @dataclass
 class Variable:
     name: str
@@ -188,5 +203,5 @@ class Program:
     functions: dict[str, Function] = field(default_factory=dict)
     variables: list[Variable] = field(default_factory=list)
     arrays: list[Array] = field(default_factory=list)
-    statistics: list[Statistic] = field(default_factory=list)
+    statistics: list = field(default_factory=list)
     calls: list[Call] = field(default_factory=list)

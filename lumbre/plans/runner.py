@@ -102,9 +102,19 @@ class Runner:
     def array(a: N.Array):
         return tensors.literal(a.values) if a.values is not None else tensors.zeros(*a.shape)
 
-    def statistic(self, s: N.Statistic, arrays: dict) -> None:
-        if s.array not in arrays:
-            raise EngineError("DATA", f"unknown array {s.array}")
+    def statistic(self, s, arrays: dict) -> None:
+        """A statistic, a shape or an operation on arrays."""
+        for name in [s.left, *([s.right] if isinstance(s.right, str) else [])] if isinstance(s, N.ArrayOperation) else [s.array]:
+            if name not in arrays:
+                raise EngineError("DATA", f"unknown array {name}")
+        if isinstance(s, N.ArrayOperation):
+            value = tensors.operate(arrays[s.left], s.op, arrays[s.right] if isinstance(s.right, str) else s.right)
+            self.result.statistics.append((f"{s.left} {s.op} {s.right}", value.tolist()))
+            return
+        if isinstance(s, N.Shape):
+            a = arrays[s.array]
+            self.result.statistics.append((f"{s.what}({s.array})", {"forma": list(a.shape), "dimensiones": a.ndim, "tamano": a.size}[s.what]))
+            return
         out = tensors.reduce(arrays[s.array], s.op, s.p, s.axis, s.keep)
         self.result.statistics.append((f"{s.op}({s.array})", out.tolist() if hasattr(out, "tolist") else float(out)))
 
@@ -125,7 +135,7 @@ class Runner:
         for i in a.items:
             if isinstance(i, N.Array):
                 arrays[i.name] = self.array(i)
-            elif isinstance(i, N.Statistic):
+            elif isinstance(i, (N.Statistic, N.Shape, N.ArrayOperation)):
                 self.statistic(i, arrays)
             elif isinstance(i, N.Variable):
                 values[i.name] = self.result.values[i.name] = functions._value(i.value, values, 0)

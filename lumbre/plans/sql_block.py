@@ -35,6 +35,7 @@ class Database:
         self.spark, self.path = spark, path.rstrip("/").removeprefix("file://")
         self.pending: dict[str, DataFrame] | None = None
         self.declared: dict[str, T.StructType] = {}
+        self.group: str | None = None
         self.is_file = os.path.isfile(self.path)
         if self.is_file:
             from lumbre.sources import sqlite
@@ -196,6 +197,7 @@ class Database:
         """The rows, within the limits on rows, bytes and time."""
         limits = {**DEFAULTS, **(limits or {})}
         sc, group = self.spark.sparkContext, uuid.uuid4().hex
+        self.group = group
         sc.setJobGroup(group, "bounded query", interruptOnCancel=True)
         late: list[bool] = []
         timer = Timer(limits["tiempo"] / 1000, lambda: (late.append(True), sc.cancelJobGroup(group)))
@@ -216,6 +218,11 @@ class Database:
             raise EngineError("LIMIT", f"more than {limits['bytes']} bytes")
         return rows
 
+    def cancel(self) -> None:
+        """Stops the bounded query under way; may be called from another thread."""
+        if self.group:
+            self.spark.sparkContext.cancelJobGroup(self.group)
+
     def execute(self, text: str, parameters: list | None = None) -> None:
         """CREATE TABLE t (...), CREATE TABLE t AS, INSERT INTO t, UPDATE t SET, DELETE FROM t, DROP TABLE t."""
         if _FORBIDDEN.search(text):

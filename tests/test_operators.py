@@ -186,6 +186,13 @@ def test_states_merge_like_the_whole(spark):
     assert abs(a.varianza - 14) < 1e-9 and abs(a.varianza_muestral - 21) < 1e-9 and out["b"].varianza_muestral == 0
 
 
+def test_categories(spark):
+    df = spark.createDataFrame([(0,), (1,), (None,)], "c int")
+    assert values(O.add_categorical(df, "color", "c", ["rojo", "azul"]), "color") == ["rojo", "azul", None]
+    with pytest.raises(Exception, match="without label"):
+        O.add_categorical(spark.createDataFrame([(2,)], "c int"), "color", "c", ["rojo", "azul"]).collect()
+
+
 def test_exact_percentiles(spark):
     import numpy as np
 

@@ -124,6 +124,23 @@ llamar cuadrado(4);
     assert [v for _, v in out.statistics] == [10, 2.5, 2.5, [3.25], [0, 0, 0], 1.25] and out.values == {"r": 10, "cuadrado": 16}
 
 
+def test_array_statements_of_the_older_form(spark):
+    out = run_script(spark, """
+array v = [1, 2.5, 3]; array i = [1, 2, 3]; array m = zeros(2, 3); array c = zeros(2, 1); array f = zeros(1, 3);
+shape(m); ndim(m); tamaño(m); sum(v); percentile(v, 90); mean(m, 0, true); std(m, 1);
+i + 2; i / 2; i * i; c + f; v - 1;
+funcion d(x) { retornar x + x; } llama d(2);
+""")
+    got = dict(out.statistics)
+    assert got["forma(m)"] == [2, 3] and got["dimensiones(m)"] == 2 and got["tamano(m)"] == 6 and got["suma(v)"] == 6.5 and abs(got["percentil(v)"] - 2.9) < 1e-12
+    assert got["media(m)"] == [[0, 0, 0]] and got["desviacion_estandar(m)"] == [0, 0] and got["i + 2"] == [3, 4, 5] and got["i / 2"] == [0.5, 1, 1.5] and got["i * i"] == [1, 4, 9]
+    assert got["c + f"] == [[0, 0, 0], [0, 0, 0]] and got["v - 1"] == [0, 1.5, 2] and out.values == {"d": 4}
+    for text, code in (("arreglo a = [9000000000000000000]; a + a;", "OVERFLOW"), ("arreglo a = [1]; arreglo b = [0]; a / b;", "ARGUMENT"), ("suma(zz);", "DATA"), ("arreglo a = [];", "PARSE")):
+        with pytest.raises(EngineError) as e:
+            run_script(spark, text)
+        assert e.value.code == code
+
+
 def test_sql_typed_and_transactions(spark, tmp_path):
     text = """
 sql desde "db" limites filas 100 bytes 65536 tiempo 30000 {
