@@ -132,8 +132,9 @@ class Hmm:
 
     @staticmethod
     def from_counts(start: np.ndarray, move: np.ndarray, emit: np.ndarray, unigram: np.ndarray, prior: float = 200.0) -> Hmm:
-        """The M step; a little of the unigram model keeps every symbol possible in every state."""
-        e = emit + prior * unigram[:, None]
+        """The M step. Each state's emissions are interpolated with the unigram model as Witten and Bell do: the unigram
+        model weighs as much as the state has different symbols, which is much where there are few data."""
+        e = emit + (prior + np.minimum(emit, 1).sum(axis=0)) * unigram[:, None]
         m = move + 0.1
         s = start + 0.1
         return Hmm(s / s.sum(), m / m.sum(axis=1, keepdims=True), e / e.sum(axis=0))
@@ -283,6 +284,25 @@ def train(coded: DataFrame, unigram: np.ndarray, states: int = STATES, rounds: i
     return model
 
 
+def frequent(counts: DataFrame, most: int) -> tuple[list, int]:
+    """(rows (word, c) of the most frequent words, in order; the least count among them): all words from that count on,
+    which is the least one that leaves no more than `most`. It is found from how many words have each count, so the
+    driver gets the head alone."""
+    per = counts.groupBy("c").agg(F.count(F.lit(1)).alias("k"))
+    if counts.limit(most + 1).count() <= most:
+        least = 0
+    else:
+        words = 0
+        for r in per.filter(F.col("c") > 1).orderBy(F.col("c").desc()).limit(most + 1).collect():
+            words += r["k"]
+            if words > most:
+                least = r["c"] + 1
+                break
+        else:
+            least = 2
+    return sorted(counts.filter(F.col("c") >= least).collect(), key=lambda r: (-r["c"], r["word"])), least
+
+
 def lm_scores(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = ROUNDS, head_words: int = HEAD) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -295,13 +315,12 @@ def lm_scores(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"))
     counts = S.store(rows.filter("not held_out").select("text").mapInArrow(_count_words, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).collect()[0]
-    top = counts.filter(F.col("word") != END).orderBy(F.col("c").desc(), "word").limit(head_words).collect()
+    top, least = frequent(counts.filter(F.col("word") != END), head_words)
     ends = counts.filter(F.col("word") == END).collect()
     head = {END.encode(): 0, **{r["word"].encode(): i + 1 for i, r in enumerate(top)}}
     alphabet = Alphabet(head, np.array([ends[0]["c"] if ends else 0, *(r["c"] for r in top)], np.float64), total["n"], total["v"])
     bucket = (F.crc32(F.col("word").cast("binary")) % BUCKETS).cast("int").alias("bucket")
-    names = F.broadcast(spark.createDataFrame([(r["word"],) for r in top], "word string"))
-    rare = counts.filter(F.col("word") != END).join(names, "word", "left_anti")
+    rare = counts.filter((F.col("word") != END) & (F.col("c") < least))
     classes = rare.groupBy(bucket).agg(F.sum("c").alias("class_c"), F.count(F.lit(1)).alias("class_v")).collect()
     class_c, class_v = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in classes:

@@ -180,7 +180,7 @@ def test_the_model_is_a_distribution():
 
 def test_frequent_words_are_all_above_one_count(spark):
     counts = spark.createDataFrame([("a", 9), ("b", 5), ("c", 5), ("d", 2), ("e", 1)], "word string, c long")
-    names = lambda n: [r["word"] for r in hmm.frequent(counts, n)]
+    names = lambda n: [r["word"] for r in hmm.frequent(counts, n)[0]]
     assert names(1) == ["a"] and names(2) == ["a"] and names(3) == ["a", "b", "c"] and names(4) == ["a", "b", "c", "d"] and names(5) == list("abcde")
 
 
