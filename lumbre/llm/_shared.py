@@ -73,6 +73,16 @@ def few_or_merge(small: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame
     return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small.hint("merge")
 
 
+def lookup_small(rows: DataFrame, small: DataFrame, key: str, salt: str, parts: int = 64, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """rows joined with the stored table small on `key`. If small has over `limit` rows it is not broadcast but shuffled,
+    each of its rows to `parts` places: rows of a hot key are dealt among them by the hash of column `salt`."""
+    if small.limit(limit + 1).count() <= limit:
+        return rows.join(F.broadcast(small), key)
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(parts)).cast("int"))
+    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return dealt.join(spread.hint("merge"), [key, "_salt"]).drop("_salt")
+
+
 def text_hash(text):
     """With a row's id, this tells rows apart, also where ids repeat."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

@@ -52,7 +52,7 @@ def build_index(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id",
     # The empty word, which no text has, leads every array: its posting is the document's own row.
     spread = parsed.select("doc_id", "text_hash", F.size("words").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), "words")).alias("place", "word"))
     known = S.store(terms.unionByName(docs.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("term"), F.lit("").alias("word"))), "terms-known")
-    found = spread.join(S.few_or_merge(known), "word")
+    found = S.lookup_small(spread, known, "word", "text_hash")
     postings = found.select("term", "doc_id", "text_hash", F.when(F.col("word") == "", F.col("n_words")).otherwise(F.col("place") - 1).alias("pos"), (F.col("word") == "").alias("is_doc"))
     return PositionalIndex(S.store(postings.sortWithinPartitions("term"), "postings"), terms)
 
@@ -80,11 +80,11 @@ def _anchors(index: PositionalIndex, items: DataFrame, window: int) -> tuple[Dat
 def alignments(index: PositionalIndex, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, text_hash, key, shift): where the adjusted posting lists of some window's two rarest terms meet. shift is the document's place of the item's first word and may lie outside it."""
     anchors, windows = _anchors(index, items, window)
-    lists = index.postings.filter("not is_doc").join(S.few_or_merge(anchors), "term")
+    lists = S.lookup_small(index.postings.filter("not is_doc"), anchors, "term", "text_hash")
     met = lists.groupBy("doc_id", "text_hash", "key", (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("places"))
     pairs = S.store(windows.groupBy("key").agg(F.collect_list(F.struct("first", "second")).alias("pairs")), "window-pairs")
     both = F.exists("pairs", lambda p: F.array_contains(F.col("places"), p["first"]) & F.array_contains(F.col("places"), p["second"]))
-    return met.join(S.few_or_merge(pairs), "key").filter(both).select("doc_id", "text_hash", "key", "shift")
+    return S.lookup_small(met, pairs, "key", "text_hash").filter(both).select("doc_id", "text_hash", "key", "shift")
 
 
 def _intervals(equal, window, n):
@@ -110,7 +110,7 @@ def phrase_matches(docs: DataFrame, index: PositionalIndex, items: DataFrame, wi
     hit = own.join(few, F.col("d_id").eqNullSafe(F.col("doc_id")) & (F.col("d_hash") == F.col("text_hash"))).select("doc_id", "text_hash", "at", words_of(F.col("d_text")).alias("words")).dropDuplicates(["doc_id", "text_hash"])
     each = hit.select("doc_id", "text_hash", "words", F.explode("at").alias("x")).select("doc_id", "text_hash", "words", "x.key", "x.shift")
     asked = items.select("key", "item_id", F.col("words").alias("asked"))
-    joined = each.join(S.few_or_merge(asked), "key")
+    joined = S.lookup_small(each, asked, "key", "text_hash")
     equal = F.transform("asked", lambda w, k: F.coalesce(F.when((F.col("shift") + k >= 0) & (F.col("shift") + k < F.size("words")), F.get(F.col("words"), F.col("shift") + k) == w), F.lit(False)))
     runs = joined.select("doc_id", "text_hash", "item_id", "shift", F.explode(_intervals(equal, F.lit(window), F.size("asked"))).alias("r"))
     return runs.select("doc_id", "text_hash", "item_id", (F.col("shift") + F.col("r.a")).alias("a"), (F.col("shift") + F.col("r.b")).alias("b"))
