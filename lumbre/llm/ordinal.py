@@ -27,7 +27,7 @@ from lumbre.llm import _shared as S
 
 SPACES = 1 << 18
 #: The bound on the rated documents that the model is fitted on.
-SAMPLE_DOCS = 8000
+SAMPLE_DOCS = 12_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"(.)\1+")
 
@@ -96,8 +96,9 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds[None, :], -60, 60)))
 
 
-def fit_arrays(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: float = 2e-4, rounds: int = 250, min_docs: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds) by accelerated proximal gradient on the mean negative log-likelihood."""
+def fit_arrays(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: float | None = None, rounds: int = 250, min_docs: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, thresholds) by accelerated proximal gradient on the mean negative log-likelihood. The L1 penalty falls with the root of the sample's size."""
+    l1 = 0.0045 / math.sqrt(len(rows)) if l1 is None else l1
     flat = np.concatenate(rows)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     seen = np.bincount(flat, minlength=SPACES)
@@ -166,7 +167,7 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 #: Chunks whose places with weight a worker remembers.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 250_000
 
 
 @functools.lru_cache(maxsize=1)
