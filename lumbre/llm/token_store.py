@@ -61,7 +61,7 @@ def _encode_partition(path: str, end_id: int, block_tokens: int) -> Callable:
             held, n_held, block = [], 0, block + 1
             return out
 
-        for batch in S.batches_of(batches, 4 << 20):
+        for batch in S.batches_of(batches, 8 << 20):
             ids, sizes = enc.encode(batch.column(1))
             ends = np.cumsum(sizes)
             ids = np.insert(ids, ends, end_id)

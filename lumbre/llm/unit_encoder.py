@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import re
 from itertools import chain, repeat
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ import regex
 #: Units that a Python worker keeps; once they are reached, further units are learnt for one batch only.
 CACHE_UNITS = 600_000
 CACHE_PIECES = 250_000
+_ID = attrgetter("id")
 _CUT = re.compile(r" (?=\S)")
 #: Our marks, and the separators that are white space to Python but not to the tokenizer's pattern.
 _ODD = "\0\1\x1c\x1d\x1e\x1f"
@@ -66,33 +68,31 @@ class UnitEncoder:
         cut[0] = "\1" + cut[0]
         return cut
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        tail = piece[1:]
-        if piece[0] == " " and tail.isascii() and tail.isalpha():
-            name = "Ġ" + tail
-        else:
-            name = piece.encode().decode("latin-1").translate(_BYTE_ALPHABET)
-        return tuple([t.id for t in self.library.model.tokenize(name)])
-
     def _encode_plain(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Side by side, each unit starts with the one space that it has; the tokenizer's own pattern cuts them, and its BPE model encodes each distinct piece."""
         cut = _PATTERN(" " + " ".join(units))
-        known, fresh = self.pieces, {}
+        known, fresh, bpe = self.pieces, {}, self.library.model.tokenize
         for p in dict.fromkeys(cut):
             if p not in known:
-                fresh[p] = self._piece(p)
+                if p.isascii() and p[1:].isalpha() and p[0] == " ":
+                    name = "Ġ" + p[1:]
+                else:
+                    name = p.encode().decode("latin-1").translate(_BYTE_ALPHABET)
+                fresh[p] = tuple(map(_ID, bpe(name)))
         if len(known) + len(fresh) <= CACHE_PIECES:
             known.update(fresh)
-            ids = [known[p] for p in cut]
+            ids = list(map(known.__getitem__, cut))
         else:
             ids = [fresh[p] if p in fresh else known[p] for p in cut]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         first = np.flatnonzero(np.fromiter((p[0] == " " for p in cut), bool, len(cut)))
         return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), np.add.reduceat(sizes, first)
 
-    def _learn(self, missing: list[str]) -> None:
-        plain = [u for u in missing if u and not _NOT_PLAIN_UNIT(u)]
-        rest = [u for u in missing if not u or _NOT_PLAIN_UNIT(u)]
+    def _learn(self, missing: list[str], keep: bool) -> np.ndarray:
+        """The numbers of units that the memory lacks. Those not to be kept have numbers beyond it until the next call."""
+        easy = [u.isascii() and " " not in u and u[:1] > "\1" or not (not u or _NOT_PLAIN_UNIT(u)) for u in missing]
+        plain = [u for u, e in zip(missing, easy) if e]
+        rest = [u for u, e in zip(missing, easy) if not e]
         flats, sizes = [], []
         for i in range(0, len(plain), 50_000):
             f, s = self._encode_plain(plain[i : i + 50_000])
@@ -103,17 +103,22 @@ class UnitEncoder:
             flats.append(np.array(list(chain.from_iterable(encoded)), np.uint32))
             sizes.append(np.fromiter(map(len, encoded), np.int64, len(encoded)))
         flat, size = np.concatenate(flats), np.concatenate(sizes)
-        n, total = len(self.index), len(flat)
+        n, total, used = len(self.index), len(flat), self.used
         assert len(size) == len(missing)
         while n + len(missing) > len(self.start):
             self.start, self.size = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.size, np.zeros_like(self.size)])
-        while self.used + total > len(self.flat):
+        while used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.flat[self.used : self.used + total] = flat
+        self.flat[used : used + total] = flat
         self.size[n : n + len(missing)] = size
-        self.start[n : n + len(missing)] = self.used + np.cumsum(size) - size
-        self.used += total
-        self.index.update(zip(plain + rest, range(n, n + len(missing))))
+        self.start[n : n + len(missing)] = used + np.cumsum(size) - size
+        if keep:
+            self.used += total
+            self.index.update(zip(chain(plain, rest), range(n, n + len(missing))))
+        flags, out = np.array(easy, bool), np.empty(len(missing), np.int64)
+        out[flags] = n + np.arange(len(plain))
+        out[~flags] = n + len(plain) + np.arange(len(rest))
+        return out
 
     def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """(names of all units, units per text)."""
@@ -147,19 +152,11 @@ class UnitEncoder:
         coded = names.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         numbers = np.fromiter(map(self.index.get, distinct, repeat(-1)), np.int64, len(distinct))
-        gaps = np.flatnonzero(numbers < 0).tolist()
-        if gaps:
-            kept, used, lost = len(self.index), self.used, [distinct[i] for i in gaps]
-            self._learn(lost)
-            numbers[gaps] = np.fromiter(map(self.index.__getitem__, lost), np.int64, len(lost))
-        start, size = self.start[numbers], self.size[numbers]
-        if gaps and len(self.index) > self.cache_units:
-            for u in lost:
-                del self.index[u]
-            self.used = used
-            assert len(self.index) == kept
+        gaps = np.flatnonzero(numbers < 0)
+        if len(gaps):
+            numbers[gaps] = self._learn([distinct[i] for i in gaps.tolist()], len(self.index) + len(gaps) <= self.cache_units)
         at = coded.indices.to_numpy()
-        return start[at], size[at], counts
+        return self.start[numbers][at], self.size[numbers][at], counts
 
     def lengths(self, texts: pa.Array) -> np.ndarray:
         _, sizes, counts = self._numbers(texts)
@@ -172,7 +169,9 @@ class UnitEncoder:
         starts, sizes, counts = self._numbers(texts)
         cum = np.append(0, np.cumsum(sizes))
         ends = np.cumsum(counts)
-        at = np.arange(cum[-1], dtype=np.int64) + np.repeat(starts - cum[:-1], sizes)
+        kind = np.int32 if cum[-1] + len(self.flat) < 1 << 31 else np.int64
+        at = np.repeat((starts - cum[:-1]).astype(kind), sizes)
+        at += np.arange(cum[-1], dtype=kind)
         return self.flat[at], cum[ends] - cum[ends - counts]
 
 
