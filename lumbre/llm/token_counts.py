@@ -20,7 +20,7 @@ from lumbre.llm import unit_encoder as U
 def _lengths(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = U.encoder(path)
-        for b in S.batches_of(batches, 8 << 20):
+        for b in S.batches_of(batches, 16 << 20):
             yield pa.RecordBatch.from_arrays([pa.array(enc.lengths(b.column(0)))], names=["n_tokens"])
 
     return run
@@ -40,10 +40,10 @@ def length_report(histogram: DataFrame) -> DataFrame:
     truncated_tokens        tokens left if every document is cut at L
     rank_from, rank_to      ranks of those documents by length, from 1: the quantile q is the L whose range holds ceil(q n)
 
-    Repeated rows count each; an empty table gives no rows. The suffix sums run over ranges of 4,096 lengths, so no task
+    Repeated rows count each; an empty table gives no rows. The suffix sums run over ranges of 256 lengths, so no task
     holds more than that however long the longest document is.
     """
-    h = S.store(histogram.select("n_tokens", "docs", (F.col("n_tokens") * F.col("docs")).alias("tokens"), F.floor(F.col("n_tokens") / 4096).alias("cell")), "lengths")
+    h = S.store(histogram.select("n_tokens", "docs", (F.col("n_tokens") * F.col("docs")).alias("tokens"), F.floor(F.col("n_tokens") / 256).alias("cell")), "lengths")
     cells = h.groupBy("cell").agg(F.sum("docs").alias("cell_docs"), F.sum("tokens").alias("cell_tokens"))
     beyond = Window.orderBy(F.col("cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")

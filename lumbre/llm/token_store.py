@@ -61,7 +61,7 @@ def _encode_partition(path: str, end_id: int, block_tokens: int) -> Callable:
             held, n_held, block = [], 0, block + 1
             return out
 
-        for batch in S.batches_of(batches, 8 << 20):
+        for batch in S.batches_of(batches, 16 << 20):
             ids, sizes = enc.encode(batch.column(1))
             ends = np.cumsum(sizes)
             ids = np.insert(ids, ends, end_id)
@@ -180,7 +180,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, tokenizer: str | None
     tokenizer = tokenizer or U.default_path()
     kind = _id_ddl(docs, id_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    staged = S.store(rows.mapInArrow(_encode_partition(tokenizer, end_id, block_tokens), f"part int, block int, doc_ids array<{kind}>, sizes array<long>, n_tokens long, ids binary"), "staged-ids")
+    staged = S.store(rows.mapInArrow(_encode_partition(tokenizer, end_id, block_tokens), f"part int, block int, doc_ids array<{kind}>, sizes array<long>, n_tokens long, ids binary"), "staged-ids", "snappy")
     counted = staged.filter("block = -1").select("ids").mapInArrow(_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     vocabulary = max([end_id + 1, *(r["token"] + 1 for r in counted)])
     counts = np.zeros(vocabulary, np.int64)

@@ -10,6 +10,7 @@ special token's string, or a separator that Python and the tokenizer's pattern c
 from __future__ import annotations
 
 import functools
+import gc
 import re
 from itertools import chain, repeat
 from operator import attrgetter
@@ -20,8 +21,8 @@ import pyarrow.compute as pc
 import regex
 
 #: Units that a Python worker keeps; once they are reached, further units are learnt for one batch only.
-CACHE_UNITS = 600_000
-CACHE_PIECES = 250_000
+CACHE_UNITS = 800_000
+CACHE_PIECES = 400_000
 _ID = attrgetter("id")
 _CUT = re.compile(r" (?=\S)")
 #: Our marks, and the separators that are white space to Python but not to the tokenizer's pattern.
@@ -90,6 +91,13 @@ class UnitEncoder:
 
     def _learn(self, missing: list[str], keep: bool) -> np.ndarray:
         """The numbers of units that the memory lacks. Those not to be kept have numbers beyond it until the next call."""
+        gc.disable()  # it would walk the memory's many tuples again and again, and there are no cycles here
+        try:
+            return self._learn_all(missing, keep)
+        finally:
+            gc.enable()
+
+    def _learn_all(self, missing: list[str], keep: bool) -> np.ndarray:
         easy = [u.isascii() and " " not in u and u[:1] > "\1" or not (not u or _NOT_PLAIN_UNIT(u)) for u in missing]
         plain = [u for u, e in zip(missing, easy) if e]
         rest = [u for u, e in zip(missing, easy) if not e]
