@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-LANES = 2048
+LANES = 4096
 LOW = np.uint64(1 << 31)
 W32 = np.uint64(32)
 

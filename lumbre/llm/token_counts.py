@@ -20,7 +20,7 @@ from lumbre.llm import unit_encoder as U
 def _lengths(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = U.encoder(path)
-        for b in S.batches_of(batches, 16 << 20):
+        for b in S.batches_of(batches, 10 << 20):
             yield pa.RecordBatch.from_arrays([pa.array(enc.lengths(b.column(0)))], names=["n_tokens"])
 
     return run

@@ -6,7 +6,7 @@ BLOCK_TOKENS tokens unless a single document has more:
   doc_ids, sizes  the block's documents and their numbers of tokens
   n_tokens, words  the rANS stream (32-bit words, little endian)
   marks  checkpoints (row, word, states), from any of which a reader can decode on
-  crc32  of the ids as little-endian unsigned 32-bit integers
+  crc32  of the documents' own CRCs, each over its ids as little-endian unsigned 32-bit integers
 and beside it one row with the shared frequency table. A reader needs one block and the table, nothing else.
 """
 
@@ -27,7 +27,7 @@ from lumbre.llm import unit_encoder as U
 
 BLOCK_TOKENS = 1 << 19
 #: Rows of lanes between checkpoints.
-MARK_ROWS = 128
+MARK_ROWS = 64
 BITS = 20
 
 
@@ -61,7 +61,7 @@ def _encode_partition(path: str, end_id: int, block_tokens: int) -> Callable:
             held, n_held, block = [], 0, block + 1
             return out
 
-        for batch in S.batches_of(batches, 16 << 20):
+        for batch in S.batches_of(batches, 10 << 20):
             ids, sizes = enc.encode(batch.column(1))
             ends = np.cumsum(sizes)
             ids = np.insert(ids, ends, end_id)
@@ -100,6 +100,15 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["token", "n"])
 
 
+def _document_crcs(ids: np.ndarray, sizes: np.ndarray) -> list[int]:
+    view, ends = memoryview(ids.astype("<u4", copy=False)).cast("B"), np.cumsum(sizes)
+    return [zlib.crc32(view[4 * (e - s) : 4 * e]) for s, e in zip(sizes.tolist(), ends.tolist())]
+
+
+def _block_crc(crcs: list[int]) -> int:
+    return zlib.crc32(np.array(crcs, "<u4").tobytes())
+
+
 def _write_blocks(freq, bits: int, mark_rows: int, wide: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = rans.table(freq.value, bits)
@@ -109,7 +118,7 @@ def _write_blocks(freq, bits: int, mark_rows: int, wide: bool) -> Callable:
                 words, marks = rans.encode(ids, table, mark_rows)
                 mark = pa.array([[{"row": r, "word": w, "states": s.astype("<u8").tobytes()} for r, w, s in marks]], MARKS)
                 keep = [b.column(c).slice(i, 1) for c in ("part", "block", "doc_ids", "sizes", "n_tokens", "first_start")]
-                yield pa.RecordBatch.from_arrays([*keep, pa.array([words.astype("<u4").tobytes()], pa.binary()), mark, pa.array([zlib.crc32(ids.astype("<u4").tobytes())], pa.int64())], names=["part", "block", "doc_ids", "sizes", "n_tokens", "first_start", "words", "marks", "crc32"])
+                yield pa.RecordBatch.from_arrays([*keep, pa.array([words.astype("<u4").tobytes()], pa.binary()), mark, pa.array([_block_crc(_document_crcs(ids, b.column("sizes").slice(i, 1).flatten().to_numpy()))], pa.int64())], names=["part", "block", "doc_ids", "sizes", "n_tokens", "first_start", "words", "marks", "crc32"])
 
     return run
 
@@ -132,13 +141,11 @@ def _read(freq, bits: int) -> Callable:
             for i in range(b.num_rows):
                 n = b.column("n_tokens")[i].as_py()
                 ids = read_block(b.column("words")[i].as_buffer(), b.column("marks")[i].as_py(), n, table).astype("<u4")
-                raw = ids.tobytes()
-                if zlib.crc32(raw) != b.column("crc32")[i].as_py():
-                    raise ValueError(f"checksum of block {b.column('part')[i]}/{b.column('block')[i]}")
                 sizes = b.column("sizes").slice(i, 1).flatten().to_numpy()
                 ends = np.cumsum(sizes)
-                view = memoryview(raw)
-                crc = [zlib.crc32(view[4 * (e - s) : 4 * e]) for s, e in zip(sizes.tolist(), ends.tolist())]
+                crc = _document_crcs(ids, sizes)
+                if _block_crc(crc) != b.column("crc32")[i].as_py():
+                    raise ValueError(f"checksum of block {b.column('part')[i]}/{b.column('block')[i]}")
                 start = b.column("first_start")[i].as_py() + ends - sizes
                 yield pa.RecordBatch.from_arrays([b.column("doc_ids").slice(i, 1).flatten(), pa.array(start, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 

@@ -10,8 +10,8 @@ special token's string, or a separator that Python and the tokenizer's pattern c
 from __future__ import annotations
 
 import functools
-import gc
 import re
+from array import array
 from itertools import chain, repeat
 from operator import attrgetter
 
@@ -21,8 +21,8 @@ import pyarrow.compute as pc
 import regex
 
 #: Units that a Python worker keeps; once they are reached, further units are learnt for one batch only.
-CACHE_UNITS = 800_000
-CACHE_PIECES = 400_000
+CACHE_UNITS = 600_000
+CACHE_PIECES = 300_000
 _ID = attrgetter("id")
 _CUT = re.compile(r" (?=\S)")
 #: Our marks, and the separators that are white space to Python but not to the tokenizer's pattern.
@@ -54,13 +54,14 @@ class UnitEncoder:
         self.cache_units = cache_units
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.vocab_size = self.library.get_vocab_size(with_added_tokens=True)
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        #: Ids of pieces as 32-bit words, a quarter of what tuples of numbers take.
+        self.pieces: dict[str, bytes] = {}
         #: A unit is named without its leading space; "\1" leads a text's first unit, which has none, "\0" a whole text.
         self.index: dict[str, int] = {}
         self.flat = np.empty(1 << 20, np.uint32)
         self.used = 0
-        self.start = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int64)
+        self.start = np.zeros(1 << 16, np.int32)
+        self.size = np.zeros(1 << 16, np.int32)
 
     def units(self, text: str) -> list[str]:
         if any(c in text for c in _ODD) or any(x in text for x in self.specials):
@@ -79,25 +80,18 @@ class UnitEncoder:
                     name = "Ġ" + p[1:]
                 else:
                     name = p.encode().decode("latin-1").translate(_BYTE_ALPHABET)
-                fresh[p] = tuple(map(_ID, bpe(name)))
+                fresh[p] = array("I", map(_ID, bpe(name))).tobytes()
         if len(known) + len(fresh) <= CACHE_PIECES:
             known.update(fresh)
             ids = list(map(known.__getitem__, cut))
         else:
             ids = [fresh[p] if p in fresh else known[p] for p in cut]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         first = np.flatnonzero(np.fromiter((p[0] == " " for p in cut), bool, len(cut)))
-        return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), np.add.reduceat(sizes, first)
+        return np.frombuffer(b"".join(ids), np.uint32), np.add.reduceat(sizes, first)
 
     def _learn(self, missing: list[str], keep: bool) -> np.ndarray:
         """The numbers of units that the memory lacks. Those not to be kept have numbers beyond it until the next call."""
-        gc.disable()  # it would walk the memory's many tuples again and again, and there are no cycles here
-        try:
-            return self._learn_all(missing, keep)
-        finally:
-            gc.enable()
-
-    def _learn_all(self, missing: list[str], keep: bool) -> np.ndarray:
         easy = [u.isascii() and " " not in u and u[:1] > "\1" or not (not u or _NOT_PLAIN_UNIT(u)) for u in missing]
         plain = [u for u, e in zip(missing, easy) if e]
         rest = [u for u, e in zip(missing, easy) if not e]
@@ -178,8 +172,10 @@ class UnitEncoder:
         cum = np.append(0, np.cumsum(sizes))
         ends = np.cumsum(counts)
         kind = np.int32 if cum[-1] + len(self.flat) < 1 << 31 else np.int64
-        at = np.repeat((starts - cum[:-1]).astype(kind), sizes)
+        starts = (starts - cum[:-1]).astype(kind)
+        at = np.repeat(starts, sizes)
         at += np.arange(cum[-1], dtype=kind)
+        del starts, sizes
         return self.flat[at], cum[ends] - cum[ends - counts]
 
 
