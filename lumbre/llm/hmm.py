@@ -264,7 +264,9 @@ def train(coded: DataFrame, unigram: np.ndarray, states: int = STATES, rounds: i
     """coded: (rid, symbols) of the training documents."""
     spark = coded.sparkSession
     model = Hmm.initial(unigram, states)
-    sample = coded.orderBy(F.xxhash64("rid"), "rid").limit(START_DOCS).select("symbols").collect()
+    # The sample's row numbers are found first, so that tasks don't send texts which then are not in it.
+    chosen = S.store(coded.select("rid").orderBy(F.xxhash64("rid"), "rid").limit(START_DOCS), "start-sample")
+    sample = sorted(coded.select("rid", "symbols").join(F.broadcast(chosen), "rid").collect(), key=lambda r: r["rid"])
     groups = [Batch.of(g) for g in batches(np.frombuffer(r["symbols"], "<u2").astype(np.int64) for r in sample)]
     for _ in range(START_ROUNDS if groups else 0):
         parts = [expected(model, g) for g in groups]
