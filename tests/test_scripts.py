@@ -221,6 +221,6 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert cli.main(["perfil", at, str(tmp_path / "p.json")]) == 0 and doc(tmp_path, "p.json")["filas"] == 5
     assert cli.main(["inspect", at]) == 0 and "Caracas" in capsys.readouterr().out
     put(tmp_path, "s.txt", "arreglo v = [1, 2]; suma(v);")
-    assert cli.main(["run", str(tmp_path / "s.txt")]) == 0 and "suma(v) = 3.0" in capsys.readouterr().out
+    assert cli.main(["run", str(tmp_path / "s.txt")]) == 0 and "suma(v) = 3" in capsys.readouterr().out
     assert cli.main(["inspect", str(tmp_path / "zz.csv")]) == 1 and json.loads(capsys.readouterr().err)["error"] == "IO"
     assert cli.main([]) == 2
