@@ -249,20 +249,12 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, bucket_rows: int = 16384) -> DataFrame:
-    """One row per row of docs: doc_id, text_hash, fingerprint (16 hex digits), component_id (smallest id that links reach), kept (the component's first row).
-
-    Nulls and texts without words have the fingerprint zero and link like any other; a null id is carried, and never
-    is a component_id unless its component has no other. Repeated rows are equal fingerprints. Empty tables give no
-    rows. Extra columns are ignored.
-    """
-    texts = docs.select(F.col(id_col).alias("doc_id"), S.text_hash(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    rows = S.store(texts.mapInArrow(_fingerprint_batches(shingle), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long"), "simhash-fp")
+def grouped(rows: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """near_duplicates' columns for the stored rows (doc_id, text_hash, fp): equal fp are one, links gives the edges (a, b) among the distinct ones."""
     # The least row: smallest id, null ids last, and of rows with one id that of the least hash.
     least_row = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash"))
     groups = S.store(rows.groupBy("fp").agg(least_row.alias("least"), F.count(F.lit(1)).alias("n")), "simhash-groups")
-    edges = links_between(groups.select("fp"), radius, bucket_rows)
-    roots = components(edges)
+    roots = components(links(groups.select("fp")))
     # Each fingerprint's component; those without links are their own. Then the least row of each component.
     rooted = S.store(groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
     least = S.store(rooted.groupBy("root").agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("members")), "simhash-least")
@@ -274,6 +266,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, bucket_rows: int = 16384) -> DataFrame:
+    """One row per row of docs: doc_id, text_hash, fingerprint (16 hex digits), component_id (smallest id that links reach), kept (the component's first row).
+
+    Nulls and texts without words have the fingerprint zero and link like any other; a null id is carried, and never
+    is a component_id unless its component has no other. Repeated rows are equal fingerprints. Empty tables give no
+    rows. Extra columns are ignored.
+    """
+    texts = docs.select(F.col(id_col).alias("doc_id"), S.text_hash(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    rows = S.store(texts.mapInArrow(_fingerprint_batches(shingle), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long"), "simhash-fp")
+    return grouped(rows, lambda distinct: links_between(distinct, radius, bucket_rows))
+
+
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs, all columns, with the smallest id of their component."""
     gone = near_duplicates(docs, id_col, text_col, **options).filter("not kept").select("doc_id", "text_hash").distinct()
