@@ -6,8 +6,8 @@ comes from its count, (c + 0.5) / (C + 0.5 (V + 1)) over the class's C tokens of
 seen. Thus P(text) = P(classes; HMM) * prod P(word | class), a proper distribution, computed exactly by the scaled
 forward recursion and a join of the rarer words with the corpus counts.
 
-Rounds: starting values come from a few rounds over a bounded sample of whole documents; then each round is a pass over
-all training documents, whose tasks return expected counts (one row per symbol), summed by Spark.
+Rounds: starting values come from the corpus counts and a seed; each round is a pass over all training documents, whose
+tasks return expected counts (one row per symbol), summed by Spark.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ from lumbre.llm import _shared as S
 
 STATES = 8
 HEAD, BUCKETS = 60_000, 4096
-START_DOCS, START_ROUNDS, ROUNDS = 1000, 8, 2
+#: Passes over all training documents.
+ROUNDS = 10
 #: Tokens of documents that are worked on together; a longer document stands alone.
 BATCH_TOKENS = 1_500_000
 #: The end of a text, as a word: no word holds white space.
@@ -261,18 +262,11 @@ def _likelihood(shared) -> Callable:
 
 
 def train(coded: DataFrame, unigram: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Hmm:
-    """coded: (rid, symbols) of the training documents."""
+    """coded: symbols of the training documents."""
     spark = coded.sparkSession
     model = Hmm.initial(unigram, states)
-    # The sample's row numbers are found first, so that tasks don't send texts which then are not in it.
-    chosen = S.store(coded.select("rid").orderBy(F.xxhash64("rid"), "rid").limit(START_DOCS), "start-sample")
-    sample = sorted(coded.select("rid", "symbols").join(F.broadcast(chosen), "rid").collect(), key=lambda r: r["rid"])
-    groups = [Batch.of(g) for g in batches(np.frombuffer(r["symbols"], "<u2").astype(np.int64) for r in sample)]
-    for _ in range(START_ROUNDS if groups else 0):
-        parts = [expected(model, g) for g in groups]
-        model = Hmm.from_counts(*(sum(p[i] for p in parts) for i in range(3)), unigram)
     names = [f"s{i}" for i in range(states)]
-    for _ in range(rounds if groups else 0):
+    for _ in range(0 if coded.isEmpty() else rounds):
         shared = spark.sparkContext.broadcast(model)
         rows = coded.select("symbols").mapInArrow(_expect(shared), "symbol int, " + ", ".join(f"{c} double" for c in names))
         # At most one row per symbol comes back: the alphabet bounds it.
@@ -332,7 +326,7 @@ def lm_scores(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col:
     shared = spark.sparkContext.broadcast(alphabet)
     kind = rows.schema["doc_id"].dataType.simpleString()
     coded = S.store(rows.mapInArrow(_symbols(shared), f"rid long, doc_id {kind}, held_out boolean, symbols binary, n_tokens long, n_known long, base double, rare array<string>, rare_n array<long>"), "coded")
-    model = train(coded.filter("not held_out").select("rid", "symbols"), unigram, states, rounds)
+    model = train(coded.filter("not held_out").select("symbols"), unigram, states, rounds)
 
     # The rarer words meet their counts by a shuffle join; none of them is frequent, as the frequent ones are in the head.
     each = coded.select("rid", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("rid", F.col("x.rare").alias("word"), F.col("x.rare_n").alias("tf"))
