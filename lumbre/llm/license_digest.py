@@ -105,13 +105,18 @@ Permission is granted to anyone to use this software for any purpose, including
     ("GPL-3.0-line", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3"),
 )
 
-# The canonical form, as (pattern, replacement) in the common subset of Java's and RE2's syntax. Letters are lower case by then.
+# Licence text that a line break may put at the start of a line, unlike the holder or year of a copyright statement.
+_BODY = r"(notices?|holders?|owners?|laws?|licen[cs]es?|interests?|statements?|disclaimers?|and|or|in|is)"
+
+# The canonical form, as (pattern, replacement) in the common subset of Java's and RE2's syntax but for the first's lookahead. Letters are lower case by then.
 STEPS = (
-    (r"(^|\n)[^\na-z0-9]*(copyright|\(c\)|©)[^\n]*", "\n"),  # copyright lines
+    (r"(^|\n)[^\na-z0-9]*(copyright(?![^a-z0-9(©]*" + _BODY + r"\b)|\(c\)|©)[^\n]*", "\n"),  # copyright statements
     (r"(^|\n)[^\na-z0-9]*all rights reserved[^\n]*", "\n"),
     (r"https?://", ""),
     (r"[^a-z0-9\x80-\x{10FFFF}]+", " "),  # punctuation, comment marks and white space
 )
+# RE2 has no lookahead: in the SQL, every line that begins with the word goes. The two differ on texts that wrap there.
+SQL_STEPS = ((r"(^|\n)[^\na-z0-9]*(copyright|\(c\)|©)[^\n]*", "\n"), *STEPS[1:])
 
 
 def canonical(text):
@@ -157,7 +162,7 @@ def oracle() -> str:
 
     def form(text: str) -> str:
         col = f"translate(coalesce({text}, ''), '{S.UPPER}', '{S.LOWER}')"
-        for pattern, to in STEPS:
+        for pattern, to in SQL_STEPS:
             col = f"regexp_replace({col}, {quote(pattern)}, " + ("chr(10)" if to == "\n" else quote(to)) + ", 'g')"
         col = f"' ' || trim({col}, ' ') || ' '"
         for variant, to in SPELLINGS:
