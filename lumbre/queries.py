@@ -769,6 +769,14 @@ def irr(spark, d):
     return rounded(finance.series_irr(t, ["p_partkey"], "i", "f"), "irr", n=6)
 
 
+@query()
+def irr_series(spark, d):
+    # A hundred of each part are bought, and the orders of the customer with the part's number come in, one a period.
+    bought = table(spark, d, "part").select("p_partkey", F.lit(0).cast("long").alias("i"), (F.col("p_retailprice") * -100).cast("double").alias("f"))
+    sold = table(spark, d, "orders").select(F.col("o_custkey").alias("p_partkey"), F.col("o_orderkey").cast("long").alias("i"), F.col("o_totalprice").cast("double").alias("f"))
+    return rounded(finance.series_irr(bought.unionByName(sold), ["p_partkey"], "i", "f"), "irr", n=6)
+
+
 @query("SELECT s_suppkey, CAST(12 AS INTEGER) AS periodos, true AS saldado FROM supplier WHERE s_acctbal > 100")
 def amortization(spark, d):
     t = table(spark, d, "supplier").filter("s_acctbal > 100").select("s_suppkey", F.col("s_acctbal").alias("p"), F.lit(0.01).alias("r"), F.lit(12).alias("n"))
