@@ -15,21 +15,25 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
-import unicodedata
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumbre.llm import _shared as S
 
-#: Chunks kept per Python worker, and words; beyond that they are learnt for one batch only.
-CACHE_CHUNKS = 250_000
+#: Chunks kept per Python worker (some 300 bytes each); beyond that they are learnt for one batch only.
+CACHE_CHUNKS = 900_000
 #: The pattern by which the tokenizer cuts lower-cased text; what it doesn't match (white space) goes.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+").findall
-_WHITE = regex.compile(r"\p{White_Space}+")
+#: Up to U+024F, but for two kinds of white space, lower-casing and the classes of characters are the same here and in the
+#: library, and nothing composes. All other text is normalised and cut by the library itself, whose tables are its own.
+_OTHER_TABLES = regex.compile(r"[\x85\xA0\u0250-\U0010FFFF]").search
+_OTHER_TABLES_RE2 = r"[\x{85}\x{A0}\x{250}-\x{10FFFF}]"
 #: The byte-level alphabet: printable bytes stand for themselves, the others for U+0100 onwards in order.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _ALPHABET = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
@@ -43,8 +47,12 @@ def default_path() -> str:
 
 class TrieBpe:
     def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        library = Tokenizer.from_file(path)
+        self.normalise, self.cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         model = spec["model"]
         self.end = model.get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = model["vocab"]
@@ -62,7 +70,11 @@ class TrieBpe:
         self.longest = max(map(len, self.vocab))
         self.borders: dict[tuple[int, int], bool] = {}
         self.cache_chunks = cache_chunks
-        self.chunks: dict[str, tuple[str, str, int]] = {}
+        #: The number of a chunk, under which stand its ids joined by a space, its tokens likewise, and how many they are.
+        self.chunks: dict[str, int] = {}
+        self.ids_text: list[str] = []
+        self.names_text: list[str] = []
+        self.sizes: list[int] = []
         self._split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
 
     def holds(self, left: int, right: int) -> bool:
@@ -133,49 +145,100 @@ class TrieBpe:
             out[word] = ids
         return out
 
-    @staticmethod
-    def _lowered(text: str) -> str:
-        if text.isascii():
-            return text.lower()
-        # The tokenizer lowers each character by itself; Python would make a last sigma of its own.
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-
-    def chunks_of(self, text: str) -> list[str]:
-        """Pieces between white space, lower-cased; special tokens stand alone, marked."""
-        if self._split is not None and "<|" in text and len(parts := self._split.split(text)) > 1:
-            return [c for k, part in enumerate(parts) for c in (["\0" + part] if k % 2 else self.chunks_of(part))]
-        low = self._lowered(text)
-        if any(c in low for c in "\0\1\x1c\x1d\x1e\x1f"):
-            return ["\1" + c for c in _WHITE.split(low) if c]
-        return low.split()
-
-    def _learn(self, missing: list[str]) -> dict[str, tuple[str, str, int]]:
-        pieces: dict[str, list[str]] = {}
-        for c in missing:
-            if c[0] == "\0" and c[1:] in self.specials:
-                continue
-            cut = _PIECES(c[1:] if c[0] == "\1" else c)
-            pieces[c] = [p if p.isascii() and p.isalnum() else p.encode().decode("latin-1").translate(_ALPHABET) for p in cut]
-        ids = self.encode_words(list({w for ws in pieces.values() for w in ws}))
-        names, out = self.names, {}
-        for c in missing:
-            own = [i for w in pieces[c] for i in ids[w]] if c in pieces else [self.specials[c[1:]]]
-            out[c] = (" ".join(map(str, own)), " ".join([names[i] for i in own]), len(own))
-        return out
+    def lowered(self, texts: list[str]) -> pa.Array:
+        """Normalised texts without special tokens; their white space is that of ASCII."""
+        plain = pa.array(texts, pa.string())
+        other = pc.match_substring_regex(plain, _OTHER_TABLES_RE2).to_pylist()
+        return pa.array([self.normalise(t) if o else t.lower() for t, o in zip(texts, other)], pa.string())
+
+    def pieces(self, chunk: str) -> list[str]:
+        """The words of a chunk of lowered text, in the byte-level alphabet."""
+        if chunk.isascii():
+            if chunk.isalpha():
+                return [chunk]
+            if chunk[:-1].isalpha() and chunk[-1] in ".,;:?!":
+                return [chunk[:-1], chunk[-1]]
+        elif _OTHER_TABLES(chunk):
+            return [p for p, _ in self.cut(chunk)]
+        return [p if p.isascii() and p.isalnum() else p.encode().decode("latin-1").translate(_ALPHABET) for p in _PIECES(chunk)]
+
+    def _learn(self, missing: list[str]) -> None:
+        """Appends what is known of chunks to the lists."""
+        cut = [self.pieces(c) for c in missing]
+        ids = self.encode_words(list({w for ws in cut for w in ws}))
+        names = self.names
+        text = {w: (" ".join(map(str, own)), " ".join([names[i] for i in own]), len(own)) for w, own in ids.items()}
+        for words in cut:
+            if len(words) == 1:
+                a, b, n = text[words[0]]
+            else:
+                got = [text[w] for w in words]
+                a, b, n = " ".join([g[0] for g in got]), " ".join([g[1] for g in got]), sum([g[2] for g in got])
+            self.ids_text.append(a)
+            self.names_text.append(b)
+            self.sizes.append(n)
+
+    def _segments(self, texts: list[str | None]) -> tuple[list[str], list[int], list[tuple[int, int, str]]]:
+        """(segments between special tokens, the text of each, special tokens as (text, segments before it in all, token))."""
+        out, owner, special = [], [], []
+        for k, text in enumerate(texts):
+            parts = self._split.split(text) if text and self._split is not None and "<|" in text else [text or ""]
+            for i, part in enumerate(parts):
+                if i % 2:
+                    special.append((k, len(out), part))
+                else:
+                    out.append(part)
+                    owner.append(k)
+        return out, owner, special
+
+    def batch(self, texts: list[str | None], with_ids: bool = False) -> tuple[pa.Array, pa.Array, np.ndarray, pa.Array | None]:
+        """(ids joined by a space, decoded text, number of ids, ids if asked for) of each text."""
+        segments, owner, special = self._segments(texts)
+        lists = pc.ascii_split_whitespace(self.lowered(segments))
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        known, kept = self.chunks, len(self.sizes)
+        numbers = [known.get(c, -1) for c in distinct]
+        missing = [c for c, k in zip(distinct, numbers) if k < 0]
+        if missing:
+            self._learn(missing)
+            fresh = iter(range(kept, len(self.sizes)))
+            numbers = [k if k >= 0 else next(fresh) for k in numbers]
+            if len(self.sizes) <= self.cache_chunks:
+                known.update(zip(missing, range(kept, len(self.sizes))))
+                kept = len(self.sizes)
+        ids_text, names_text, sizes = ([values[k] for k in numbers] for values in (self.ids_text, self.names_text, self.sizes))
+        for values in (self.ids_text, self.names_text, self.sizes):
+            del values[kept:]
+        at, ends = coded.indices.to_numpy(), lists.offsets.to_numpy()
+        owner = np.repeat(np.array(owner, np.int64), np.diff(ends))
+        if special:
+            # A special token stands as a chunk of its own between its neighbours' chunks.
+            place = ends[[n for _, n, _ in special]]
+            at = np.insert(at, place, np.arange(len(sizes), len(sizes) + len(special)))
+            owner = np.insert(owner, place, [k for k, _, _ in special])
+            for _, _, t in special:
+                ids_text.append(str(self.specials[t]))
+                names_text.append(t)
+                sizes.append(1)
+        n = np.array(sizes, np.int64)
+        if not n.all():
+            at, owner = at[n[at] > 0], owner[n[at] > 0]
+        offsets = np.searchsorted(owner, np.arange(len(texts) + 1))
+        cum = np.append(0, np.cumsum(n[at]))
+        taken = lambda values: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values.take(pa.array(at)))
+        joined, decoded = (pc.binary_join(taken(pa.array(values, pa.string())), " ") for values in (ids_text, names_text))
+        ids = None
+        if with_ids:
+            own = pa.array([[int(i) for i in t.split()] for t in ids_text], pa.list_(pa.int32()))
+            ids = pa.ListArray.from_arrays(pa.array(cum[offsets], pa.int32()), own.take(pa.array(at)).flatten())
+        return joined, decoded, np.diff(cum[offsets]), ids
+
 
-    def batch(self, texts: list[str | None]) -> Iterator[tuple[str, str, int]]:
-        """(ids joined by a space, decoded text, number of ids) of each text."""
-        cut = [self.chunks_of(t) if t else [] for t in texts]
-        known = self.chunks
-        missing = list(dict.fromkeys(c for cs in cut for c in cs if c not in known))
-        extra = self._learn(missing) if missing else {}
-        if len(known) + len(extra) <= self.cache_chunks:
-            known.update(extra)
-            extra = {}
-        for cs in cut:
-            got = [known[c] if c in known else extra[c] for c in cs] if extra else [known[c] for c in cs]
-            got = [g for g in got if g[2]]
-            yield " ".join([g[0] for g in got]), " ".join([g[1] for g in got]), sum([g[2] for g in got])
+def _sha256(strings: pa.Array) -> pa.Array:
+    ends = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].tolist()
+    data = memoryview(strings.buffers()[2] or b"")
+    return pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(ends, ends[1:])], pa.string())
 
 
 @functools.lru_cache(maxsize=2)
@@ -187,19 +250,12 @@ def coder(path: str) -> TrieBpe:
 def _run(path: str, full: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
-        for b in S.batches_of(batches, 4 << 20):
-            n, ids_sha, text_sha, ids, texts = [], [], [], [], []
-            for joined, decoded, k in bpe.batch(b.column(1).to_pylist()):
-                n.append(k)
-                ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
-                text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
-                if full:
-                    ids.append([int(i) for i in joined.split()])
-                    texts.append(decoded)
-            columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+        for b in S.batches_of(batches, 8 << 20):
+            joined, decoded, n, ids = bpe.batch(b.column(1).to_pylist(), full)
+            columns = [b.column(0), pa.array(n), _sha256(joined), _sha256(decoded)]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if full:
-                columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
+                columns += [ids, decoded]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 

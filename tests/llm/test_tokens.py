@@ -140,7 +140,28 @@ def test_trie_equals_library(text):
     bpe = trie_bpe.coder(trie_bpe.default_path())
     tokenizer = _words()
     ids = tokenizer.encode(text, add_special_tokens=False).ids
-    assert next(bpe.batch([text])) == (" ".join(map(str, ids)), tokenizer.decode(ids, skip_special_tokens=False), len(ids))
+    joined, decoded, n, got = bpe.batch([text], True)
+    assert (got.to_pylist(), n.tolist()) == ([ids], [len(ids)])
+    assert (joined.to_pylist(), decoded.to_pylist()) == ([" ".join(map(str, ids))], [tokenizer.decode(ids, skip_special_tokens=False)])
+
+
+def test_trie_equals_library_at_every_code_point():
+    """Classes, lower case, composition and white space are the library's, alone, in a word, doubled, beside digits and marks."""
+    bpe, tokenizer = trie_bpe.coder(trie_bpe.default_path()), _words()
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    shapes = (":{0}", "a{0}B", "{0}{0}", "1{0}'s", "\u0301{0}\u0301")
+    for texts in (["".join(c) for c in zip(points, "a" * len(points))], [s.format(c) for s in shapes for c in points[:0x3000]]):
+        for i in range(0, len(texts), 50_000):
+            part = texts[i : i + 50_000]
+            want = [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            got = bpe.batch(part, True)[3].to_pylist()
+            assert [(t, g) for t, g, w in zip(part, got, want) if g != w] == []
+
+
+def test_trie_special_tokens():
+    bpe, tokenizer = trie_bpe.coder(trie_bpe.default_path()), _words()
+    texts = ["<|endoftext|>", "a<|endoftext|>b <|startoftext|><|endoftext|>\n", "", None, "<|no|> x", "É<|endoftext|>ΟΔΟΣ Σ", " <|endoftext|> "]
+    assert bpe.batch(texts, True)[3].to_pylist() == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 _CACHE = []
