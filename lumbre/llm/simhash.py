@@ -224,13 +224,39 @@ def links_between(distinct: DataFrame, radius: int = 3, bucket_rows: int = 16384
     return links
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of the undirected edges (a, b), by alternating large-star and small-star steps.
+#: Up to so many edges (16 bytes each) are connected in one task.
+LOCAL_EDGES = 500_000
 
-    The root is the least node that can be reached. A step's groups are aggregated map-side, and each round is written
-    out, so lineage stays short. The number of rounds grows with the logarithm of a component's diameter.
+
+def _connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges in one task: (node, root) by union and find."""
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while (up := root.setdefault(i, i)) != i:
+            root[i] = root[up]
+            i = up
+        return i
+
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            x, y = find(x), find(y)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    nodes = [i for i in list(root) if find(i) != i]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(i) for i in nodes], pa.int64())], names=["node", "root"])
+
+
+def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(node, root) of every node of the undirected edges (a, b) that isn't a root itself; the root is the least node that can be reached.
+
+    Up to local_edges edges, counted, are connected in one task. More are connected by alternating large-star and
+    small-star steps: a step's groups are aggregated map-side, and each round is written out, so lineage stays short. The
+    number of rounds grows with the logarithm of a component's diameter.
     """
     e = S.store(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+    if e.count() <= local_edges:
+        return S.store(e.coalesce(1).mapInArrow(_connect, "node long, root long"), "cc-roots")
     while True:
         # Large star: each node sends its larger neighbours to the least node among itself and its neighbours.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -7,6 +7,7 @@ import pytest
 from conftest import SCHEMA, sentence
 
 import corpus_pipeline
+from lumbre.llm import near_copies, simhash
 
 
 def shingles(text):
@@ -52,7 +53,37 @@ def test_stage_links_what_all_pairs_link(spark):
 
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
 def test_stage_on_tables(spark, sf, size):
-    docs = corpus_pipeline.exact_dedup(spark, spark.read.parquet(f"{sf}/../{size}/documents.parquet"), sf).localCheckpoint()
+    docs = corpus_pipeline.exact_dedup(spark, spark.read.parquet(f"{sf}/../{size}/documents.parquet"), sf)
     want, pairs = survivors([(r.doc_id, r.text) for r in docs.collect()])
     assert pairs > 0
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()} == want
+
+
+def test_buckets_beyond_a_block(spark):
+    """Buckets dealt into blocks, with few leaders, connect what all pairs connect."""
+    rng, rows = random.Random(4), []
+    for group in range(4):
+        words = sentence(rng, 150).split()
+        for _ in range(60):
+            copy = list(words)
+            for at in rng.sample(range(len(copy)), rng.randint(0, 7)):
+                copy[at] = f"changed{rng.random()}"
+            rows.append((len(rows), " ".join(copy)))
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    stored = near_copies.shingle_rows(texts)
+    want, pairs = survivors(rows)
+    assert pairs > 500 and 4 < len(want) < 200
+    for block, leaders in ((8, 1), (8, 0), (1000, 32)):
+        roots = {r.node: r.root for r in simhash.components(near_copies.links_between(stored, block, leaders)).collect()}
+        groups = {}
+        for r in stored.select("doc_id", "fp").collect():
+            groups.setdefault(roots.get(r.fp, r.fp), []).append(r.doc_id)
+        assert {min(g) for g in groups.values()} == want
+
+
+def test_components_in_one_task_and_in_rounds(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1100)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    one, rounds = (sorted(map(tuple, simhash.components(frame, n).collect())) for n in (1000, 0))
+    assert one == rounds and len(one) > 100

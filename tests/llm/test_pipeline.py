@@ -3,7 +3,8 @@
 import hashlib
 
 import pytest
-from test_dedup import brute_components, fingerprint, norm
+from test_dedup import norm
+from test_near_copies import survivors
 from test_scans import brute
 from tokenizers import Tokenizer
 
@@ -23,11 +24,8 @@ def test_run_equals_brute_force(spark, sf):
     rows = sorted((r.doc_id, r.text) for r in docs.collect() if r.doc_id in selected)
     seen: dict[str, int] = {}
     rows = [r for r in rows if seen.setdefault(norm(r[1]), r[0]) == r[0]]
-    comp = brute_components([fingerprint(t) for _, t in rows])
-    least: dict[int, int] = {}
-    for (i, _), c in zip(rows, comp):
-        least[c] = min(i, least.get(c, i))
-    rows = [r for r, c in zip(rows, comp) if least[c] == r[0]]
+    stay, _ = survivors(rows)
+    rows = [r for r in rows if r[0] in stay]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     dirty = {r[0] for r in brute(rows, items) if r[5]}
     tokenizer = Tokenizer.from_file(trie_bpe.default_path())
