@@ -1,13 +1,20 @@
 """A hidden Markov language model, trained by Baum-Welch over the whole training corpus.
 
-Alphabet: the HEAD most frequent training words, and BUCKETS classes into which all other words fall by hash, so the
-model's tables have a fixed size however many words the corpus has. A class member's own probability within its class
-comes from its count, (c + 0.5) / (C + 0.5 (V + 1)) over the class's C tokens of V words with one share for words never
-seen. Thus P(text) = P(classes; HMM) * prod P(word | class), a proper distribution, computed exactly by the scaled
-forward recursion and a join of the rarer words with the corpus counts.
-
-Rounds: starting values come from the corpus counts and a seed; each round is a pass over all training documents, whose
-tasks return expected counts (one row per symbol), summed by Spark.
+The latent states are trained on an alphabet that a broadcast can hold: the HEAD most frequent training words, and
+BUCKETS classes into which all other words fall by hash. Rounds are passes over all training documents; the tasks return
+expected counts (one row per symbol), summed by Spark. The last pass also sums, for every word outside the head, its
+expected count in each state: a table of words that grows with the corpus and stays distributed. Emissions of the final
+model are word by word, by one formula for all words, frequent or rare: the word's counts by state, interpolated with
+the unigram model,
+
+    P(w | s) = (n(w, s) + k(s) u(w)) / (n(s) + k(s)),   u(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)),
+
+where k(s) grows with the different words of the state as Witten and Bell have it, and one share is left for words never
+seen. Each state's emissions are thus a proper distribution over words.
+
+Documents are coded in blocks (some megabytes of text). A block names its rarer words once, however often its documents
+repeat them; those that training has seen are joined with the table of words, and the block's texts are scored by the
+exact scaled forward recursion.
 """
 
 from __future__ import annotations
@@ -20,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,31 +35,49 @@ from lumbre.llm import _shared as S
 
 STATES = 8
 HEAD, BUCKETS = 60_000, 4096
-#: Passes over all training documents.
-ROUNDS = 10
+#: Passes over all training documents at most; they end when a pass gains less than GAIN (natural logarithm, per token).
+ROUNDS, GAIN = 10, 2e-4
+#: Bytes of text in a block.
+BLOCK_BYTES = 8 << 20
 #: Tokens of documents that are worked on together; a longer document stands alone.
-BATCH_TOKENS = 1_500_000
+BATCH_TOKENS = 800_000
+#: Steps between scalings. A step changes a state's weight by its emission relative to the unigram model, well within 1e15.
+SCALE_STEPS = 16
 #: The end of a text, as a word: no word holds white space.
 END = "\n"
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words in A-Z-lower-cased UTF-8: runs of anything but space, tab, line feed, vertical tab, form feed and return."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words, the number of each word of all texts in a row, words per text).
+
+    Words are runs of anything but space, tab, line feed, vertical tab, form feed and return, A-Z lower-cased. Null is empty.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    coded = lists.flatten().dictionary_encode()
+    at, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    ends = lists.offsets.to_numpy()
+    if "" in distinct:  # white space at a text's ends
+        word = at != distinct.index("")
+        ends = np.append(0, np.cumsum(word))[ends]
+        at = at[word]
+    return distinct, at, np.diff(ends)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
 
     def out() -> pa.RecordBatch:
-        got = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
+        got = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
         counts.clear()
         return got
 
-    for b in S.batches_of(batches, 4 << 20):
-        for text in b.column(0).to_pylist():
-            counts.update(words_of(text))
-        counts[END.encode()] += b.num_rows
+    for b in S.batches_of(batches, BLOCK_BYTES):
+        distinct, at, _ = words_of(b.column(0))
+        n = np.bincount(at, minlength=len(distinct)).tolist()
+        for w, k in zip(distinct, n):
+            if k:
+                counts[w] += k
+        counts[END] += b.num_rows
         if len(counts) > 400_000:
             yield out()
     if counts:
@@ -60,7 +86,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Alphabet:
-    head: dict[bytes, int]
+    head: dict[str, int]
     counts: np.ndarray  # of the head words, in order
     tokens: int
     words: int
@@ -69,50 +95,41 @@ class Alphabet:
     def size(self) -> int:
         return len(self.head) + BUCKETS
 
+    def shares(self, counts: np.ndarray) -> np.ndarray:
+        """u of words with these counts."""
+        return (counts + 0.5) / (self.tokens + 0.5 * (self.words + 1))
+
     def unigram(self, buckets: np.ndarray) -> np.ndarray:
         c = np.concatenate([self.counts, buckets]) + 0.5
         return c / c.sum()
 
 
-def _symbols(shared) -> Callable:
-    """Per document: its symbols, what the head words give to the base score, and the other words with their numbers."""
+def _code(shared) -> Callable:
+    """A row per block: its documents, their tokens as symbols, and which rarer word each symbol of a class stands for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        alphabet: Alphabet = shared.value
-        head, n_head = alphabet.head, len(alphabet.head)
-        floor = math.log10(alphabet.tokens + 0.5 * (alphabet.words + 1))
-        logs = np.append(np.log10(alphabet.counts + 0.5) - floor, np.zeros(BUCKETS))
-        known = np.append(alphabet.counts > 0, np.zeros(BUCKETS, bool))
-        end = head[END.encode()]
-        row = TaskContext.get().partitionId() << 33
-        crc = zlib.crc32
-        for b in S.batches_of(batches, 4 << 20):
-            symbols, n_tokens, n_known, base, rare_words, rare_n = [], [], [], [], [], []
-            for text in b.column(2).to_pylist():
-                words = words_of(text)
-                got = [head.get(w, -1) for w in words]
-                got.append(end)
-                ids = np.array(got, np.int64)
-                gaps = np.flatnonzero(ids < 0).tolist()
-                if gaps:
-                    lost = [words[i] for i in gaps]
-                    ids[gaps] = [n_head + crc(w) % BUCKETS for w in lost]
-                    tally = Counter(lost)
-                    rare_words.append(list(tally))
-                    rare_n.append(list(tally.values()))
-                else:
-                    rare_words.append([])
-                    rare_n.append([])
-                symbols.append(ids.astype("<u2").tobytes())
-                n_tokens.append(len(ids))
-                n_known.append(int(known[ids].sum()))
-                base.append(float(logs[ids].sum()))
-            rid = np.arange(row, row + b.num_rows, dtype=np.int64)
-            row += b.num_rows
-            words = pa.array(rare_words, pa.list_(pa.binary())).cast(pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(rid), b.column(0), b.column(1), pa.array(symbols, pa.binary()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), words, pa.array(rare_n, pa.list_(pa.int64()))], names=["rid", "doc_id", "held_out", "symbols", "n_tokens", "n_known", "base", "rare", "rare_n"])
+        head = shared.value.head
+        n_head, block = len(head), TaskContext.get().partitionId() << 33
+        one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+        for b in S.batches_of(batches, BLOCK_BYTES):
+            distinct, at, sizes = words_of(b.column(2))
+            symbol = np.fromiter((head.get(w, -1) for w in distinct), np.int64, len(distinct))
+            present = np.zeros(len(distinct), bool)
+            present[at] = True
+            rare = np.flatnonzero((symbol < 0) & present)
+            words = [distinct[i] for i in rare.tolist()]
+            symbol[rare] = [n_head + zlib.crc32(w.encode()) % BUCKETS for w in words]
+            number = np.full(len(distinct), -1, np.int64)
+            number[rare] = np.arange(len(rare))
+            tail_at = number[at]
+            symbols = np.insert(symbol[at], np.cumsum(sizes), head[END])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int64()), one(b.column(0)), one(b.column(1)), one(pa.array(sizes + 1, pa.int64())), pa.array([symbols.astype("<u2").tobytes()], pa.binary()), one(pa.array(words, pa.string())), pa.array([tail_at[tail_at >= 0].astype("<u4").tobytes()], pa.binary())],
+                names=["block", "doc_ids", "held_out", "sizes", "symbols", "tail", "tail_at"],
+            )
+            block += 1
 
     return run
 
@@ -132,151 +149,247 @@ class Hmm:
         return Hmm(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
 
     @staticmethod
-    def from_counts(start: np.ndarray, move: np.ndarray, emit: np.ndarray, unigram: np.ndarray, prior: float = 200.0) -> Hmm:
-        """The M step. Each state's emissions are interpolated with the unigram model as Witten and Bell do: the unigram
-        model weighs as much as the state has different symbols, which is much where there are few data."""
-        e = emit + (prior + np.minimum(emit, 1).sum(axis=0)) * unigram[:, None]
+    def weights(types: np.ndarray, prior: float = 200.0) -> np.ndarray:
+        """k(s): what the unigram model weighs against the state's own counts."""
+        return prior + types
+
+    @staticmethod
+    def from_counts(start: np.ndarray, move: np.ndarray, emit: np.ndarray, unigram: np.ndarray) -> Hmm:
+        """The M step over symbols."""
+        e = emit + Hmm.weights(np.minimum(emit, 1).sum(axis=0)) * unigram[:, None]
         m = move + 0.1
         s = start + 0.1
         return Hmm(s / s.sum(), m / m.sum(axis=1, keepdims=True), e / e.sum(axis=0))
 
 
+def aligned(table: np.ndarray) -> np.ndarray:
+    """A copy whose rows of eight doubles are one cache line each."""
+    room = np.empty(table.size + 8)
+    at = (-room.ctypes.data % 64) // 8
+    out = room[at : at + table.size].reshape(table.shape)
+    out[:] = table
+    return out
+
+
 @dataclass
 class Batch:
     """Sequences laid side by side, step by step: the first step of all, then the second of all that have one, ..."""
 
     order: np.ndarray  # sequence numbers, longest first
-    flat: np.ndarray
-    owner: np.ndarray  # position in `order` of each entry of flat
+    sizes: np.ndarray  # in that order
+    place: np.ndarray  # where the tokens of the sequences, one after the other in that order, stand in the layout
     active: np.ndarray  # sequences at each step
     at: np.ndarray  # where each step begins
 
     @staticmethod
-    def of(sequences: list[np.ndarray]) -> Batch:
-        sizes = np.array([len(s) for s in sequences])
+    def of(sizes: np.ndarray) -> Batch:
         order = np.argsort(-sizes, kind="stable")
-        longest = int(sizes.max())
-        active = len(sizes) - np.searchsorted(np.sort(sizes), np.arange(longest), "right")
+        sizes = sizes[order]
+        active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(int(sizes[0])), "right")
         at = np.cumsum(active) - active
-        step = np.concatenate([np.arange(n) for n in sizes[order]])
-        owner = np.repeat(np.arange(len(order)), sizes[order])
-        place = at[step] + owner
-        flat, owners = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
-        flat[place] = np.concatenate([sequences[i] for i in order])
-        owners[place] = owner
-        return Batch(order, flat, owners, active, at)
-
-
-def forward(model: Hmm, b: Batch, keep: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    """(scale of every step, scaled forward variables if kept); the product of a sequence's scales is its likelihood."""
-    scales = np.empty(len(b.flat))
-    kept = np.empty((len(b.flat), len(model.start))) if keep else None
-    a = None
-    for n, i in zip(b.active.tolist(), b.at.tolist()):
-        e = model.emit[b.flat[i : i + n]]
-        a = e * model.start if a is None else (a[:n] @ model.move) * e
-        c = a.sum(axis=1)
-        a /= c[:, None]
-        scales[i : i + n] = c
-        if keep:
-            kept[i : i + n] = a
-    return scales, kept
-
-
-def expected(model: Hmm, b: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch counts of a batch: of start states, moves, and symbols by state."""
-    scales, alpha = forward(model, b, True)
-    k = len(model.start)
-    moves = np.zeros((k, k))
-    gamma = alpha  # overwritten from the back
-    back = np.ones((int(b.active[-1]), k))
-    back_move = np.ascontiguousarray(model.move.T)
-    for t in range(len(b.active) - 1, 0, -1):
-        n, i, m, j = int(b.active[t]), int(b.at[t]), int(b.active[t - 1]), int(b.at[t - 1])
-        ahead = model.emit[b.flat[i : i + n]] * back
-        ahead /= scales[i : i + n, None]
-        before = alpha[j : j + n]
-        moves += before.T @ ahead
-        gamma[i : i + n] *= back
-        back = np.ones((m, k))
-        back[:n] = ahead @ back_move
-    first = int(b.active[0])
-    gamma[:first] *= back
-    size = len(model.emit)
-    symbols = np.stack([np.bincount(b.flat, gamma[:, s], size) for s in range(k)], axis=1)
-    return gamma[:first].sum(axis=0), moves * model.move, symbols
-
-
-def batches(sequences: Iterator[np.ndarray], tokens: int = BATCH_TOKENS) -> Iterator[list[np.ndarray]]:
-    held, n = [], 0
-    for s in sequences:
-        if held and n + len(s) > tokens:
-            yield held
-            held, n = [], 0
-        held.append(s)
-        n += len(s)
-    if held:
-        yield held
-
-
-def _sequences(column: pa.Array) -> Iterator[np.ndarray]:
-    for i in range(len(column)):
-        yield np.frombuffer(column[i].as_buffer(), "<u2").astype(np.int64)
-
-
-def _expect(shared) -> Callable:
-    """Rows (symbol, counts by state); symbol -1 the start states, -2 - i the moves from state i."""
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Hmm = shared.value
-        k = len(model.start)
-        start, moves, symbols = np.zeros(k), np.zeros((k, k)), np.zeros(model.emit.shape)
-        for group in batches(s for b in rows for s in _sequences(b.column(0))):
-            a, m, e = expected(model, Batch.of(group))
-            start += a
-            moves += m
-            symbols += e
+        before = np.cumsum(sizes) - sizes
+        step = np.arange(int(sizes.sum())) - np.repeat(before, sizes)
+        return Batch(order, sizes, at[step] + np.repeat(np.arange(len(order)), sizes), active, at)
+
+    def laid(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The tokens of the sequences, which begin at `starts` in flat, in this layout."""
+        before = np.cumsum(self.sizes) - self.sizes
+        out = np.empty(len(self.place), flat.dtype)
+        out[self.place] = flat[np.repeat(starts[self.order] - before, self.sizes) + np.arange(len(self.place))]
+        return out
+
+
+def forward(start: np.ndarray, move: np.ndarray, e: np.ndarray, b: Batch, out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(forward variables, each sequence's likelihood as a logarithm, longest first) for the emissions e of b's tokens; may overwrite e."""
+    a = e if out is None else out
+    logs = np.zeros(len(b.order))
+    active, at = b.active.tolist(), b.at.tolist()
+    np.multiply(e[: active[0]], start, out=a[: active[0]])
+    held, dot, mul = np.empty((active[0], len(start))), np.matmul, np.multiply
+    for t in range(1, len(active)):
+        n, i, j = active[t], at[t], at[t - 1]
+        got = held[:n]
+        dot(a[j : j + n], move, out=got)
+        mul(got, e[i : i + n], out=a[i : i + n])
+        if not t % SCALE_STEPS:
+            now = a[i : i + n]
+            c = now.sum(axis=1)
+            now /= c[:, None]
+            logs[:n] += np.log(c)
+    last = b.at[b.sizes - 1] + np.arange(len(b.order))
+    return a, logs + np.log(a[last].sum(axis=1))
+
+
+def expected(start: np.ndarray, move: np.ndarray, e: np.ndarray, b: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start counts, move counts, states of each token in b's layout, likelihoods). Overwrites e."""
+    alpha, logs = forward(start, move, e, b, np.empty_like(e))
+    beta = np.ones_like(e)
+    back = np.ascontiguousarray(move.T)
+    active, at, dot, mul = b.active.tolist(), b.at.tolist(), np.matmul, np.multiply
+    for t in range(len(active) - 1, 0, -1):
+        n, i, j = active[t], at[t], at[t - 1]
+        ahead = e[i : i + n]
+        mul(ahead, beta[i : i + n], out=ahead)
+        if not t % SCALE_STEPS:
+            ahead /= ahead.sum(axis=1)[:, None]
+        dot(ahead, back, out=beta[j : j + n])
+    # Each token's states add to 1, whatever its scale. What stands in e from the second step on is the successors' share.
+    mul(alpha, beta, out=beta)
+    total = beta.sum(axis=1)[:, None]
+    beta /= total
+    alpha /= total
+    first = active[0]
+    before = np.arange(first, len(e)) - np.repeat(b.active[:-1], b.active[1:])
+    moves = alpha[before].T @ e[first:]
+    return beta[:first].sum(axis=0), moves * move, beta, logs
+
+
+def groups_of(sizes: np.ndarray, chosen: np.ndarray, tokens: int = BATCH_TOKENS) -> Iterator[np.ndarray]:
+    """The chosen sequences, longest first, in groups of some `tokens` tokens."""
+    chosen = chosen[np.argsort(-sizes[chosen], kind="stable")]
+    number = np.cumsum(sizes[chosen]) // tokens
+    for k in np.unique(number).tolist():
+        yield chosen[number == k]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for i in range(b.num_rows):
+            row = {n: b.column(n).slice(i, 1) for n in b.schema.names}
+            row["sizes"] = row["sizes"].flatten().to_numpy()
+            row["starts"] = np.cumsum(row["sizes"]) - row["sizes"]
+            row["flat"] = np.frombuffer(row["symbols"][0].as_buffer(), "<u2").astype(np.int64)
+            row["held"] = row["held_out"].flatten().to_numpy(zero_copy_only=False)
+            yield row
+
+
+def _counts(word: pa.Array, symbol: np.ndarray, c: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    columns = [word, pa.array(symbol, pa.int32()), pa.array(c, pa.int64()), *(pa.array(np.ascontiguousarray(values[:, i])) for i in range(values.shape[1]))]
+    return pa.RecordBatch.from_arrays(columns, names=["word", "symbol", "c", *(f"s{i}" for i in range(values.shape[1]))])
+
+
+def _expect(shared, words: bool) -> Callable:
+    """Rows (word, symbol, c, counts by state): symbol -1 the start states, -2 the likelihood (in s0), -3 - i the moves from state i; with `words` also the rarer words, whose symbol is null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, unigram = shared.value
+        k, size = len(model.start), len(model.emit)
+        ratio = aligned(model.emit / unigram[:, None])
+        start, moves, symbols, likelihood = np.zeros(k), np.zeros((k, k)), np.zeros((size, k)), 0.0
+        for row in _blocks(batches):
+            n_tail = len(row["tail"].flatten()) if words else 0
+            tail, tail_c = np.zeros((n_tail, k)), np.zeros(n_tail, np.int64)
+            if n_tail:
+                number = np.full(len(row["flat"]), -1, np.int64)
+                number[row["flat"] >= size - BUCKETS] = np.frombuffer(row["tail_at"][0].as_buffer(), "<u4")
+            for group in groups_of(row["sizes"], np.flatnonzero(~row["held"])):
+                b = Batch.of(row["sizes"][group])
+                flat = b.laid(row["flat"], row["starts"][group])
+                a, m, gamma, logs = expected(model.start, model.move, ratio[flat], b)
+                start += a
+                moves += m
+                likelihood += float(logs.sum() + np.log(unigram)[flat].sum())
+                for s in range(k):
+                    symbols[:, s] += np.bincount(flat, gamma[:, s], size)
+                if n_tail:
+                    own = b.laid(number, row["starts"][group])
+                    rare = np.flatnonzero(own >= 0)
+                    tail_c += np.bincount(own[rare], minlength=n_tail)
+                    for s in range(k):
+                        tail[:, s] += np.bincount(own[rare], gamma[rare, s], n_tail)
+            if n_tail:
+                seen = np.flatnonzero(tail_c)
+                yield pa.RecordBatch.from_arrays([row["tail"].flatten().take(pa.array(seen)), pa.nulls(len(seen), pa.int32()), pa.array(tail_c[seen]), *(pa.array(np.ascontiguousarray(tail[seen, s])) for s in range(k))], names=["word", "symbol", "c", *(f"s{s}" for s in range(k))])
         seen = np.flatnonzero(symbols.any(axis=1))
-        number = np.concatenate([seen, [-1], -2 - np.arange(k)])
-        values = np.concatenate([symbols[seen], start[None], moves])
-        yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), *(pa.array(values[:, i]) for i in range(k))], names=["symbol", *(f"s{i}" for i in range(k))])
+        number = np.concatenate([seen, [-1, -2], -3 - np.arange(k)])
+        values = np.concatenate([symbols[seen], start[None], np.eye(1, k) * likelihood, moves])
+        yield _counts(pa.nulls(len(number), pa.string()), number, np.zeros(len(number), np.int64), values)
 
     return run
 
 
-def _likelihood(shared) -> Callable:
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Hmm = shared.value
-        for b in rows:
-            out = []
-            for group in batches(_sequences(b.column(6))):
-                batch = Batch.of(group)
-                scales, _ = forward(model, batch, False)
-                sums = np.bincount(batch.owner, np.log10(scales), len(group))
-                own = np.empty(len(group))
-                own[batch.order] = sums
-                out.append(own)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(6)), pa.array(np.concatenate(out) if out else np.empty(0))], names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "hmm"])
+@dataclass
+class Final:
+    """The model word by word: emissions of the head words relative to the unigram model, and what those of other words come from."""
+
+    start: np.ndarray
+    move: np.ndarray
+    alphabet: Alphabet
+    head: np.ndarray  # counts of the head words by state
+    total: np.ndarray  # n(s)
+    weight: np.ndarray  # k(s)
+
+    def ratio(self, counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
+        """P(w | s) / u(w) of words with these counts by state and shares u."""
+        return (counts / shares[:, None] + self.weight) / (self.total + self.weight)
+
+
+def _score(shared) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Final = shared.value
+        alphabet, n_head, k = model.alphabet, len(model.alphabet.head), len(model.start)
+        head_share = alphabet.shares(alphabet.counts)
+        head_ratio = model.ratio(model.head, head_share)
+        for row in _blocks(batches):
+            sizes, flat = row["sizes"], row["flat"]
+            n_tail = len(row["tail"].flatten())
+            tail_c, tail = np.zeros(n_tail), np.zeros((n_tail, k))
+            known = row["known"].flatten()
+            if len(known):
+                at = known.field("pos").to_numpy()
+                tail_c[at] = known.field("c").to_numpy()
+                for s in range(k):
+                    tail[at, s] = known.field(f"s{s}").to_numpy()
+            flat[flat >= n_head] = n_head + np.frombuffer(row["tail_at"][0].as_buffer(), "<u4")
+            share = np.concatenate([head_share, alphabet.shares(tail_c)])
+            ratio = aligned(np.concatenate([head_ratio, model.ratio(tail, share[n_head:])]))
+            seen = np.concatenate([alphabet.counts, tail_c]) > 0
+            base = np.add.reduceat(np.log10(share)[flat], row["starts"])
+            n_known = np.add.reduceat(seen[flat].astype(np.int64), row["starts"])
+            score = np.empty(len(sizes))
+            for group in groups_of(sizes, np.arange(len(sizes))):
+                b = Batch.of(sizes[group])
+                _, logs = forward(model.start, model.move, ratio[b.laid(flat, row["starts"][group])], b)
+                score[group[b.order]] = logs / math.log(10)
+            yield pa.RecordBatch.from_arrays([row["doc_ids"].flatten(), row["held_out"].flatten(), pa.array(sizes, pa.int64()), pa.array(n_known), pa.array(base), pa.array(base + score)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
-def train(coded: DataFrame, unigram: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Hmm:
-    """coded: symbols of the training documents."""
-    spark = coded.sparkSession
-    model = Hmm.initial(unigram, states)
-    names = [f"s{i}" for i in range(states)]
-    for _ in range(0 if coded.isEmpty() else rounds):
-        shared = spark.sparkContext.broadcast(model)
-        rows = coded.select("symbols").mapInArrow(_expect(shared), "symbol int, " + ", ".join(f"{c} double" for c in names))
-        # At most one row per symbol comes back: the alphabet bounds it.
-        got = rows.groupBy("symbol").agg(*(F.sum(c).alias(c) for c in names)).toPandas()
-        number, values = got["symbol"].to_numpy(), got[names].to_numpy()
-        emit, move = np.zeros(model.emit.shape), np.zeros((states, states))
-        emit[number[number >= 0]] = values[number >= 0]
-        move[-2 - number[number < -1]] = values[number < -1]
-        model = Hmm.from_counts(values[number == -1].sum(axis=0), move, emit, unigram)
+def _state_names(states: int) -> list[str]:
+    return [f"s{i}" for i in range(states)]
+
+
+def _pass(coded: DataFrame, model: Hmm, unigram: np.ndarray, words: bool) -> tuple[DataFrame, object]:
+    states = len(model.start)
+    shared = coded.sparkSession.sparkContext.broadcast((model, unigram))
+    columns = ["held_out", "sizes", "symbols", *(["tail", "tail_at"] if words else [])]
+    rows = coded.select(*columns).mapInArrow(_expect(shared, words), "word string, symbol int, c long, " + ", ".join(f"{c} double" for c in _state_names(states)))
+    return rows, shared
+
+
+def _summed(rows: DataFrame, size: int, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(start counts, move counts, counts by symbol, likelihood). At most one row per symbol comes back: the alphabet bounds it."""
+    names = _state_names(states)
+    got = rows.filter("symbol is not null").groupBy("symbol").agg(*(F.sum(c).alias(c) for c in names)).toPandas()
+    number, values = got["symbol"].to_numpy(), got[names].to_numpy()
+    emit, move = np.zeros((size, states)), np.zeros((states, states))
+    emit[number[number >= 0]] = values[number >= 0]
+    move[-3 - number[number < -2]] = values[number < -2]
+    return values[number == -1].sum(axis=0), move, emit, float(values[number == -2, 0].sum())
+
+
+def train(coded: DataFrame, unigram: np.ndarray, tokens: int, states: int = STATES, rounds: int = ROUNDS, gain: float = GAIN) -> Hmm:
+    """coded: blocks; documents that are held out teach nothing."""
+    model, last = Hmm.initial(unigram, states), -math.inf
+    for _ in range(rounds if tokens else 0):
+        rows, shared = _pass(coded, model, unigram, False)
+        start, move, emit, likelihood = _summed(rows, len(unigram), states)
+        model = Hmm.from_counts(start, move, emit, unigram)
         shared.unpersist()
+        if likelihood - last < gain * tokens:
+            break
+        last = likelihood
     return model
 
 
@@ -300,11 +413,12 @@ def frequent(counts: DataFrame, most: int) -> tuple[list, int]:
 
 
 def lm_scores(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = ROUNDS, head_words: int = HEAD) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, and the two scores per token.
 
     held_out is a column of booleans (null: false); its rows teach nothing. A null text is empty and has one token, its
     end. Repeated rows each teach and are each returned; null ids are carried; extra columns are ignored. With no
-    training rows every word is unknown and the model is the untrained one.
+    training rows every word is unknown and the score is the base score. An empty table gives no rows. Scores do not
+    depend on how rows lie in files, but for rounding.
     """
     spark = docs.sparkSession
     held = F.coalesce(held_out if held_out is not None else F.lit(False), F.lit(False))
@@ -313,37 +427,39 @@ def lm_scores(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col:
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).collect()[0]
     top, least = frequent(counts.filter(F.col("word") != END), head_words)
     ends = counts.filter(F.col("word") == END).collect()
-    head = {END.encode(): 0, **{r["word"].encode(): i + 1 for i, r in enumerate(top)}}
+    head = {END: 0, **{r["word"]: i + 1 for i, r in enumerate(top)}}
     alphabet = Alphabet(head, np.array([ends[0]["c"] if ends else 0, *(r["c"] for r in top)], np.float64), total["n"], total["v"])
     bucket = (F.crc32(F.col("word").cast("binary")) % BUCKETS).cast("int").alias("bucket")
-    rare = counts.filter((F.col("word") != END) & (F.col("c") < least))
-    classes = rare.groupBy(bucket).agg(F.sum("c").alias("class_c"), F.count(F.lit(1)).alias("class_v")).collect()
-    class_c, class_v = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in classes:
-        class_c[r["bucket"]], class_v[r["bucket"]] = r["class_c"], r["class_v"]
-    unigram = alphabet.unigram(class_c)
+    classes = np.zeros(BUCKETS)
+    for r in counts.filter((F.col("word") != END) & (F.col("c") < least)).groupBy(bucket).agg(F.sum("c").alias("c")).collect():
+        classes[r["bucket"]] = r["c"]
+    unigram = alphabet.unigram(classes)
 
     shared = spark.sparkContext.broadcast(alphabet)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    coded = S.store(rows.mapInArrow(_symbols(shared), f"rid long, doc_id {kind}, held_out boolean, symbols binary, n_tokens long, n_known long, base double, rare array<string>, rare_n array<long>"), "coded")
-    model = train(coded.filter("not held_out").select("symbols"), unigram, states, rounds)
-
-    # The rarer words meet their counts by a shuffle join; none of them is frequent, as the frequent ones are in the head.
-    each = coded.select("rid", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("rid", F.col("x.rare").alias("word"), F.col("x.rare_n").alias("tf"))
-    floors = spark.createDataFrame([(b, math.log10(class_c[b] + 0.5 * (class_v[b] + 1))) for b in range(BUCKETS)], "bucket int, class_log double")
-    priced = rare.select(F.col("word").alias("k_word"), "c")
-    joined = each.join(priced, each["word"] == priced["k_word"], "left").select("rid", "tf", bucket, F.coalesce("c", F.lit(0)).alias("c")).join(F.broadcast(floors), "bucket")
-    log_c = F.log10(F.col("c") + 0.5)
-    floor = math.log10(alphabet.tokens + 0.5 * (alphabet.words + 1))
-    sums = joined.groupBy("rid").agg(
-        F.sum(F.col("tf") * (log_c - F.lit(floor))).alias("rare_base"),
-        F.sum(F.col("tf") * (log_c - F.col("class_log"))).alias("rare_score"),
-        F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("rare_known"),
-    )
-    best = spark.sparkContext.broadcast(model)
-    scored = coded.select("rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "symbols").mapInArrow(_likelihood(best), f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, hmm double")
-    zero = F.lit(0.0)
-    return scored.join(sums, "rid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(total["n"]).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", zero)).alias("base_score"), (F.col("hmm") + F.coalesce("rare_score", zero)).alias("score"),
+    coded = S.store(rows.mapInArrow(_code(shared), f"block long, doc_ids array<{kind}>, held_out array<boolean>, sizes array<long>, symbols binary, tail array<string>, tail_at binary"), "coded")
+    model = train(coded, unigram, total["n"], states, rounds)
+
+    # The last pass: counts by state for symbols, and for every word outside the head.
+    names = _state_names(states)
+    last, model_shared = _pass(coded, model, unigram, True)
+    last = S.store(last if total["n"] else last.limit(0), "state-counts")
+    start, move, emit, _ = _summed(last, len(unigram), states)
+    words = S.store(last.filter("word is not null").groupBy("word").agg(F.sum("c").alias("c"), *(F.sum(c).alias(c) for c in names)), "word-states")
+    tail_types = words.agg(*(F.coalesce(F.sum(F.least(F.col(c), F.lit(1.0))), F.lit(0.0)).alias(c) for c in names)).collect()[0]
+    S.discard(last)
+    fitted = Hmm.from_counts(start, move, emit, unigram) if total["n"] else model
+    n_head = len(head)
+    weight = Hmm.weights(np.minimum(emit[:n_head], 1).sum(axis=0) + np.array([tail_types[c] for c in names]))
+    best = spark.sparkContext.broadcast(Final(fitted.start, fitted.move, alphabet, emit[:n_head], emit.sum(axis=0), weight))
+
+    # A block's rarer words meet their counts; each word is one row per block, so no word is frequent here.
+    asked = coded.select("block", F.posexplode("tail").alias("pos", "word"))
+    met = asked.join(words, "word").groupBy("block").agg(F.collect_list(F.struct("pos", "c", *names)).alias("known"))
+    item = "struct<pos:int,c:long," + ",".join(f"{c}:double" for c in names) + ">"
+    ready = coded.join(met, "block", "left").select("doc_ids", "held_out", "sizes", "symbols", "tail", "tail_at", F.coalesce("known", F.expr(f"cast(array() as array<{item}>)")).alias("known"))
+    scored = ready.mapInArrow(_score(best), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(total["n"]).cast("long").alias("train_tokens"), "base_score", "score",
+        (F.col("score") / F.col("n_tokens")).alias("score_per_token"), (F.col("base_score") / F.col("n_tokens")).alias("base_per_token"),
     )

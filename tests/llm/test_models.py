@@ -133,49 +133,121 @@ def paths(model, sequence):
         yield path, p
 
 
+def swept(model, sequences):
+    """(batch, tokens in its layout, expected counts, likelihood of each sequence as given)."""
+    sizes, flat = np.array([len(s) for s in sequences]), np.concatenate(sequences)
+    batch = hmm.Batch.of(sizes)
+    laid = batch.laid(flat, np.cumsum(sizes) - sizes)
+    start, moves, gamma, logs = hmm.expected(model.start, model.move, model.emit[laid], batch)
+    symbols = np.stack([np.bincount(laid, gamma[:, s], len(model.emit)) for s in range(len(model.start))], axis=1)
+    _, alone = hmm.forward(model.start, model.move, model.emit[laid], batch)
+    np.testing.assert_allclose(alone, logs)
+    own = np.empty(len(sizes))
+    own[batch.order] = logs
+    return (start, moves, symbols), own
+
+
 def test_forward_and_expected_counts_equal_enumeration():
     model = tiny()
     sequences = [np.array(s) for s in ([0], [1, 2], [4, 4, 0, 1, 3], [2, 2, 2], [3, 0, 1, 2, 4, 1])]
-    batch = hmm.Batch.of(sequences)
-    scales, _ = hmm.forward(model, batch, False)
-    logs = np.bincount(batch.owner, np.log(scales), len(sequences))
+    counts, logs = swept(model, sequences)
     start, moves, symbols = np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3))
     for i, s in enumerate(sequences):
         everything = list(paths(model, s))
         total = sum(p for _, p in everything)
-        assert abs(logs[list(batch.order).index(i)] - math.log(total)) < 1e-9
+        assert abs(logs[i] - math.log(total)) < 1e-9
         for path, p in everything:
             start[path[0]] += p / total
             for t, state in enumerate(path):
                 symbols[s[t], state] += p / total
                 if t:
                     moves[path[t - 1], state] += p / total
-    for mine, want in zip(hmm.expected(model, batch), (start, moves, symbols)):
+    for mine, want in zip(counts, (start, moves, symbols)):
         np.testing.assert_allclose(mine, want, atol=1e-9)
 
 
 def test_rounds_raise_the_likelihood():
     rng = np.random.default_rng(4)
     sequences = [rng.integers(0, 3, 30) + 3 * (i % 2) for i in range(40)]
-    batch, unigram = hmm.Batch.of(sequences), np.full(6, 1 / 6)
+    unigram = np.full(6, 1 / 6)
     model, before = hmm.Hmm.initial(unigram, 2), -np.inf
-    for _ in range(8):
-        scales, _ = hmm.forward(model, batch, False)
-        assert np.log(scales).sum() > before - 1e-6
-        before = np.log(scales).sum()
-        model = hmm.Hmm.from_counts(*hmm.expected(model, batch), unigram, prior=1e-3)
-    assert before / batch.flat.size > math.log(1 / 3) - 0.1  # it finds the two halves
+    for _ in range(25):
+        counts, logs = swept(model, sequences)
+        assert logs.sum() > before - 1
+        before = logs.sum()
+        model = hmm.Hmm.from_counts(*counts, unigram)
+    assert before / 1200 > math.log(1 / 6) + 0.2  # it tells the two halves apart, as far as the unigram's weight lets it
 
 
 def test_the_model_is_a_distribution():
     """Over all sequences of a length, likelihoods sum to one."""
     from itertools import product
 
-    model = tiny(2, 3)
-    sequences = [np.array(s) for s in product(range(3), repeat=4)]
-    batch = hmm.Batch.of(sequences)
-    scales, _ = hmm.forward(model, batch, False)
-    assert abs(np.exp(np.bincount(batch.owner, np.log(scales))).sum() - 1) < 1e-9
+    _, logs = swept(tiny(2, 3), [np.array(s) for s in product(range(3), repeat=4)])
+    assert abs(np.exp(logs).sum() - 1) < 1e-9
+
+
+def plain_sweep(model, s):
+    """(log-likelihood, states of each token, move counts) of one sequence, each step scaled."""
+    a, c = np.empty((len(s), len(model.start))), np.empty(len(s))
+    for t, x in enumerate(s):
+        a[t] = (model.start if t == 0 else a[t - 1] @ model.move) * model.emit[x]
+        c[t] = a[t].sum()
+        a[t] /= c[t]
+    beta, moves = np.ones_like(a), np.zeros_like(model.move)
+    for t in range(len(s) - 1, 0, -1):
+        ahead = model.emit[s[t]] * beta[t] / c[t]
+        beta[t - 1] = model.move @ ahead
+        moves += np.outer(a[t - 1], ahead) * model.move
+    return np.log(c).sum(), a * beta, moves
+
+
+def test_op8_score_equals_a_plain_recomputation(spark):
+    """Every round and the final word model, document by document and word by word, with a head of 20 words."""
+    from conftest import SCHEMA, sentence
+    import random
+
+    rng, rounds, states = random.Random(6), 3, 3
+    rows = [(i, sentence(rng, rng.randint(0, 40)), "en", "a", 1) for i in range(150)] + [(150, "ba " * 300, "en", "a", 1), (151, None, "en", "a", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = {r.doc_id: r for r in hmm.lm_scores(docs, F.col("doc_id") % 5 == 1, states=states, rounds=rounds, head_words=20).collect()}
+    texts = {i: [*words(t), hmm.END] for i, t, *_ in rows}
+    taught = [i for i in texts if i % 5 != 1]
+    c = Counter(w for i in taught for w in texts[i])
+    n, v = sum(c.values()), len(c)
+    by = sorted((w for w in c if w != hmm.END), key=lambda w: (-c[w], w))
+    least = c[by[20]] + 1  # all words of a count are in the head, or none
+    head = [hmm.END, *(w for w in by if c[w] >= least)]
+    symbol = lambda w: head.index(w) if w in head else len(head) + zlib.crc32(w.encode()) % hmm.BUCKETS
+    number = {w: symbol(w) for i in texts for w in texts[i]}
+    unigram = np.full(len(head) + hmm.BUCKETS, 0.5)
+    for w, k in c.items():
+        unigram[number[w]] += k
+    unigram /= unigram.sum()
+    model = hmm.Hmm.initial(unigram, states)
+    for turn in range(rounds + 1):
+        start, moves, emit, own = np.zeros(states), np.zeros((states, states)), np.zeros((len(unigram), states)), {}
+        for i in taught:
+            s = [number[w] for w in texts[i]]
+            _, gamma, m = plain_sweep(model, s)
+            start += gamma[0]
+            moves += m
+            for w, x, g in zip(texts[i], s, gamma):
+                emit[x] += g
+                own[w] = own.get(w, 0) + g
+        last, model = model, hmm.Hmm.from_counts(start, moves, emit, unigram)
+    total = sum(own.values())
+    weight = 200 + sum(np.minimum(x, 1) for x in own.values())
+    u = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
+    p = {w: (own.get(w, 0) + weight * u(w)) / (total + weight) for i in texts for w in texts[i]}
+    unseen = weight * 0.5 / (n + 0.5 * (v + 1)) / (total + weight)
+    np.testing.assert_allclose(sum(p[w] for w in c) + unseen, 1)  # a distribution over the words seen, with one share for all others
+    vocabulary = list(p)
+    final = hmm.Hmm(model.start, model.move, np.array([p[w] for w in vocabulary]))
+    for i, ws in texts.items():
+        want, _, _ = plain_sweep(final, [vocabulary.index(w) for w in ws])
+        assert abs(got[i].score - want / math.log(10)) < 1e-9 * abs(want)
+        assert got[i].n_tokens == len(ws) and abs(got[i].score_per_token * len(ws) - got[i].score) < 1e-9 * abs(want)
 
 
 def test_frequent_words_are_all_above_one_count(spark):
