@@ -5,10 +5,13 @@
 3. Two fingerprints that differ in at most r = 3 bits agree in at least 3 of 6 blocks of bits. Every distinct
    fingerprint is dealt to the C(6, 3) = 20 buckets named by three of its blocks: all links meet in some bucket, and
    random fingerprints share one with odds of 20 in 2^32, so buckets stay small as the corpus grows.
-4. In a bucket, a pivot table holds the Hamming distances of each fingerprint to the reference fingerprints. By the
-   triangle inequality, a pair whose largest coordinate difference is over r cannot link and is discarded; survivors
-   are verified by their exact distance. The search walks the bucket breadth first and never looks again at a
-   fingerprint it has reached: it returns at most one edge per member (a spanning forest), not all pairs.
+4. The pivot table holds the Hamming distances of every fingerprint to PIVOTS reference fingerprints, the same for all
+   buckets (members of the corpus, by hash). By the triangle inequality, a pair whose largest coordinate difference is
+   over r cannot link: each candidate pair, in a bucket of any size, is discarded by the table or verified by its exact
+   distance, and both are counted (`search`). Members of a bucket share 31 to 33 bits, so their distances to a reference
+   differ only by the other bits; 32 references discard over 99 % of pairs that don't link. The search walks a bucket
+   breadth first and never looks again at a fingerprint it has reached: it returns less edges than members (a spanning
+   forest), not all pairs.
 5. A bucket with more than `bucket_rows` members is dealt again: of its other bits in 8 groups, at least 5
    agree, which makes C(8, 5) = 56 keys. At most 13 bits are left, so no bucket can hold over 8,192 members. Exact.
 6. Components of the edges by alternating large and small stars, written to the shared folder each round.
@@ -16,6 +19,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -30,7 +34,8 @@ from lumbre.llm import _shared as S
 #: Widths of the six blocks, 64 bits together.
 BLOCKS = (11, 11, 11, 11, 10, 10)
 SEED = 42
-PIVOTS = 16
+#: Reference fingerprints.
+PIVOTS = 32
 
 
 def _lane_sums(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -113,39 +118,34 @@ def fine_keys(fp: np.ndarray, choice: int) -> list[np.ndarray]:
     return [fp & (coarse | np.uint64(sum(groups[g] for g in five))) for five in combinations(range(8), 5)]
 
 
-def pivot_table(fp: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
-    """Distances of each fingerprint to the reference fingerprints, which are evenly spread members of the array."""
-    refs = np.sort(fp)[np.linspace(0, len(fp) - 1, min(pivots, len(fp))).astype(np.int64)]
-    return np.stack([np.bitwise_count(fp ^ r).astype(np.int8) for r in refs], axis=1)
+def pivot_table(fp: np.ndarray, refs: np.ndarray) -> np.ndarray:
+    """Distances of each fingerprint to the reference fingerprints."""
+    return np.stack([np.bitwise_count(fp ^ r).astype(np.int8) for r in refs], axis=1) if len(refs) else np.zeros((len(fp), 1), np.int8)
 
 
-def spanning_links(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Index pairs that link and connect whatever links of at most `radius` bits connect among the distinct values fp."""
-    n = len(fp)
-    if n < 2:
-        return []
-    if n == 2:
-        return [(0, 1)] if int(np.bitwise_count(fp[0] ^ fp[1])) <= radius else []
-    table = pivot_table(fp) if n > 64 else None
-    left, fresh = np.arange(n), np.ones(n, bool)
+def spanning_links(fp: np.ndarray, table: np.ndarray, radius: int) -> tuple[list[tuple[int, int]], int, int]:
+    """(index pairs that link and connect whatever links of at most `radius` bits connect among the distinct values fp, pairs looked at, pairs that the table left)."""
+    left, fresh = np.arange(len(fp)), np.ones(len(fp), bool)
     out: list[tuple[int, int]] = []
+    candidates = survivors = 0
     while len(left):
-        queue, left = [int(left[0])], left[1:]
+        queue, left = deque([int(left[0])]), left[1:]
         while queue and len(left):
-            x = queue.pop()
+            x = queue.popleft()
+            candidates += len(left)
             near = left
-            if table is not None:
-                for p in range(table.shape[1]):
-                    near = near[np.abs(table[near, p] - table[x, p]) <= radius]
-                    if not len(near):
-                        break
+            for p in range(table.shape[1]):
+                near = near[np.abs(table[near, p] - table[x, p]) <= radius]
+                if not len(near):
+                    break
+            survivors += len(near)
             found = near[np.bitwise_count(fp[near] ^ fp[x]) <= radius]
             if len(found):
                 out.extend((x, int(y)) for y in found)
                 queue.extend(found.tolist())
                 fresh[found] = False
                 left = left[fresh[left]]
-    return out
+    return out, candidates, survivors
 
 
 def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,25 +166,36 @@ def _deal_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, c * 64 + g, np.int64)), pa.array(key.view(np.int64)), pa.array(own.view(np.int64))], names=["choice", "bucket", "fp"])
 
 
-def _links_of_groups(keys: list[str], radius: int) -> Callable:
-    """Rows come sorted by `keys`; a bucket may go on in the next batch."""
+def _links_of_groups(keys: list[str], radius: int, refs: np.ndarray) -> Callable:
+    """Rows come sorted by `keys`; a bucket may go on in the next batch. Edges, and per batch a row without one that counts the pairs looked at and those that the table left."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
 
-        def links(frame: pd.DataFrame) -> pd.DataFrame:
+        def links(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
             fp = frame["fp"].to_numpy().view(np.uint64)
+            table = pivot_table(fp, refs)
             same = np.zeros(len(frame), bool)
             same[1:] = np.logical_and.reduce([frame[k].to_numpy()[1:] == frame[k].to_numpy()[:-1] for k in keys])
             first = np.flatnonzero(~same)
-            ends = np.append(first[1:], len(frame))
-            a, b = [], []
-            for i in np.flatnonzero(ends - first > 1).tolist():
-                own = fp[first[i] : ends[i]]
-                for x, y in spanning_links(own, radius):
-                    a.append(own[x])
-                    b.append(own[y])
-            return pd.DataFrame({"a": np.array(a, np.uint64).view(np.int64), "b": np.array(b, np.uint64).view(np.int64)})
+            sizes = np.diff(np.append(first, len(frame)))
+            # Buckets of two, all at once.
+            x = first[sizes == 2]
+            near = x[(np.abs(table[x] - table[x + 1]) <= radius).all(axis=1)]
+            candidates, survivors = len(x), len(near)
+            near = near[np.bitwise_count(fp[near] ^ fp[near + 1]) <= radius]
+            a, b = [near], [near + 1]
+            for i, n in zip(first[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+                found, looked, left = spanning_links(fp[i : i + n], table[i : i + n], radius)
+                candidates, survivors = candidates + looked, survivors + left
+                if found:
+                    pairs = np.array(found) + i
+                    a.append(pairs[:, 0])
+                    b.append(pairs[:, 1])
+            a, b = fp[np.concatenate(a)].view(np.int64), fp[np.concatenate(b)].view(np.int64)
+            if len(a):
+                yield pd.DataFrame({"a": a, "b": b, "candidates": np.zeros(len(a), np.int64), "survivors": np.zeros(len(a), np.int64)}).astype({"a": "Int64", "b": "Int64"})
+            yield pd.DataFrame({"a": [None], "b": [None], "candidates": [candidates], "survivors": [survivors]}).astype({"a": "Int64", "b": "Int64"})
 
         for frame in batches:
             if held is not None:
@@ -194,34 +205,47 @@ def _links_of_groups(keys: list[str], radius: int) -> Callable:
             last = np.logical_and.reduce([(frame[k] == frame[k].iloc[-1]).to_numpy() for k in keys])
             held, done = frame[last], frame[~last]
             if len(done):
-                yield links(done)
+                yield from links(done)
         if held is not None and len(held):
-            yield links(held)
+            yield from links(held)
 
     return run
 
 
-def links_between(distinct: DataFrame, radius: int = 3, bucket_rows: int = 16384) -> DataFrame:
-    """Edges (a, b) among the distinct values of column fp that connect all that links of at most radius bits connect."""
+def search(distinct: DataFrame, radius: int = 3, bucket_rows: int = 16384, pivots: int = PIVOTS) -> DataFrame:
+    """Stored rows (a, b, candidates, survivors): edges among the distinct values of column fp that connect all that links
+    of at most radius bits connect, and rows without an edge whose sums are the pairs looked at and those the pivot table left."""
     if radius > 3:
         raise ValueError("three equal blocks of six are only sure up to 3 bits")
+    refs = np.array([r["fp"] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(pivots).collect()], np.int64).view(np.uint64)
     dealt = S.store(distinct.mapInArrow(_deal, "bucket long, fp long"), "simhash-dealt")
     sizes = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     hot = S.store(sizes.filter(F.col("n") > bucket_rows).select("bucket"), "simhash-hot")
-    edges = "a long, b long"
+    found = "a long, b long, candidates long, survivors long"
     if hot.isEmpty():
         small = dealt
     else:
         # Buckets over the limit number at most 20 n / bucket_rows; the join is left to the planner, which knows their size.
         small = dealt.join(hot, "bucket", "left_anti")
         fine = dealt.join(hot, "bucket", "left_semi").mapInArrow(_deal_again, "choice long, bucket long, fp long")
-        again = fine.repartition("choice", "bucket").sortWithinPartitions("choice", "bucket", "fp").mapInPandas(_links_of_groups(["choice", "bucket"], radius), edges)
-    out = small.repartition("bucket").sortWithinPartitions("bucket", "fp").mapInPandas(_links_of_groups(["bucket"], radius), edges)
+        again = fine.repartition("choice", "bucket").sortWithinPartitions("choice", "bucket", "fp").mapInPandas(_links_of_groups(["choice", "bucket"], radius, refs), found)
+    out = small.repartition("bucket").sortWithinPartitions("bucket", "fp").mapInPandas(_links_of_groups(["bucket"], radius, refs), found)
     if not hot.isEmpty():
         out = out.unionByName(again)
-    links = S.store(out.distinct(), "simhash-links")
+    stored = S.store(out, "simhash-links")
     S.discard(dealt)
-    return links
+    return stored
+
+
+def links_between(distinct: DataFrame, radius: int = 3, bucket_rows: int = 16384) -> DataFrame:
+    """Edges (a, b) among the distinct values of column fp that connect all that links of at most radius bits connect."""
+    return search(distinct, radius, bucket_rows).filter("a is not null").select("a", "b").distinct()
+
+
+def pivot_effect(found: DataFrame) -> tuple[int, int]:
+    """(pairs that `search` looked at, pairs that the pivot table left to verify)."""
+    row = found.filter("a is null").agg(F.coalesce(F.sum("candidates"), F.lit(0)), F.coalesce(F.sum("survivors"), F.lit(0))).collect()[0]
+    return row[0], row[1]
 
 
 #: Up to so many edges (16 bytes each) are connected in one task.
@@ -305,6 +329,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, all columns, with the smallest id of their component."""
+    """The rows of docs, all columns, with the smallest id of their component. Nulls, empty texts, repeated rows, null ids, empty tables and extra columns as for near_duplicates; rows that repeat id and text stay or go together."""
     gone = near_duplicates(docs, id_col, text_col, **options).filter("not kept").select("doc_id", "text_hash").distinct()
     return S.without_rows(docs, S.store(gone, "near-copies"), id_col, text_col)

@@ -126,13 +126,30 @@ def test_links_and_components(spark, n, spread, limit):
 
 def test_pivots_discard_nothing_that_links():
     fps = np.array(clustered(9, 300, 30), np.uint64)
-    table = simhash.pivot_table(fps).astype(int)
+    table = simhash.pivot_table(fps, fps[::20]).astype(int)
     for i in range(len(fps)):
         for j in range(i):
             if int(fps[i] ^ fps[j]).bit_count() <= 3:
                 assert np.abs(table[i] - table[j]).max() <= 3
 
 
+def test_pivots_work_in_buckets_of_any_size(spark):
+    """3,000 fingerprints that agree in half their bits, some of them near others: the table discards nearly all pairs, and nothing is lost."""
+    rng = random.Random(12)
+    low = rng.getrandbits(33)
+    fps = [rng.getrandbits(31) << 33 | low for _ in range(3000)]
+    for i in range(0, 3000, 10):
+        fps.append(fps[i] ^ 1 << rng.randrange(33, 64) ^ 1 << rng.randrange(33, 64))
+    fps = sorted(set(fps) | {rng.getrandbits(64) for _ in range(100)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    found = simhash.search(spark.createDataFrame([(f,) for f in signed], "fp long"))
+    looked, left = simhash.pivot_effect(found)
+    assert looked > 1_000_000 and left < 0.01 * looked
+    roots = {r.node: r.root for r in simhash.components(found.filter("a is not null").select("a", "b")).collect()}
+    comp, mine = brute_components(fps), [roots.get(f, f) for f in signed]
+    assert len(set(zip(comp, mine))) == len(set(comp)) == len(set(mine)) < len(fps)
+
+
 def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
     assert {r.root for r in simhash.components(edges).collect()} == {0}
@@ -175,9 +192,37 @@ def test_op10_index_grows_by_new_texts_only(spark, documents):
     first, second = documents.filter("doc_id % 3 = 0"), documents
     index.append_new(index.digests(first))
     before = index.table().count()
-    fresh = index.append_new(index.digests(second))
-    assert before + fresh.count() == index.table().count() == documents.select(digest_index.normalised(documents.text)).distinct().count()
-    assert index.append_new(index.digests(second)).count() == 0
+    groups = index.append_new(index.digests(second))
+    assert before + groups.filter("fresh").count() == index.table().count() == documents.select(digest_index.normalised(documents.text)).distinct().count()
+    assert index.append_new(index.digests(second)).filter("fresh").count() == 0
     plan = index.digests(second).hint("merge").join(index.table().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+    assert plan.count("Exchange") == 1  # of the new digests
+    index.drop()
+    assert not index.exists() and not spark.catalog.tableExists(f"{index.name}_copies")
+
+
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_op10_batches_give_the_same_rows(odd, batches):
+    one = digest_index.exact_dedup(odd).collect()
+    assert sorted(map(tuple, digest_index.exact_dedup(odd, batches=batches).collect()), key=repr) == sorted(map(tuple, one), key=repr)
+
+
+def test_op10_later_batches_count_with_earlier_ones(spark):
+    """Sizes and smallest ids hold over all batches; distinct_rows returns what is new to the index, once."""
+    make = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string")
+    index = digest_index.DigestIndex(spark, buckets=2)
+    digest_index.exact_dedup(make((5, "a b"), (6, "a  b"), (7, "c")), index=index)
+    got = digest_index.exact_dedup(make((0, "a b"), (8, "a\tb"), (8, "a b"), (9, "d"), (None, "a b")), index=index).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.keep_id, r.group_size, r.kept) for r in got) == [(False, 0, 0, 6, True), (False, 8, 0, 6, False), (False, 8, 0, 6, False), (False, 9, 9, 1, True), (True, 0, 0, 6, False)]
+    new = digest_index.distinct_rows(make((1, "c"), (2, "e"), (2, "e"), (3, "e "), (4, "a b")), index=index)
+    assert [tuple(r) for r in new.collect()] == [(2, "e"), (3, "e ")]
+    assert digest_index.distinct_rows(make((2, "e"), (20, "f")), index=index).collect() == [(20, "f")]
     index.drop()
+
+
+def test_op10_leaves_no_table(spark, documents):
+    before = len(spark.catalog.listTables())
+    digest_index.exact_dedup(documents).count()
+    digest_index.distinct_rows(documents).count()
+    assert len(spark.catalog.listTables()) == before
