@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from lumbre.llm import _shared as S
 
 #: Chunks kept per Python worker (some 300 bytes each); beyond that they are learnt for one batch only.
-CACHE_CHUNKS = 900_000
+CACHE_CHUNKS = 500_000
 #: The pattern by which the tokenizer cuts lower-cased text; what it doesn't match (white space) goes.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+").findall
 #: Up to U+024F, but for two kinds of white space, lower-casing and the classes of characters are the same here and in the
@@ -250,7 +250,7 @@ def coder(path: str) -> TrieBpe:
 def _run(path: str, full: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
-        for b in S.batches_of(batches, 8 << 20):
+        for b in S.batches_of(batches, 4 << 20):
             joined, decoded, n, ids = bpe.batch(b.column(1).to_pylist(), full)
             columns = [b.column(0), pa.array(n), _sha256(joined), _sha256(decoded)]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
