@@ -204,6 +204,11 @@ def broadcast_rows(a: Column, rows: int) -> Column:
     return F.array_repeat(a, rows)
 
 
+def add_rows(a: Column, b: Column) -> Column:
+    """The sum of two matrices of one shape, or whose rows have length 1 in one of them."""
+    return F.zip_with(a, b, add)
+
+
 def along(m: Column, axis: int, kernel: Callable[[Column], Column], keep: bool = False) -> Column:
     """A reduction of a matrix along an axis; keep leaves that axis with length 1."""
     if axis == 1:

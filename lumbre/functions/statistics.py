@@ -185,20 +185,33 @@ def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
     return _frame(df, "operacion string, pares long, coeficiente double, muestra_pequena boolean", ("correlacion", r["n"], max(-1.0, min(1.0, r["r"])), r["n"] < 30))
 
 
-def least_ranks(values: DataFrame, column: str, out: str = "rank") -> DataFrame:
-    """Rows with the least rank of their value: 1 + how many are smaller.
+#: Cells of the rank count, cut at quantiles of the distinct values.
+RANK_CELLS = 256
 
-    Distinct values are counted first, and the running count goes by 1,024 ranges of the value, each from what lies
-    below it, so a sort of all rows in one task is not needed.
+
+def ranked_values(values: DataFrame, column: str, *sums: Column) -> DataFrame:
+    """Distinct values with `_n` (how many rows have each), the sums asked for, and `rank`, the least rank of the value: 1 + how many rows are smaller.
+
+    Rows are collapsed to distinct values before anything else, so a frequent value is one row and nothing is joined back.
+    The running count goes by cells between quantiles of the distinct values (a sketch of bounded size), each from what
+    lies below it: an outlier widens one cell and no more, and no task sorts more than its cells.
     """
-    counts = values.groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    bounds = counts.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-    cells = counts.join(F.broadcast(bounds)).select("_v", "_n", F.when(F.col("hi") > F.col("lo"), F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 1024)).otherwise(F.lit(0).cast("long")).alias("cell"))
-    sums = cells.groupBy("cell").agg(F.sum("_n").alias("cn"))
-    before = sums.select("cell", F.coalesce(F.sum("cn").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("before"))
+    counts = values.groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"), *sums)
+    cuts = counts.agg(F.percentile_approx("_v", [i / RANK_CELLS for i in range(1, RANK_CELLS)], 100 * RANK_CELLS).alias("q")).collect()[0]["q"] or []
+    cuts = sorted(set(cuts))
+
+    def place(low: int, high: int) -> Column:
+        """How many cuts lie below the value, by halving."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col("_v") <= cuts[middle], place(low, middle)).otherwise(place(middle + 1, high))
+
+    cells = counts.withColumn("cell", place(0, len(cuts)))
+    below = cells.groupBy("cell").agg(F.sum("_n").alias("cn"))
+    before = below.select("cell", F.coalesce(F.sum("cn").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("before"))
     inner = Window.partitionBy("cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = cells.join(F.broadcast(before), "cell").select("_v", "_n", (F.col("before") + F.coalesce(F.sum("_n").over(inner), F.lit(0).cast("long")) + 1).alias(out))
-    return values.join(ranks, values[column] == ranks["_v"]).drop("_v")
+    return cells.join(F.broadcast(before), "cell").withColumn("rank", F.col("before") + F.coalesce(F.sum("_n").over(inner), F.lit(0).cast("long")) + 1).drop("cell", "before")
 
 
 def wilcoxon(df: DataFrame, before: str, after: str, correct: bool = False) -> DataFrame:
@@ -209,12 +222,12 @@ def wilcoxon(df: DataFrame, before: str, after: str, correct: bool = False) -> D
     """
     d = (_finite(number(df, after)) - _finite(number(df, before))).alias("d")
     diffs = df.select(d).filter("d is not null and d <> 0").select("d", F.abs("d").alias("a"))
-    ranked = least_ranks(diffs, "a")
+    ranked = ranked_values(diffs, "a", F.count_if(F.col("d") > 0).alias("above"), F.sum(F.signum("d")).alias("signs"))
     if correct:
-        rank = F.col("rank") + (F.col("_n") - 1) / 2
-        r = ranked.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("d") > 0, rank).otherwise(0.0)).alias("w"), F.sum(F.col("_n").cast("double") ** 2 - 1).alias("ties")).collect()[0]
+        rank, n3 = F.col("rank") + (F.col("_n") - 1) / 2, F.col("_n").cast("double") ** 3
+        r = ranked.agg(F.sum("_n").alias("n"), F.sum(rank * F.col("above")).alias("w"), F.sum(n3 - F.col("_n")).alias("ties")).collect()[0]
     else:
-        r = ranked.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("rank") * F.signum("d")).cast("double")).alias("w"), F.lit(0.0).alias("ties")).collect()[0]
+        r = ranked.agg(F.sum("_n").alias("n"), F.sum(F.col("rank") * F.col("signs")).alias("w"), F.lit(0.0).alias("ties")).collect()[0]
     n = r["n"]
     if not n:
         raise EngineError("DATA", "no differences other than zero")
@@ -226,9 +239,9 @@ def wilcoxon(df: DataFrame, before: str, after: str, correct: bool = False) -> D
 def mann_whitney(df: DataFrame, value: str, group: str, first: str) -> DataFrame:
     """n_first, n_second, u, z, p: U of the first group, with mid-ranks."""
     v = df.select(_finite(number(df, value)).alias("x"), (col(group).cast("string") == first).alias("f")).filter("x is not null and f is not null")
-    ranked = least_ranks(v, "x")
+    ranked = ranked_values(v, "x", F.count_if("f").alias("first"))
     rank = F.col("rank") + (F.col("_n") - 1) / 2
-    r = ranked.agg(F.count_if("f").alias("n1"), F.count_if(~F.col("f")).alias("n2"), F.sum(F.when(F.col("f"), rank)).alias("s")).collect()[0]
+    r = ranked.agg(F.sum("first").alias("n1"), F.sum(F.col("_n") - F.col("first")).alias("n2"), F.sum(rank * F.col("first")).alias("s")).collect()[0]
     n1, n2 = r["n1"], r["n2"]
     if not n1 or not n2:
         raise EngineError("ARGUMENT", "both groups need values")
@@ -244,6 +257,16 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(text(a).alias("a"), text(b).alias("b")).filter("a is not null and b is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _running(marks: DataFrame) -> DataFrame:
+    """(v, below): the sum of kc over smaller v, by cells of 1,024 ranks."""
+    cell = F.floor(F.col("rank") / 1024)
+    sums = marks.groupBy(cell.alias("cell")).agg(F.sum("kc").alias("cn"))
+    zero = F.lit(0).cast("long")
+    before = sums.select("cell", F.coalesce(F.sum("cn").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), zero).alias("before"))
+    inner = Window.partitionBy("cell").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    return marks.withColumn("cell", cell).join(F.broadcast(before), "cell").select("v", (F.col("before") + F.coalesce(F.sum("kc").over(inner), zero)).alias("below"))
+
+
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     """operacion, filas, columnas, estadistico, gl, celdas_bajas (cells with fewer than 5 expected).
 
@@ -258,8 +281,10 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
         raise EngineError("DATA", "two values of each column are needed")
     s = cells.join(rows, "a").join(cols, "b").agg(F.sum(F.col("n").cast("double") ** 2 / (F.col("r").cast("double") * F.col("c"))).alias("s")).collect()[0]["s"]
     kinds_r, kinds_c = rows.groupBy("r").agg(F.count(F.lit(1)).alias("kr")), cols.groupBy("c").agg(F.count(F.lit(1)).alias("kc"))
-    # Only totals below 5 N over the least other total can make a low cell; the pairs of distinct totals stay few.
-    low = kinds_r.join(kinds_c, F.col("r").cast("double") * F.col("c") < F.lit(5.0 * total)).agg(F.sum(F.col("kr") * F.col("kc")).alias("k")).collect()[0]["k"] or 0
+    # A row total r makes low cells with the column totals below 5 N / r: how many there are is read off the columns' ranks.
+    marks = ranked_values(kinds_c.select(F.col("c").cast("double").alias("v"), "kc").unionByName(kinds_r.select((F.lit(5.0 * total) / F.col("r")).alias("v"), F.lit(0).cast("long").alias("kc"))).groupBy("v").agg(F.sum("kc").alias("kc")), "v", F.sum("kc").alias("kc"))
+    below = _running(marks.select(F.col("_v").alias("v"), "kc", "rank"))
+    low = kinds_r.select((F.lit(5.0 * total) / F.col("r")).alias("v"), "kr").join(below, "v").agg(F.sum(F.col("kr") * F.col("below")).alias("k")).collect()[0]["k"] or 0
     return _frame(df, "operacion string, filas long, columnas long, estadistico double, gl long, celdas_bajas long", ("chi_cuadrado", nr, nc, max(0.0, total * (s - 1)), (nr - 1) * (nc - 1), low))
 
 
@@ -283,7 +308,7 @@ def risk_measures(a: int, b: int, c: int, d: int) -> dict[str, float]:
     return {"rr": rr, "rr_lower": around(rr, se_rr)[0], "rr_upper": around(rr, se_rr)[1], "or": odds, "or_lower": around(odds, se_or)[0], "or_upper": around(odds, se_or)[1], "corrected": corrected}
 
 
-def risk(df: DataFrame, exposure: str, event: str, exposed: str, happened: str) -> DataFrame:
+def _risk_counts(df: DataFrame, exposure: str, event: str, exposed: str, happened: str):
     """Counts by two columns of exactly two labels each."""
     require(df, exposure, event)
     e, v = F.nullif(col(exposure).cast("string"), F.lit("")), F.nullif(col(event).cast("string"), F.lit(""))
@@ -294,8 +319,20 @@ def risk(df: DataFrame, exposure: str, event: str, exposed: str, happened: str)
     ).collect()[0]
     if r["ne"] != 2 or r["nv"] != 2 or not r["he"] or not r["hv"]:
         raise EngineError("DATA", "each column needs exactly two labels, the named ones among them")
-    m = risk_measures(r["a"], r["b"], r["c"], r["d"])
-    return _frame(df, "operacion string, eventos_expuestos long, no_eventos_expuestos long, eventos_control long, no_eventos_control long, riesgo_relativo double, odds_ratio double", ("riesgo", r["a"], r["b"], r["c"], r["d"], m["rr"], m["or"]))
+    return r["a"], r["b"], r["c"], r["d"]
+
+
+def risk(df: DataFrame, exposure: str, event: str, exposed: str, happened: str) -> DataFrame:
+    """The counts, relative risk and odds ratio."""
+    a, b, c, d = _risk_counts(df, exposure, event, exposed, happened)
+    m = risk_measures(a, b, c, d)
+    return _frame(df, "operacion string, eventos_expuestos long, no_eventos_expuestos long, eventos_control long, no_eventos_control long, riesgo_relativo double, odds_ratio double", ("riesgo", a, b, c, d, m["rr"], m["or"]))
+
+
+def risk_intervals(df: DataFrame, exposure: str, event: str, exposed: str, happened: str) -> DataFrame:
+    """Relative risk and odds ratio with their 95 % intervals, and whether 0.5 was added to the cells."""
+    m = risk_measures(*_risk_counts(df, exposure, event, exposed, happened))
+    return _frame(df, "rr double, rr_lower double, rr_upper double, odds double, odds_lower double, odds_upper double, corrected boolean", (m["rr"], m["rr_lower"], m["rr_upper"], m["or"], m["or_lower"], m["or_upper"], m["corrected"]))
 
 
 def event_model(df: DataFrame, area: str, severity: str, post: str, source: str = "") -> DataFrame:
@@ -329,6 +366,39 @@ class ThresholdForest:
         self.roots = [grow(list(range(len(rows))), t, 0) for t in range(self.trees)]
         return self
 
+    def fit_table(self, df: DataFrame, features: list[str], label: str) -> ThresholdForest:
+        """The same trees from a table of any size: one aggregate per level for all nodes of all trees. label is 0 or 1; rows with a null are left out."""
+        require(df, *features, label)
+        rows = df.select(*(col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)), col(label).cast("int").alias("y")).dropna()
+        # A node: (feature, cut, low node, high node), or its vote; open nodes wait with the condition that leads to them.
+        roots: list = [[None] for _ in range(self.trees)]
+        waiting = [(root, t, F.lit(True)) for t, root in enumerate(roots)]
+        for level in range(self.depth + 1):
+            feature = lambda t, level=level: (level + t) % len(features)
+            aggregates = []
+            for k, (_, t, here) in enumerate(waiting):
+                x = F.when(here, F.col(f"x{feature(t)}"))
+                aggregates += [F.count_if(here).alias(f"n{k}"), F.count_if(here & (F.col("y") == 1)).alias(f"ones{k}"), F.min(x).alias(f"lo{k}"), F.max(x).alias(f"hi{k}")]
+            got = rows.agg(*aggregates).collect()[0]
+            if not level and not got["n0"]:
+                raise EngineError("DATA", "no rows")
+            then = []
+            for k, (node, t, here) in enumerate(waiting):
+                n, ones = got[f"n{k}"], got[f"ones{k}"]
+                if level == self.depth or ones in (0, n):
+                    node[:] = [int(2 * ones >= n) if n else 0]
+                    continue
+                cut, low, high = (got[f"lo{k}"] + got[f"hi{k}"]) / 2, [None], [None]
+                node[:] = [feature(t), cut, low, high]
+                under = F.col(f"x{feature(t)}") <= cut
+                then += [(low, t, here & under), (high, t, here & ~under)]
+            waiting = then
+            if not waiting:
+                break
+        settled = lambda node: node[0] if len(node) == 1 else (node[0], node[1], settled(node[2]), settled(node[3]))
+        self.roots = [settled(r) for r in roots]
+        return self
+
     def predict(self, features: list[Column]) -> Column:
         def of(node) -> Column:
             if isinstance(node, int):

@@ -138,20 +138,22 @@ def pivot(df: DataFrame, keys: list[str], column: str, values: list, metric: Met
 
 
 # Mergeable partial states, for aggregates that are kept and merged later (say, day by day).
-STATE = "struct<n:long,nulls:long,invalid:long,sum:double,mean:double,m2:double,low:double,high:double>"
+STATE = "struct<n:long,nulls:long,invalid:long,sum:double,mean:double,m2:double,low:double,high:double,exact:decimal(38,0)>"
 
 
 def partial_state(df: DataFrame, keys: list[str], column: str, is_text: bool = False) -> DataFrame:
-    """keys and `state`: count, nulls, invalid texts, sum, mean, sum of squared deviations, least and greatest."""
+    """keys and `state`: count, nulls, invalid texts, sum, mean, sum of squared deviations, least and greatest; of integer columns also the exact sum."""
     from lumbre.types import safe_number
 
+    require(df, *keys, column)
     raw = col(column)
+    exact = F.sum(raw.cast("decimal(20,0)")).cast("decimal(38,0)") if isinstance(df.schema[column].dataType, T.IntegralType) else F.lit(None).cast("decimal(38,0)")
     value = safe_number(raw) if is_text else raw.cast("double")
     missing = (raw.isNull() | (F.trim(raw) == "")) if is_text else raw.isNull()
     n = F.count(value)
     state = F.struct(
         n.alias("n"), F.count_if(missing).alias("nulls"), F.count_if(~missing & value.isNull()).alias("invalid"), F.coalesce(F.sum(value), F.lit(0.0)).alias("sum"),
-        F.coalesce(F.avg(value), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop(value) * n, F.lit(0.0)).alias("m2"), F.min(value).alias("low"), F.max(value).alias("high"),
+        F.coalesce(F.avg(value), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop(value) * n, F.lit(0.0)).alias("m2"), F.min(value).alias("low"), F.max(value).alias("high"), exact.alias("exact"),
     )
     return df.groupBy(*(col(k) for k in keys)).agg(state.alias("state"))
 
@@ -168,7 +170,7 @@ def merge_states(states: DataFrame, keys: list[str]) -> DataFrame:
     joined = states.join(means, on, "inner") if keys else states.join(F.broadcast(means))
     merged = F.struct(
         n.alias("n"), F.sum(s["nulls"]).alias("nulls"), F.sum(s["invalid"]).alias("invalid"), total.alias("sum"), F.first("_mean").alias("mean"),
-        F.sum(s["m2"] + s["n"] * F.pow(s["mean"] - F.col("_mean"), 2)).alias("m2"), F.min(s["low"]).alias("low"), F.max(s["high"]).alias("high"),
+        F.sum(s["m2"] + s["n"] * F.pow(s["mean"] - F.col("_mean"), 2)).alias("m2"), F.min(s["low"]).alias("low"), F.max(s["high"]).alias("high"), F.sum(s["exact"]).cast("decimal(38,0)").alias("exact"),
     )
     return joined.groupBy(*(col(k) for k in keys)).agg(merged.alias("state"))
 
@@ -179,4 +181,16 @@ def final_state(states: DataFrame, keys: list[str]) -> DataFrame:
     return states.select(
         *(col(k) for k in keys), s["n"].alias("conteo"), s["nulls"].alias("nulos"), s["invalid"].alias("invalidos"), F.when(some, s["sum"]).alias("suma"), F.when(some, s["mean"]).alias("media"),
         s["low"].alias("minimo"), s["high"].alias("maximo"), F.when(some, s["m2"] / F.when(some, s["n"])).alias("varianza"), F.when(some, F.when(s["n"] == 1, 0.0).otherwise(s["m2"] / F.when(s["n"] > 1, s["n"] - 1))).alias("varianza_muestral"),
+        s["exact"].alias("suma_exacta"),
     )
+
+
+def encode_states(states: DataFrame) -> DataFrame:
+    """The column state as text, for stores without structs; doubles keep all their digits."""
+    return states.withColumn("state", F.to_json("state"))
+
+
+def decode_states(states: DataFrame) -> DataFrame:
+    """Text of encode_states back to states; text that is no state raises."""
+    back = F.from_json("state", STATE, {"mode": "FAILFAST"})
+    return states.withColumn("state", F.when(back["n"].isNull(), F.raise_error(F.lit("DATA: not a state"))).otherwise(back))

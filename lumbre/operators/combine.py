@@ -33,12 +33,12 @@ def _same_type(a: T.DataType, b: T.DataType) -> bool:
     return a == b
 
 
-def join(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str] | None = None, how: str = "inner", hint: str | None = None, max_rows: int | None = None) -> DataFrame:
+def join(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str] | None = None, how: str = "inner", hint: str | None = None, max_rows: int | None = None, max_bytes: int | None = None) -> DataFrame:
     """Equi-join. Null keys never match; NaN equals NaN and -0.0 equals 0.0; key types must be equal.
 
     The result has all left columns, then all right ones (also the keys), renamed where names clash. Catalyst and
-    adaptive execution choose the strategy from sizes and split skewed keys; `hint` overrides. max_rows: more rows
-    than that raise OVERFLOW (counted while the result is read, see `guarded`).
+    adaptive execution choose the strategy from sizes and split skewed keys; `hint` overrides. max_rows, max_bytes: a
+    result beyond either raises OVERFLOW before it is formed, as `join_size` finds.
     """
     right_keys = right_keys or left_keys
     require(left, *left_keys)
@@ -51,14 +51,51 @@ def join(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: li
     kind = KINDS.get(how)
     if kind is None:
         raise EngineError("ARGUMENT", f"unknown join {how}")
+    if max_rows is not None or max_bytes is not None:
+        rows, size = join_size(left, right, left_keys, right_keys, how)
+        if max_rows is not None and rows > max_rows:
+            raise EngineError("OVERFLOW", f"{rows} rows, more than {max_rows}")
+        if max_bytes is not None and size > max_bytes:
+            raise EngineError("OVERFLOW", f"{size} bytes, more than {max_bytes}")
     names = right_names(left.columns, right.columns)
     renamed = right.toDF(*names)
     new = dict(zip(right.columns, names))
     if hint:
         renamed = renamed.hint(HINTS.get(hint, hint))
     on = reduce(Column.__and__, (left[f"`{a}`"] == renamed[f"`{new[b]}`"] for a, b in zip(left_keys, right_keys)))
-    out = left.join(renamed, on, kind)
-    return guarded(out, max_rows) if max_rows else out
+    return left.join(renamed, on, kind)
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row's values: texts and binaries by their length, numbers by their width, null as nothing."""
+    out = F.lit(0).cast("long")
+    for f in df.schema:
+        c = col(f.name)
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = F.octet_length(c).cast("long")
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            size = F.octet_length(F.to_json(F.struct(c))).cast("long")
+        else:
+            size = F.lit({"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4}.get(f.dataType.simpleString(), 8)).cast("long")
+        out = out + F.when(c.isNull(), F.lit(0).cast("long")).otherwise(size)
+    return out
+
+
+def join_size(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str] | None = None, how: str = "inner") -> tuple[int, int]:
+    """(rows, bytes) of a join's result, from the rows and bytes of each key: no pair of rows is formed."""
+    right_keys = right_keys or left_keys
+    kind = KINDS[how]
+
+    def side(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+        return df.select(*(col(k).alias(f"_k{i}") for i, k in enumerate(keys)), row_bytes(df).cast("double").alias("_b")).groupBy(*(f"_k{i}" for i in range(len(keys)))).agg(F.count(F.lit(1)).cast("double").alias(f"n{name}"), F.sum("_b").alias(f"b{name}"))
+
+    both = side(left, left_keys, "l").join(side(right, right_keys, "r"), [f"_k{i}" for i in range(len(left_keys))], "full")
+    nl, nr, bl, br = (F.coalesce(c, F.lit(0.0)) for c in ("nl", "nr", "bl", "br"))
+    met = (nl > 0) & (nr > 0)
+    alone = {"inner": F.lit(False), "left": nr == 0, "right": nl == 0, "full": ~met, "left_semi": F.lit(False), "left_anti": nr == 0}[kind]
+    pairs, size = ((nl, bl) if kind == "left_semi" else (F.lit(0.0), F.lit(0.0)) if kind == "left_anti" else (nl * nr, bl * nr + br * nl))
+    r = both.agg(F.sum(F.when(met, pairs).when(alone, nl + nr).otherwise(0.0)).alias("n"), F.sum(F.when(met, size).when(alone, bl + br).otherwise(0.0)).alias("b")).collect()[0]
+    return int(r["n"] or 0), int(r["b"] or 0)
 
 
 def guarded(df: DataFrame, max_rows: int) -> DataFrame:
@@ -73,7 +110,11 @@ def theta_join(left: DataFrame, right: DataFrame, on: Column, how: str = "inner"
     return left.join(right, on, KINDS.get(how, how))
 
 
-def cross_join(left: DataFrame, right: DataFrame) -> DataFrame:
+def cross_join(left: DataFrame, right: DataFrame, max_rows: int = 1_000_000_000) -> DataFrame:
+    """All pairs. Their number is known before any is formed; more than max_rows raise OVERFLOW."""
+    rows = left.count() * right.count()
+    if rows > max_rows:
+        raise EngineError("OVERFLOW", f"{rows} rows, more than {max_rows}")
     return left.crossJoin(right.toDF(*right_names(left.columns, right.columns)))
 
 

@@ -195,7 +195,7 @@ class Runner:
         if b.kind == "unir":
             given = dict(b.commands)
             right = csv.load_typed(self.spark, self.path(given["derecha"]), Schema({given["clave"]: "numerica"} if dict(df.dtypes).get(given["clave"]) == "double" else {}))
-            return O.join(df, right, [given["clave"]], max_rows=int(b.limits[1]) if b.limits else None)
+            return O.join(df, right, [given["clave"]], max_bytes=int(b.limits[0]) if b.limits else None, max_rows=int(b.limits[1]) if b.limits else None)
         metrics = [_metric(c, x) for c, x in b.commands if c not in ("por", "spill")]
         if len(metrics) > 16:
             raise EngineError("LIMIT", "at most 16 metrics")

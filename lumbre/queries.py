@@ -14,7 +14,7 @@ from lumbre.functions import calendar, finance, statistics
 from lumbre.functions.user import Program as Functions
 from lumbre.operators.aggregate import Metric
 from lumbre.plans.parser import parse
-from lumbre.sources import reports
+from lumbre.sources import reports, staging
 from lumbre.streaming import bounded, events
 from lumbre.types import Schema, as_text, binary_state, risk_name, safe_number
 
@@ -170,16 +170,18 @@ def table_as_text(spark, d):
     return as_text(table(spark, d, "part").select("p_partkey", (F.col("p_size") > 25).alias("grande")))
 
 
-# Joins. The filters leave rows without a partner on both sides.
+# Joins of whole tables. Some keys are changed, so that rows without a partner and null keys stand on both sides.
 
 
 def _sides(spark, d):
-    left = table(spark, d, "customer").filter("c_custkey % 3 <> 0").select("c_custkey", "c_nationkey")
-    right = table(spark, d, "orders").filter("o_custkey % 4 <> 0").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    left = table(spark, d, "customer").select(F.expr("if(c_custkey % 3 = 0, -c_custkey, c_custkey)").alias("c_custkey"), "c_nationkey")
+    right = table(spark, d, "orders").select(F.expr("if(o_custkey % 4 = 0, null, o_custkey)").alias("c_custkey"), "o_orderkey")
     return left, right
 
 
-SIDES_SQL = "(SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 3 <> 0) l {how} JOIN (SELECT o_custkey AS c_custkey, o_orderkey FROM orders WHERE o_custkey % 4 <> 0) r ON l.c_custkey = r.c_custkey"
+LEFT_SQL = "(SELECT CASE WHEN c_custkey % 3 = 0 THEN -c_custkey ELSE c_custkey END AS c_custkey, c_nationkey FROM customer)"
+RIGHT_SQL = "(SELECT CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE o_custkey END AS c_custkey, o_orderkey FROM orders)"
+SIDES_SQL = f"{LEFT_SQL} l {{how}} JOIN {RIGHT_SQL} r ON l.c_custkey = r.c_custkey"
 
 
 def _join(how: str):
@@ -199,7 +201,7 @@ def join_semi(spark, d):
     return O.join(*_sides(spark, d), ["c_custkey"], how="semi")
 
 
-@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 4 <> 0)")
+@query(f"SELECT c_custkey, c_nationkey FROM {LEFT_SQL} l WHERE NOT EXISTS (SELECT 1 FROM {RIGHT_SQL} r WHERE r.c_custkey = l.c_custkey)")
 def join_anti(spark, d):
     return O.join(*_sides(spark, d), ["c_custkey"], how="anti")
 
@@ -216,6 +218,13 @@ def join_with_limit(spark, d):
     return O.join(table(spark, d, "nation"), table(spark, d, "supplier"), ["n_nationkey"], ["s_nationkey"], max_rows=10_000_000).select("n_name", "s_suppkey")
 
 
+@query("SELECT 'inner' AS how, count(*) AS filas FROM customer JOIN orders ON c_custkey = o_custkey UNION ALL SELECT 'full', count(*) FROM customer FULL JOIN orders ON c_custkey = o_custkey UNION ALL SELECT 'left_anti', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def join_preflight(spark, d):
+    """How many rows joins would have, without forming them."""
+    left, right = table(spark, d, "customer"), table(spark, d, "orders")
+    return spark.createDataFrame([(how, O.join_size(left, right, ["c_custkey"], ["o_custkey"], how)[0]) for how in ("inner", "full", "left_anti")], "how string, filas long")
+
+
 @query("SELECT r_name, n_name FROM region, nation")
 def join_cross(spark, d):
     return O.cross_join(table(spark, d, "region").select("r_name"), table(spark, d, "nation").select("n_name"))
@@ -323,9 +332,12 @@ def count_distinct(spark, d):
     return O.distinct_counts(table(spark, d, "lineitem"), ["l_returnflag"], "l_suppkey")
 
 
-@query()
+@query("SELECT l_returnflag, true AS dentro FROM lineitem GROUP BY l_returnflag")
 def approx_distinct(spark, d):
-    return O.approximate_distinct(table(spark, d, "lineitem"), ["l_returnflag"], "l_partkey")
+    """Whether each sketch is within five standard errors of the exact count."""
+    t = table(spark, d, "lineitem")
+    exact = O.distinct_counts(t, ["l_returnflag"], "l_partkey").select("l_returnflag", F.col("distinct").alias("exact"))
+    return O.approximate_distinct(t, ["l_returnflag"], "l_partkey").join(exact, "l_returnflag").select("l_returnflag", (F.abs(F.col("distinct") - F.col("exact")) <= 0.1 * F.col("exact")).alias("dentro"))
 
 
 @query("""SELECT l_returnflag, round(sum(CASE WHEN l_linestatus = 'F' THEN l_quantity END), 4) AS "F", round(sum(CASE WHEN l_linestatus = 'O' THEN l_quantity END), 4) AS "O"
@@ -338,10 +350,25 @@ def pivot(spark, d):
 round(var_pop(l_quantity), 4) AS varianza, round(var_samp(l_quantity), 4) AS varianza_muestral FROM lineitem GROUP BY l_returnflag""")
 def merged_states(spark, d):
     daily = O.partial_state(table(spark, d, "lineitem"), ["l_returnflag", "l_linenumber"], "l_quantity")
-    out = O.final_state(O.merge_states(daily.drop("l_linenumber"), ["l_returnflag"]), ["l_returnflag"]).drop("nulos", "invalidos")
+    out = O.final_state(O.merge_states(daily.drop("l_linenumber"), ["l_returnflag"]), ["l_returnflag"]).drop("nulos", "invalidos", "suma_exacta")
     return rounded(out, "suma", "media", "varianza", "varianza_muestral")
 
 
+@query("""SELECT l_returnflag, count(v) AS conteo, count(*) - count(v) AS nulos, CAST(0 AS BIGINT) AS invalidos, CAST(sum(CAST(v AS HUGEINT)) AS VARCHAR) AS suma_exacta
+FROM (SELECT l_returnflag, CASE WHEN l_linenumber <> 3 THEN l_orderkey * 1000003 + 4611686018427387904 END AS v FROM lineitem) GROUP BY l_returnflag""")
+def merged_states_exact(spark, d):
+    """Sums beyond 64 bits, through the text form of the states."""
+    t = table(spark, d, "lineitem").select("l_returnflag", "l_linenumber", F.when(F.col("l_linenumber") != 3, F.col("l_orderkey").cast("long") * 1000003 + 4611686018427387904).alias("v"))
+    stored = O.encode_states(O.partial_state(t, ["l_returnflag", "l_linenumber"], "v"))
+    out = O.final_state(O.merge_states(O.decode_states(stored).drop("l_linenumber"), ["l_returnflag"]), ["l_returnflag"])
+    return out.select("l_returnflag", "conteo", "nulos", "invalidos", F.col("suma_exacta").cast("string").alias("suma_exacta"))
+
+
+@query("""SELECT event_type, count(TRY_CAST(k AS DOUBLE)) AS conteo, count_if(k = '') AS nulos, count_if(k <> '' AND TRY_CAST(k AS DOUBLE) IS NULL) AS invalidos FROM """ + "(SELECT CASE WHEN event_id % 9 = 0 THEN 'no-num' WHEN event_id % 11 = 0 THEN '' ELSE json_extract_string(props, '$.k') END AS k, event_type FROM events) GROUP BY event_type")
+def merged_states_text(spark, d):
+    return O.final_state(O.merge_states(O.partial_state(_dirty(spark, d), ["event_type", "u"], "k", is_text=True).drop("u"), ["event_type"]), ["event_type"]).select("event_type", "conteo", "nulos", "invalidos")
+
+
 # Windows, order, sets.
 
 
@@ -491,14 +518,8 @@ def single_sum(spark, d):
 # Event time. The stream reads the same Parquet file; complete mode gives the batch result.
 
 
-def _one_name(name: str) -> str:
-    import uuid
-
-    return f"{name}_{uuid.uuid4().hex}"
-
-
 def _streamed(df, name, mode):
-    return events.run_available(df, _one_name(name), mode)
+    return events.run_available(df, staging.fresh(df.sparkSession, f"stream-{name}"), mode)
 
 
 def _event_stream(spark, d):
@@ -601,11 +622,12 @@ def wilcoxon(spark, d):
     return statistics.wilcoxon(t, "a", "b").drop("p")
 
 
-@query("""WITH r AS (SELECT l_returnflag = 'R' AS f, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS k FROM lineitem WHERE l_returnflag IN ('R', 'A'))
-SELECT count_if(f) AS n_first, count_if(NOT f) AS n_second, round(CAST(sum(k) FILTER (f) - count_if(f) * (count_if(f) + 1) / 2.0 AS DOUBLE), 1) AS u FROM r""")
+@query("""WITH r AS (SELECT l_returnflag = 'R' AS f, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS k FROM lineitem WHERE l_returnflag IN ('R', 'A')),
+u AS (SELECT count_if(f) AS n1, count_if(NOT f) AS n2, CAST(sum(k) FILTER (f) - count_if(f) * (count_if(f) + 1) / 2.0 AS DOUBLE) AS u FROM r)
+SELECT n1 AS n_first, n2 AS n_second, round(u, 1) AS u, round((u - n1 * n2 / 2) / sqrt(CAST(n1 AS DOUBLE) * n2 * (n1 + n2 + 1) / 12), 6) AS z FROM u""")
 def mann_whitney(spark, d):
     t = table(spark, d, "lineitem").filter("l_returnflag in ('R', 'A')")
-    return rounded(statistics.mann_whitney(t, "l_quantity", "l_returnflag", "R").select("n_first", "n_second", "u"), "u", n=1)
+    return rounded(rounded(statistics.mann_whitney(t, "l_quantity", "l_returnflag", "R").drop("p"), "u", n=1), "z", n=6)
 
 
 @query("SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS n FROM orders GROUP BY 1, 2")
@@ -628,6 +650,14 @@ def risk_ratio(spark, d):
     return rounded(statistics.risk(t, "l_linestatus", "grande", "O", "si"), "riesgo_relativo", "odds_ratio", n=6)
 
 
+@query("""WITH c AS (SELECT count_if(l_linestatus = 'O' AND big) AS a, count_if(l_linestatus = 'O' AND NOT big) AS b, count_if(l_linestatus <> 'O' AND big) AS c, count_if(l_linestatus <> 'O' AND NOT big) AS d FROM (SELECT l_linestatus, l_quantity > 25 AS big FROM lineitem)),
+m AS (SELECT (a / (a + b)) / (c / (c + d)) AS rr, a * d / (b * c) AS odds, sqrt(1 / a - 1 / (a + b) + 1 / c - 1 / (c + d)) AS sr, sqrt(1 / a + 1 / b + 1 / c + 1 / d) AS so, 1.959963984540054 AS z FROM (SELECT CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(c AS DOUBLE) AS c, CAST(d AS DOUBLE) AS d FROM c))
+SELECT round(rr, 6) AS rr, round(rr * exp(-z * sr), 5) AS rr_lower, round(rr * exp(z * sr), 5) AS rr_upper, round(odds, 6) AS odds, round(odds * exp(-z * so), 5) AS odds_lower, round(odds * exp(z * so), 5) AS odds_upper, false AS corrected FROM m""")
+def risk_intervals(spark, d):
+    t = table(spark, d, "lineitem").select("l_linestatus", F.when(F.col("l_quantity") > 25, "si").otherwise("no").alias("grande"))
+    return rounded(rounded(statistics.risk_intervals(t, "l_linestatus", "grande", "O", "si"), "rr", "odds", n=6), "rr_lower", "rr_upper", "odds_lower", "odds_upper", n=5)
+
+
 @query("SELECT 'modelo_sst' AS operacion, count_if(event_type <> 'view') AS eventos, 'events' AS fuente FROM events")
 def event_model(spark, d):
     t = table(spark, d, "events").select(F.nullif("event_type", F.lit("view")).alias("area"), F.col("value").alias("severidad"), F.col("user_id").alias("cargo"))
@@ -664,12 +694,19 @@ def sales_report(spark, d):
     return rounded(rounded(reports.sales_summary(table(spark, d, "customer"), "c_acctbal", "c_nationkey"), "promedio", "maxima", "minima"), "total", n=2)
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN (CASE WHEN l_quantity > 25.5 THEN 1 ELSE 0 END) + (CASE WHEN l_tax > 0.045 THEN 1 ELSE 0 END) + (CASE WHEN l_quantity > 25.5 THEN 1 ELSE 0 END) >= 2 THEN 1 ELSE 0 END AS clase FROM lineitem")
+_FOREST_SQL = """WITH t AS (SELECT l_orderkey, l_linenumber, l_quantity AS x0, l_tax AS x1, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y FROM lineitem),
+c AS (SELECT (min(x0) + max(x0)) / 2 AS c0, (min(x1) + max(x1)) / 2 AS c1 FROM t),
+v AS (SELECT CASE WHEN 2 * count_if(x0 <= c0 AND y = 1) >= count_if(x0 <= c0) THEN 1 ELSE 0 END AS l0, CASE WHEN 2 * count_if(x0 > c0 AND y = 1) >= count_if(x0 > c0) THEN 1 ELSE 0 END AS h0,
+CASE WHEN 2 * count_if(x1 <= c1 AND y = 1) >= count_if(x1 <= c1) THEN 1 ELSE 0 END AS l1, CASE WHEN 2 * count_if(x1 > c1 AND y = 1) >= count_if(x1 > c1) THEN 1 ELSE 0 END AS h1 FROM t, c)
+SELECT l_orderkey, l_linenumber, CAST(CASE WHEN 2 * (2 * CASE WHEN x0 <= c0 THEN l0 ELSE h0 END + CASE WHEN x1 <= c1 THEN l1 ELSE h1 END) >= 3 THEN 1 ELSE 0 END AS INTEGER) AS clase FROM t, c, v"""
+
+
+@query(_FOREST_SQL.replace("l_returnflag = 'R'", "l_linestatus = 'F' AND l_quantity > 10"))
 def threshold_forest(spark, d):
-    forest = statistics.ThresholdForest(3, 1).fit([[1, 0.0], [50, 0.09], [50, 0.0], [1, 0.09]], [0, 1, 1, 0])
-    # Depth-1 trees cut at the middle of each feature's range; a leaf votes for its majority, ones on a tie.
-    forest.roots = [(0, 25.5, 0, 1), (1, 0.045, 0, 1), (0, 25.5, 0, 1)]
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", forest.predict([F.col("l_quantity"), F.col("l_tax")]).alias("clase"))
+    """Trained on the whole table, then asked for every row: three trees of depth 1 over two features."""
+    t = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax", ((F.col("l_linestatus") == "F") & (F.col("l_quantity") > 10)).cast("int").alias("y"))
+    forest = statistics.ThresholdForest(3, 1).fit_table(t, ["l_quantity", "l_tax"], "y")
+    return t.select("l_orderkey", "l_linenumber", forest.predict([F.col("l_quantity"), F.col("l_tax")]).alias("clase"))
 
 
 # Arrays.
@@ -719,11 +756,46 @@ def array_masks(spark, d):
     return _embeddings(spark, d).select("vec_id", A.mask(a, m).alias("mayores"), A.nonzero(F.transform(m, lambda x: x.cast("int"))).alias("lugares"), A.where(A.greater_than(a, 0.0), a, F.transform(a, lambda x: F.lit(0.0))).alias("rectificado"), A.slice_(a, 2, 6).alias("trozo"), A.slice_(a, None, None, -1).alias("inverso"))
 
 
-@query("""SELECT vec_id, round(list_sum(list_transform(a[1:4], lambda x: x)), 6) AS fila0, round(a[1] + a[5], 6) AS columna0, a[2] AS t10 FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings)""")
+_ROWS_SQL = "(SELECT vec_id, list_transform(range(8), lambda i: a[8 * i + 1:8 * i + 8]) AS filas, list_transform(range(8), lambda j: list_transform(range(8), lambda i: a[8 * i + j + 1])) AS columnas FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings))"
+
+
+@query(f"SELECT vec_id, list_transform(filas, lambda x: round(list_sum(x), 6)) AS filas, list_transform(columnas, lambda x: round(list_sum(x), 6)) AS columnas, columnas AS traspuesta FROM {_ROWS_SQL}")
 def array_matrix(spark, d):
-    m = A.reshape(F.slice("a", 1, 8), 2, 4)
-    out = _embeddings(spark, d).select("vec_id", F.get(A.along(m, 1, A.sum_), F.lit(0)).alias("fila0"), F.get(A.along(m, 0, A.sum_), F.lit(0)).alias("columna0"), F.get(F.get(A.transpose(m), F.lit(1)), F.lit(0)).alias("t10"))
-    return rounded(out, "fila0", "columna0", n=6)
+    """Whole embeddings as matrices of 8 by 8."""
+    m = A.reshape(F.col("a"), 8, 8)
+    r6 = lambda x: F.round(x, 6)
+    return _embeddings(spark, d).select("vec_id", F.transform(A.along(m, 1, A.sum_), r6).alias("filas"), F.transform(A.along(m, 0, A.sum_), r6).alias("columnas"), A.transpose(m).alias("traspuesta"))
+
+
+def _along(name: str, kernel, sql: str):
+    """A reduction of every embedding as a matrix along both axes."""
+
+    def f(spark, d):
+        m = A.reshape(F.col("a"), 8, 8)
+        r6 = lambda x: F.round(x, 6)
+        return _embeddings(spark, d).select("vec_id", F.transform(A.along(m, 0, kernel), r6).alias("eje0"), F.transform(A.along(m, 1, kernel), r6).alias("eje1"))
+
+    f.__name__ = f"array_axis_{name}"
+    query(f"SELECT vec_id, list_transform(columnas, lambda x: round({sql}, 6)) AS eje0, list_transform(filas, lambda x: round({sql}, 6)) AS eje1 FROM {_ROWS_SQL}")(f)
+
+
+for _name, _op, _sql in (("mean", A.mean, "list_avg(x)"), ("min", A.min_, "list_min(x)"), ("max", A.max_, "list_max(x)"), ("variance", A.variance, "list_var_pop(x)"), ("std", A.std, "list_stddev_pop(x)"), ("median", A.median, "list_median(x)"), ("percentile", lambda x: A.percentile(x, 90), "list_aggregate(x, 'quantile_cont', 0.9)")):
+    _along(_name, _op, _sql)
+
+
+@query("""SELECT vec_id, len(list_filter(a, lambda x: x = a[1])) AS iguales, [isnan(x) FOR x IN (a[1:2] || [CAST('nan' AS DOUBLE)])] AS nan, [isfinite(x) FOR x IN (a[1:2] || [CAST('nan' AS DOUBLE), CAST('inf' AS DOUBLE)])] AS finitos FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings)""")
+def array_flags(spark, d):
+    a, odd = F.col("a"), lambda *x: F.concat(F.slice("a", 1, 2), F.array(*(F.lit(float(v)) for v in x)))
+    first = F.slice("a", 1, 1)
+    return _embeddings(spark, d).select("vec_id", F.size(F.filter(A.equal(a, first), lambda x: x)).cast("long").alias("iguales"), A.isnan(odd("nan")).alias("nan"), A.isfinite(odd("nan", "inf")).alias("finitos"))
+
+
+@query("SELECT vec_id, list_transform(range(8), lambda i: list_transform(range(8), lambda j: round(a[8 * i + j + 1] + a[j + 1], 6))) AS suma FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings)")
+def array_broadcast(spark, d):
+    """Each matrix plus its first row, which is repeated along the other axis."""
+    m = A.reshape(F.col("a"), 8, 8)
+    out = A.add_rows(m, A.broadcast_rows(F.slice("a", 1, 8), 8))
+    return _embeddings(spark, d).select("vec_id", F.transform(out, lambda x: F.transform(x, lambda y: F.round(y, 6))).alias("suma"))
 
 
 @query("SELECT vec_id, list_transform(a, lambda x: CAST(trunc(x * 10) AS INTEGER)) AS enteros FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings)")
@@ -762,11 +834,12 @@ def npv(spark, d):
     return rounded(finance.series_npv(table(spark, d, "orders"), ["o_custkey"], "o_orderkey", "o_totalprice", 0.1), "npv")
 
 
-@query("SELECT p_partkey, CAST(0.1 AS DOUBLE) AS irr FROM part WHERE p_size <= 5")
+@query("SELECT o_custkey, round(max(o_totalprice) / min(o_totalprice) - 1, 6) AS irr FROM orders GROUP BY o_custkey HAVING max(o_totalprice) < 11 * min(o_totalprice)")
 def irr(spark, d):
-    # A price paid today and 1.1 times it a period later returns a tenth.
-    t = table(spark, d, "part").filter("p_size <= 5").select("p_partkey", F.explode(F.array(F.struct(F.lit(0).alias("i"), F.lit(-100.0).alias("f")), F.struct(F.lit(1).alias("i"), F.lit(110.0).alias("f")))).alias("x")).select("p_partkey", "x.*")
-    return rounded(finance.series_irr(t, ["p_partkey"], "i", "f"), "irr", n=6)
+    """Each customer pays the least of their orders and gets the greatest a period later; rates beyond 10 are none."""
+    both = table(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_totalprice").alias("least"), F.max("o_totalprice").alias("most"))
+    flows = both.select("o_custkey", F.explode(F.array(F.struct(F.lit(0).alias("i"), (-F.col("least")).alias("f")), F.struct(F.lit(1).alias("i"), F.col("most").alias("f")))).alias("x")).select("o_custkey", "x.*")
+    return rounded(finance.series_irr(flows, ["o_custkey"], "i", "f"), "irr", n=6).filter("irr is not null")
 
 
 @query()
@@ -777,11 +850,14 @@ def irr_series(spark, d):
     return rounded(finance.series_irr(bought.unionByName(sold), ["p_partkey"], "i", "f"), "irr", n=6)
 
 
-@query("SELECT s_suppkey, CAST(12 AS INTEGER) AS periodos, true AS saldado FROM supplier WHERE s_acctbal > 100")
+@query("""WITH RECURSIVE l AS (SELECT s_suppkey, CAST(abs(s_acctbal) + 100 AS DECIMAL(18, 2)) AS p FROM supplier), k AS (SELECT s_suppkey, p, CAST(round(CAST(p AS DOUBLE) * 0.01 / (1 - power(1.01, -12)), 2) AS DECIMAL(18, 2)) AS pago FROM l),
+r AS (SELECT s_suppkey, 1 AS period, pago, p AS antes, CAST(round(p * CAST(0.01 AS DECIMAL(4, 2)), 2) AS DECIMAL(18, 2)) AS interes FROM k
+UNION ALL SELECT s_suppkey, period + 1, pago, CAST(antes + interes - pago AS DECIMAL(18, 2)), CAST(round((antes + interes - pago) * CAST(0.01 AS DECIMAL(4, 2)), 2) AS DECIMAL(18, 2)) FROM r WHERE period < 12)
+SELECT s_suppkey, CAST(period AS INTEGER) AS period, CAST(CASE WHEN period < 12 THEN pago ELSE antes + interes END AS DOUBLE) AS payment, CAST(interes AS DOUBLE) AS interest, CAST(CASE WHEN period < 12 THEN antes + interes - pago ELSE 0 END AS DOUBLE) AS balance FROM r""")
 def amortization(spark, d):
-    t = table(spark, d, "supplier").filter("s_acctbal > 100").select("s_suppkey", F.col("s_acctbal").alias("p"), F.lit(0.01).alias("r"), F.lit(12).alias("n"))
-    out = finance.amortization_rows(t, ["s_suppkey"], "p", "r", "n")
-    return out.groupBy("s_suppkey").agg(F.count(F.lit(1)).cast("int").alias("periodos"), (F.max_by("balance", "period") == 0).alias("saldado"))
+    """Every payment, interest and balance of a loan of twelve periods per supplier."""
+    t = table(spark, d, "supplier").select("s_suppkey", F.round(F.abs("s_acctbal") + 100, 2).alias("p"), F.lit(0.01).alias("r"), F.lit(12).alias("n"))
+    return finance.amortization_rows(t, ["s_suppkey"], "p", "r", "n").select("s_suppkey", "period", "payment", "interest", "balance")
 
 
 @query("SELECT p_partkey, round(p_retailprice, 1) AS medio, floor(p_retailprice) AS piso, ceil(p_retailprice) AS techo FROM (SELECT p_partkey, CAST(p_retailprice AS DECIMAL(18, 2)) AS p_retailprice FROM part)")
@@ -856,9 +932,12 @@ def local_supplier_volume(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from lumbre import queries_io  # noqa: F401  it adds its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLE)
 

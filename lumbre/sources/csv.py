@@ -71,14 +71,16 @@ def header_of(spark: SparkSession, path: str, delimiter: str = ",") -> list[str]
 def load_csv(spark: SparkSession, path: str, delimiter: str = ",", multiline: bool | None = None, max_bytes: int | None = None, max_rows: int | None = None, names: list[str] | None = None) -> CsvTable:
     """Records with quotes and doubled quotes; blank records are skipped, bad ones counted and dropped.
 
-    multiline (quoted line ends) keeps a file from being split among tasks; by default it is on only if a look at the
-    head of the file shows an open quote at a line's end. Without a cap unless one is given.
+    multiline (quoted line ends) keeps a file from being split among tasks; by default it is on only if some line of the
+    file, wherever it stands, has an odd number of quotes. That costs one more scan, which ends at the first such line;
+    say multiline=True or False to spare it. Without a cap unless one is given.
     """
     if max_bytes is not None and _bytes_of(spark, path) > max_bytes:
         raise EngineError("LIMIT", f"{path} has more than {max_bytes} bytes")
     names = names or header_of(spark, path, delimiter)
     if multiline is None:
-        multiline = any(r.value.count('"') % 2 for r in spark.read.text(path).limit(10_000).collect())
+        quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+        multiline = not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
     # A record is judged by all its fields, whichever are asked for: columns are not pruned before parsing.
     schema = T.StructType([*(T.StructField(n, T.StringType()) for n in names), T.StructField(BAD, T.StringType())])
     raw = spark.read.option("columnPruning", False).csv(

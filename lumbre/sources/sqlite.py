@@ -36,10 +36,16 @@ def _type(declared: str):
     return StringType()
 
 
+#: Ranges that a table is cut into at most.
+MOST_RANGES = 10_000
+
+
 @dataclass
 class _Range(InputPartition):
-    low: int
-    high: int
+    """Rowids from low to high; None: all rows."""
+
+    low: int | None
+    high: int | None
 
 
 class SqliteReader(DataSourceReader):
@@ -47,17 +53,24 @@ class SqliteReader(DataSourceReader):
         self.path, self.table, self.schema, self.rows_per_task = path, table, schema, rows_per_task
 
     def partitions(self) -> list[_Range]:
+        """Ranges of the rowid, at most MOST_RANGES however sparse it is; a view, or a table without rowid, is one task's work."""
         with _open(self.path) as c:
-            low, high = c.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(self.table)}").fetchone()
-        if low is None:
-            return [_Range(0, -1)]
-        return [_Range(a, min(a + self.rows_per_task - 1, high)) for a in range(low, high + 1, self.rows_per_task)]
+            try:
+                low, high = c.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(self.table)}").fetchone()
+            except sqlite3.OperationalError:
+                return [_Range(None, None)]
+            if low is None:
+                # A view answers null for its rows' ids.
+                return [_Range(None, None)] if c.execute(f"SELECT 1 FROM {_quoted(self.table)} LIMIT 1").fetchone() else []
+        step = max(self.rows_per_task, -(-(high - low + 1) // MOST_RANGES))
+        return [_Range(a, min(a + step - 1, high)) for a in range(low, high + 1, step)]
 
     def read(self, partition: _Range) -> Iterator[tuple]:
         names = ", ".join(_quoted(f.name) for f in self.schema)
         kinds = [f.dataType for f in self.schema]
         with _open(self.path) as c:
-            for row in c.execute(f"SELECT {names} FROM {_quoted(self.table)} WHERE rowid BETWEEN ? AND ?", (partition.low, partition.high)):
+            where, bounds = ("", ()) if partition.low is None else (" WHERE rowid BETWEEN ? AND ?", (partition.low, partition.high))
+            for row in c.execute(f"SELECT {names} FROM {_quoted(self.table)}{where}", bounds):
                 yield tuple(self._value(v, k) for v, k in zip(row, kinds))
 
     @staticmethod

@@ -54,12 +54,20 @@ def running_totals(events: DataFrame, key: str, value: str) -> DataFrame:
     return events.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, n long, total double", "n long, total double", "update", GroupStateTimeout.NoTimeout)
 
 
-def run_available(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Everything there is, then stop; the result as a table in memory."""
-    w = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    q = (w.option("checkpointLocation", checkpoint) if checkpoint else w).start()
+def run_available(df: DataFrame, at: str, mode: str = "append") -> DataFrame:
+    """Everything there is, then stop. The rows go to Parquet files under the folder `at`, by the executors, beside the query's checkpoint.
+
+    In append mode by the file sink, once each. Complete mode keeps the last batch alone; update mode keeps every batch,
+    numbered `_batch`.
+    """
+    w = df.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        q = w.format("parquet").start(f"{at}/rows")
+    else:
+        part = (lambda k: f"{at}/rows") if mode == "complete" else (lambda k: f"{at}/rows/_batch={k}")
+        q = w.foreachBatch(lambda rows, k: rows.write.mode("overwrite").parquet(part(k))).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{at}/rows")
 
 
 def each_batch(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from lumbre import operators as O
 from lumbre.errors import EngineError, translated
 from lumbre.operators.aggregate import Metric, integer_sum
-from lumbre.operators.combine import guarded, right_names
+from lumbre.operators.combine import guarded, right_names, row_bytes
 from lumbre.types import Schema, as_text, binary, iso_date, promote, risk_name, safe_number
 
 NAN = float("nan")
@@ -145,7 +145,14 @@ def test_joins(spark):
         assert O.join(left, right, ["key"], hint=hint).count() == 4
     fails("TYPE", lambda: O.join(left, right.withColumn("key", F.col("key").cast("int")), ["key"]))
     fails("OVERFLOW", lambda: O.join(left, right, ["key"], max_rows=3))
+    fails("OVERFLOW", lambda: O.join(left, right, ["key"], max_bytes=20))
     fails("OVERFLOW", lambda: guarded(left, 3))
+    for how in ("inner", "left", "right", "full", "semi", "anti"):
+        kind = {"semi": "left_semi", "anti": "left_anti"}.get(how, how)
+        out = O.join(left, right, ["key"], how=how)
+        assert O.join_size(left, right, ["key"], ["key"], kind)[0] == out.count()
+        assert O.join_size(left, right, ["key"], ["key"], kind)[1] == out.agg(F.sum(row_bytes(out))).collect()[0][0]
+    fails("OVERFLOW", lambda: O.cross_join(left, right, max_rows=15))
     floats = lambda *v: spark.createDataFrame([(x,) for x in v], "k double")
     assert O.join(floats(NAN, -0.0), floats(NAN, 0.0), ["k"]).count() == 2
 

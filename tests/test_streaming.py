@@ -1,7 +1,5 @@
 """Event time on the events table, cut into files that arrive one by one."""
 
-import uuid
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,11 +14,14 @@ def arriving(spark, sf, tmp_path_factory):
     return at, e
 
 
-def name():
-    return f"q{uuid.uuid4().hex}"
+@pytest.fixture
+def name(tmp_path):
+    """A folder of its own for each stream."""
+    used = iter(range(100))
+    return lambda: f"file://{tmp_path}/stream{next(used)}"
 
 
-def test_windows_close_with_the_watermark(spark, arriving):
+def test_windows_close_with_the_watermark(spark, arriving, name):
     at, e = arriving
     s = events.windowed(events.source(spark, at, e.schema, 1), "ts", "1 minute", "1 hour", "30 minutes", ["event_type"], F.count(F.lit(1)).alias("n"))
     got = {tuple(r) for r in events.run_available(s, name(), "append").collect()}
@@ -28,7 +29,7 @@ def test_windows_close_with_the_watermark(spark, arriving):
     assert got and got <= want
 
 
-def test_sessions_dedup_state(spark, arriving):
+def test_sessions_dedup_state(spark, arriving, name):
     at, e = arriving
     source = lambda: events.source(spark, at, e.schema)
     s = events.session_windows(source(), "ts", "1 minute", "10 minutes", ["user_id"], F.count(F.lit(1)).alias("n"))
@@ -40,7 +41,7 @@ def test_sessions_dedup_state(spark, arriving):
     assert {r.event_type: r.n for r in out.groupBy("event_type").agg(F.max("n").alias("n")).collect()} == want
 
 
-def test_interval_join_and_foreach(spark, arriving, tmp_path):
+def test_interval_join_and_foreach(spark, arriving, tmp_path, name):
     at, e = arriving
     views = events.source(spark, at, e.schema).filter("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("a"))
     buys = events.source(spark, at, e.schema).filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("ts2"), F.col("event_id").alias("b"))
