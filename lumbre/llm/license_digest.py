@@ -120,18 +120,18 @@ SQL_STEPS = ((r"(^|\n)[^\na-z0-9]*(copyright|\(c\)|©)[^\n]*", "\n"), *STEPS[1:]
 
 
 def canonical(text):
-    """Lower case (A-Z), no copyright lines, no punctuation, words by one space, one spelling; blanks at the ends stay as one each side, which the spelling step uses as word limits."""
+    """Lower case (A-Z), no copyright lines, no punctuation; each word between two blanks of its own, which the spelling step uses as word limits."""
     col = S.ascii_lower(F.coalesce(text, F.lit("")))
     for pattern, to in STEPS:
         col = F.regexp_replace(col, pattern, to)
-    col = F.concat(F.lit(" "), F.trim(col), F.lit(" "))
-    return col
+    return F.concat(F.lit(" "), F.replace(F.trim(col), F.lit(" "), F.lit("  ")), F.lit(" "))
 
 
 def _one_spelling(col):
+    """One spelling, words by one space. Neighbours share no blank, so a variant that is repeated is met each time."""
     for variant, to in SPELLINGS:
         col = F.replace(col, F.lit(f" {variant} "), F.lit(f" {to} "))
-    return F.trim(col)
+    return F.trim(F.replace(col, F.lit("  "), F.lit(" ")))
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
@@ -151,7 +151,7 @@ def license_scan(docs: DataFrame, licenses: DataFrame | None = None, id_col: str
     licenses = known_licenses(docs.sparkSession) if licenses is None else licenses
     known = licenses.select(digests(licenses, "text").alias("digest"), "license_id").filter(F.col("digest") != F.sha2(F.lit(""), 256))
     known = S.store(known.groupBy("digest").agg(F.min("license_id").alias("license_id")), "licenses")
-    few = known.limit(S.MAX_BROADCAST_ROWS + 1).count() <= S.MAX_BROADCAST_ROWS
+    few = S.within_bound(known)
     rows = docs.select(F.col(id_col).alias("doc_id"), digests(docs, text_col).alias("canonical_sha256"))
     out = rows.join(F.broadcast(known) if few else known, rows["canonical_sha256"] == known["digest"], "left")
     return out.select("doc_id", "canonical_sha256", "license_id")
@@ -164,10 +164,10 @@ def oracle() -> str:
         col = f"translate(coalesce({text}, ''), '{S.UPPER}', '{S.LOWER}')"
         for pattern, to in SQL_STEPS:
             col = f"regexp_replace({col}, {quote(pattern)}, " + ("chr(10)" if to == "\n" else quote(to)) + ", 'g')"
-        col = f"' ' || trim({col}, ' ') || ' '"
+        col = f"' ' || replace(trim({col}, ' '), ' ', '  ') || ' '"
         for variant, to in SPELLINGS:
             col = f"replace({col}, ' {variant} ', ' {to} ')"
-        return f"sha256(trim({col}, ' '))"
+        return f"sha256(trim(replace({col}, '  ', ' '), ' '))"
 
     rows = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in LICENSES)
     return f"""
