@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -22,6 +23,7 @@ def work_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
+        warnings.warn("spark.checkpoint.dir is unset: intermediate tables go to a folder of this machine, which executors elsewhere can't see", stacklevel=2)
         at = tempfile.mkdtemp(prefix="lumbre-")
         sc.setCheckpointDir(f"file://{at}")
     return at.rstrip("/")
@@ -68,15 +70,20 @@ def lookup_skew_safe(rows: DataFrame, groups: DataFrame, key: str, size: str, to
     return at_hot.unionByName(rest.join(cold, key, how), allowMissingColumns=True)
 
 
-def few_or_merge(small: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """A stored table, to be broadcast if it has at most `limit` rows; else both sides are shuffled."""
-    return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small.hint("merge")
+def within_bound(small: DataFrame) -> bool:
+    """Whether a stored table may be broadcast."""
+    return small.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
 
 
-def lookup_small(rows: DataFrame, small: DataFrame, key: str, salt: str, parts: int = 64, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """rows joined with the stored table small on `key`. If small has over `limit` rows it is not broadcast but shuffled,
+def few_or_merge(small: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast if it is within the bound; else both sides are shuffled."""
+    return F.broadcast(small) if within_bound(small) else small.hint("merge")
+
+
+def lookup_small(rows: DataFrame, small: DataFrame, key: str, salt: str, parts: int = 64) -> DataFrame:
+    """rows joined with the stored table small on `key`. Beyond the bound small is not broadcast but shuffled,
     each of its rows to `parts` places: rows of a hot key are dealt among them by the hash of column `salt`."""
-    if small.limit(limit + 1).count() <= limit:
+    if within_bound(small):
         return rows.join(F.broadcast(small), key)
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(parts)).cast("int"))
     spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
@@ -89,11 +96,21 @@ def text_hash(text):
 
 
 def without_rows(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, less the rows named in the stored table dropped (doc_id, text_hash). Texts move only if the list is long."""
-    gone = few_or_merge(dropped.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")))
+    """docs, all columns, less the rows named in the stored table dropped (doc_id, text_hash).
+
+    A list within the bound is broadcast and texts stay where they are; with a longer one they are shuffled once and
+    probe a hash table of their part of the list, so they are not sorted.
+    """
+    gone = dropped.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash"))
+    gone = F.broadcast(gone) if within_bound(gone) else gone.hint("shuffle_hash")
     return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone_id")) & (text_hash(docs[text_col]) == F.col("_gone_hash")), "left_anti")
 
 
+def strings(array: pa.Array | pa.ChunkedArray) -> list[str]:
+    """The values as Python strings, several times faster than one scalar after the other."""
+    return (array.to_numpy(zero_copy_only=False) if isinstance(array, pa.Array) else array.to_numpy()).tolist()
+
+
 def batches_of(batches: Iterable[pa.RecordBatch], max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that Python holds a bounded number of bytes at once; a single long row stays whole."""
     for batch in batches:

@@ -80,4 +80,5 @@ def answer(report: DataFrame, limits: list[int], quantiles: list[float]) -> tupl
 
 
 def token_counts(docs: DataFrame, tokenizer: str | None = None, text_col: str = "text") -> DataFrame:
+    """length_report of whole texts: null and empty texts are lengths of 0, repeated rows count each, ids play no part and may be null, extra columns are ignored, an empty table gives no rows."""
     return length_report(length_histogram(docs, tokenizer, text_col))

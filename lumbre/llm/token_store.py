@@ -29,6 +29,8 @@ BLOCK_TOKENS = 1 << 19
 #: Rows of lanes between checkpoints.
 MARK_ROWS = 64
 BITS = 20
+#: Characters of a text by which rows of one id are dealt to ranges.
+PREFIX = 64
 
 
 def _id_ddl(docs: DataFrame, id_col: str) -> str:
@@ -179,14 +181,17 @@ def write_tokens(docs: DataFrame, path: str | None = None, tokenizer: str | None
     """Encodes every whole text (null: empty) and writes the store.
 
     The rows are dealt by ranges of the id, so only texts move, once; plain ids are held on the shared folder until the
-    frequencies of all documents are known. Rows that repeat an id stand side by side, in order of their texts; a null
-    id comes first. An empty table gives a store without blocks. Extra columns are ignored.
+    frequencies of all documents are known. Rows that repeat an id stand side by side, in order of the first PREFIX
+    characters of their texts (within a range, of their texts): a range may end among them, also among rows that are
+    alike, so that an id which many rows have is many tasks' work. A null id comes first. An empty table gives a store
+    without blocks. Extra columns are ignored.
     """
     spark = docs.sparkSession
     path = path or S.fresh_path(spark, "tokens")
     tokenizer = tokenizer or U.default_path()
     kind = _id_ddl(docs, id_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.substring(F.col(text_col), 1, PREFIX).alias("prefix"), F.monotonically_increasing_id().alias("place"))
+    rows = rows.repartitionByRange("doc_id", "prefix", "place").sortWithinPartitions("doc_id", "prefix", "text").select("doc_id", "text")
     staged = S.store(rows.mapInArrow(_encode_partition(tokenizer, end_id, block_tokens), f"part int, block int, doc_ids array<{kind}>, sizes array<long>, n_tokens long, ids binary"), "staged-ids", "snappy")
     counted = staged.filter("block = -1").select("ids").mapInArrow(_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     vocabulary = max([end_id + 1, *(r["token"] + 1 for r in counted)])
@@ -208,7 +213,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, tokenizer: str | None
     w = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.join(base, "part").select("part", "block", (F.col("base") + F.coalesce(F.sum("n_tokens").over(w), F.lit(0))).alias("first_start"))
     starts = S.store(starts, "starts")  # one row per block, some 2^19 tokens
-    few = starts.limit(S.MAX_BROADCAST_ROWS + 1).count() <= S.MAX_BROADCAST_ROWS
+    few = S.within_bound(starts)
     placed = staged.filter("block >= 0").join(F.broadcast(starts) if few else starts, ["part", "block"])
     shared = spark.sparkContext.broadcast(freq)
     wide = U.encoder(tokenizer).vocab_size > 1 << 16 or end_id >= 1 << 16

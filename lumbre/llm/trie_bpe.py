@@ -196,7 +196,7 @@ class TrieBpe:
         segments, owner, special = self._segments(texts)
         lists = pc.ascii_split_whitespace(self.lowered(segments))
         coded = lists.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = S.strings(coded.dictionary)
         known, kept = self.chunks, len(self.sizes)
         numbers = [known.get(c, -1) for c in distinct]
         missing = [c for c, k in zip(distinct, numbers) if k < 0]

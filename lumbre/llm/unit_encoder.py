@@ -20,6 +20,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from lumbre.llm import _shared as S
+
 #: Units that a Python worker keeps; once they are reached, further units are learnt for one batch only.
 CACHE_UNITS = 600_000
 CACHE_PIECES = 300_000
@@ -152,7 +154,7 @@ class UnitEncoder:
         """(where each unit's ids start in self.flat, how many they are, units per text)."""
         names, counts = self._cut(texts)
         coded = names.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = S.strings(coded.dictionary)
         numbers = np.fromiter(map(self.index.get, distinct, repeat(-1)), np.int64, len(distinct))
         gaps = np.flatnonzero(numbers < 0)
         if len(gaps):

@@ -9,7 +9,7 @@ from test_scans import brute
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lumbre.llm import ordinal, trie_bpe
+from lumbre.llm import _shared, ordinal, trie_bpe
 
 
 def test_stages():
@@ -46,3 +46,14 @@ def test_stage_on_odd_and_empty_tables(spark, sf, odd, empty, stage):
         out = f(spark, docs, sf)
         assert name == "bpe" or out.columns == docs.columns
         assert out.count() <= docs.count()
+
+
+def test_stages_beyond_the_broadcast_bound(spark, sf, odd, monkeypatch):
+    """Lists that are shuffled take the same rows away."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = lambda df: sorted((repr(r.doc_id), r.text or "") for r in df.collect())
+    stages = corpus_pipeline.STAGES[1:4]
+    want = [[rows(f(spark, t, sf)) for t in (docs, odd)] for _, f in stages]
+    monkeypatch.setattr(_shared, "MAX_BROADCAST_ROWS", -1)
+    for (_, f), w in zip(stages, want):
+        assert [rows(f(spark, t, sf)) for t in (docs, odd)] == w

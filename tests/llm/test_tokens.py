@@ -111,6 +111,21 @@ def expected_bpe(text, tokenizer):
     return len(ids), sha(" ".join(map(str, ids))), sha(decoded), ids, decoded
 
 
+def test_op1_rows_of_one_id_are_many_tasks(spark):
+    """A third of the rows have one id, and most of those one text: ranges end among them, and the order holds."""
+    rows = [(7, "hot row" if i % 4 else f"hot {i}") for i in range(900)] + [(i, f"row {i}") for i in range(1000, 2800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    store = token_store.write_tokens(docs, block_tokens=200)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = store.blocks().filter("array_contains(doc_ids, 7)").select("part").distinct().count()
+    assert parts > 1
+    got = store.documents().orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted(i for i, _ in rows)
+    ends = [r.start + r.n_tokens for r in got]
+    assert [r.start for r in got] == [0, *ends[:-1]]
+
+
 def test_op2_equals_library(spark, sf, documents, words_tokenizer):
     texts = {r.doc_id: r.text for r in documents.collect()}
     got = Q.op2_bpe_trie(spark, sf).collect()
