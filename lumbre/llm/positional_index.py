@@ -78,13 +78,14 @@ def _anchors(index: PositionalIndex, items: DataFrame, window: int) -> tuple[Dat
 
 
 def alignments(index: PositionalIndex, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, text_hash, key, shift): where the adjusted posting lists of some window's two rarest terms meet. shift is the document's place of the item's first word and may lie outside it."""
+    """(doc_id, text_hash, key, n, shift): where the adjusted posting lists of some window's two rarest terms meet. shift is the document's place of the item's first word and may lie outside it; n is the number of the item's words."""
     anchors, windows = _anchors(index, items, window)
     lists = S.lookup_small(index.postings.filter("not is_doc"), anchors, "term", "text_hash")
     met = lists.groupBy("doc_id", "text_hash", "key", (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("places"))
-    pairs = S.store(windows.groupBy("key").agg(F.collect_list(F.struct("first", "second")).alias("pairs")), "window-pairs")
+    pairs = windows.groupBy("key").agg(F.collect_list(F.struct("first", "second")).alias("pairs"))
+    pairs = S.store(pairs.join(items.select("key", F.size("words").alias("n")), "key"), "window-pairs")
     both = F.exists("pairs", lambda p: F.array_contains(F.col("places"), p["first"]) & F.array_contains(F.col("places"), p["second"]))
-    return S.lookup_small(met, pairs, "key", "text_hash").filter(both).select("doc_id", "text_hash", "key", "shift")
+    return S.lookup_small(met, pairs, "key", "text_hash").filter(both).select("doc_id", "text_hash", "key", "n", "shift")
 
 
 def _intervals(equal, window, n):
@@ -104,14 +105,17 @@ def _intervals(equal, window, n):
 
 def phrase_matches(docs: DataFrame, index: PositionalIndex, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, item_id, a, b): maximal runs [a, b) of document words that equal consecutive item words and hold a whole window."""
-    found = S.store(alignments(index, items, window).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("key", "shift")).alias("at")), "alignments")
+    found = S.store(alignments(index, items, window).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("key", "n", "shift")).alias("at")), "alignments")
     own = docs.select(F.col(id_col).alias("d_id"), S.text_hash(F.col(text_col)).alias("d_hash"), F.col(text_col).alias("d_text"))
     few = S.few_or_merge(found)
     hit = own.join(few, F.col("d_id").eqNullSafe(F.col("doc_id")) & (F.col("d_hash") == F.col("text_hash"))).select("doc_id", "text_hash", "at", words_of(F.col("d_text")).alias("words")).dropDuplicates(["doc_id", "text_hash"])
-    each = hit.select("doc_id", "text_hash", "words", F.explode("at").alias("x")).select("doc_id", "text_hash", "words", "x.key", "x.shift")
+    # An alignment takes the document's words from shift to shift + n with it, not the whole text.
+    part = lambda x: F.slice("words", F.greatest(x["shift"], F.lit(0)) + 1, F.greatest(x["n"] + F.least(x["shift"], F.lit(0)), F.lit(0)))
+    each = hit.select("doc_id", "text_hash", F.explode(F.transform("at", lambda x: F.struct(x["key"].alias("key"), x["shift"].alias("shift"), part(x).alias("part")))).alias("x")).select("doc_id", "text_hash", "x.key", "x.shift", "x.part")
     asked = items.select("key", "item_id", F.col("words").alias("asked"))
     joined = S.lookup_small(each, asked, "key", "text_hash")
-    equal = F.transform("asked", lambda w, k: F.coalesce(F.when((F.col("shift") + k >= 0) & (F.col("shift") + k < F.size("words")), F.get(F.col("words"), F.col("shift") + k) == w), F.lit(False)))
+    place = lambda k: k + F.least(F.col("shift"), F.lit(0))
+    equal = F.transform("asked", lambda w, k: F.coalesce(F.when(place(k) >= 0, F.get(F.col("part"), place(k)) == w), F.lit(False)))
     runs = joined.select("doc_id", "text_hash", "item_id", "shift", F.explode(_intervals(equal, F.lit(window), F.size("asked"))).alias("r"))
     return runs.select("doc_id", "text_hash", "item_id", (F.col("shift") + F.col("r.a")).alias("a"), (F.col("shift") + F.col("r.b")).alias("b"))
 
@@ -119,7 +123,9 @@ def phrase_matches(docs: DataFrame, index: PositionalIndex, items: DataFrame, wi
 def proximity_matches(index: PositionalIndex, queries: DataFrame, within: int) -> DataFrame:
     """(query_id, doc_id, text_hash, pos): places of a query's rarest word from which each of its other words lies at most `within` words away.
 
-    queries: (query_id, words). The lists meet in buckets of `within` places, so no list is paired with a whole other.
+    queries: (query_id, words); words that repeat count once, one without words matches nothing, and a word that the
+    index lacks can't be found. Null ids of documents are carried, empty tables give no rows, extra columns are ignored.
+    The lists meet in buckets of `within` places, so no list is paired with a whole other.
     """
     width = max(1, within)
     asked = queries.select("query_id", F.explode(F.array_distinct("words")).alias("word"))
@@ -164,7 +170,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, **columns: str) -> DataFrame:
-    """The rows of docs, all columns, that hold no window of an item."""
+    """The rows of docs, all columns, that hold no window of an item. Nulls, empty texts, items without words, repeated rows and null ids as for contamination: null and empty texts stay; an empty table gives no rows."""
     found = S.store(contamination(docs, benchmark, window, **columns).filter("contaminated").select("doc_id", "text_hash").distinct(), "contaminated")
     return S.without_rows(docs, found, columns.get("id_col", "doc_id"), columns.get("text_col", "text"))
 

@@ -74,9 +74,7 @@ def test_op5_clean_rows_and_empty_tables(spark, odd, odd_rows, empty):
 
 
 def test_op5_without_broadcasts(spark, monkeypatch):
-    monkeypatch.setattr(positional_index.S, "few_or_merge", lambda small, limit=0: small.hint("merge"))
-    salted = positional_index.S.lookup_small
-    monkeypatch.setattr(positional_index.S, "lookup_small", lambda *a: salted(*a, parts=4, limit=-1))
+    monkeypatch.setattr(positional_index.S, "MAX_BROADCAST_ROWS", -1)
     docs, items = spark.createDataFrame(TEXTS, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
     got = positional_index.contamination(docs, items).drop("text_hash").collect()
     assert sorted(map(tuple, got), key=repr) == brute(TEXTS, ITEMS)
