@@ -5,8 +5,9 @@ P(grade >= k) = logistic(s - c_k). The expected grade is the sum of these tail p
 text holds a word, a word shape or a trait of the whole (repetition, capitals, marks), hashed into 2^18 places; presence
 rather than frequency, so that a text of any length is judged by what it holds.
 
-The model is fitted on a bounded sample of the rated documents (SAMPLE_DOCS, those whose id's hash is least, so the same
-rows at any partitioning) with an L1 penalty; scoring reads every text once and shuffles nothing.
+The model is fitted on a bounded sample of the rated documents (at most SAMPLE_DOCS rows, those whose ids and texts have
+the least hashes, and of them no more than hold SAMPLE_PLACES features together), so on the same rows at any partitioning,
+with an L1 penalty; scoring reads every text once and shuffles nothing.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from lumbre.llm import _shared as S
 
 SPACES = 1 << 18
-#: The bound on the rated documents that the model is fitted on.
-SAMPLE_DOCS = 12_000
+#: The bounds on the rated documents that the model is fitted on, and on the features that they hold together.
+SAMPLE_DOCS, SAMPLE_PLACES = 12_000, 16_000_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"(.)\1+")
 
@@ -143,17 +144,28 @@ def fit_arrays(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: fl
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in S.batches_of(batches, 4 << 20):
-        rows = [places_of(t) for t in b.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(1), pa.array([r.tobytes() for r in rows], pa.binary())], names=["grade", "places"])
+        rows = [places_of(t) for t in b.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array([len(r) for r in rows], pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["r_id", "text_hash", "grade", "n", "places"])
 
 
-def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", sample_docs: int = SAMPLE_DOCS) -> OrdinalModel:
-    """ratings: (id, grade), grades any integers; rows with a null are ignored, of several ratings of an id the least holds."""
+def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", sample_docs: int = SAMPLE_DOCS, sample_places: int = SAMPLE_PLACES) -> OrdinalModel:
+    """ratings: (id, grade), grades any integers; rows with a null are ignored, of several ratings of an id the least holds.
+
+    Rows that repeat id and text teach once. The rows with the least hashes of id and text are taken, in that order, up
+    to sample_docs rows and sample_places features; the first row always.
+    """
     rated = ratings.filter(F.col(id_col).isNotNull() & F.col(grade_col).isNotNull()).groupBy(F.col(id_col).alias("r_id")).agg(F.min(grade_col).cast("int").alias("grade"))
-    sample = S.store(rated.orderBy(F.xxhash64("r_id"), "r_id").limit(sample_docs), "rated")
-    rows = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("d_id") == F.col("r_id"))
-    # Copies of a text are one observation each; an id that repeats must not exceed the bound.
-    got = rows.select("text", "grade").mapInArrow(_features, "grade int, places binary").limit(2 * sample_docs).collect()
+    order = [F.xxhash64("r_id"), "r_id"]
+    sample = S.store(rated.orderBy(*order).limit(sample_docs), "rated")
+    rows = docs.select(F.col(id_col).alias("d_id"), S.text_hash(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("d_id") == F.col("r_id")).select("r_id", "text_hash", "grade", "text")
+    kind = rows.schema["r_id"].dataType.simpleString()
+    # An id may repeat with many texts: the bounds hold for rows.
+    held = S.store(rows.mapInArrow(_features, f"r_id {kind}, text_hash long, grade int, n long, places binary").dropDuplicates(["r_id", "text_hash"]), "rated-features")
+    first = held.select("r_id", "text_hash", "n").orderBy(*order, "text_hash").limit(sample_docs).collect()
+    total, taken = 0, 0
+    while taken < len(first) and (not taken or total + first[taken]["n"] <= sample_places):
+        total, taken = total + first[taken]["n"], taken + 1
+    got = held.orderBy(*order, "text_hash").limit(taken).select("grade", "places").collect() if taken else []
     if not got:
         return OrdinalModel(np.empty(0, np.int64), np.empty(0), np.zeros(0), ())
     got.sort(key=lambda r: (r["grade"], bytes(r["places"])))
@@ -175,28 +187,37 @@ def _memory(key: int) -> dict[str, tuple[int, ...]]:
     return {}
 
 
+def _scorer(model: OrdinalModel, key: int) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """Texts to (scores, tails)."""
+    weights, memory = model.dense(), _memory(key)
+
+    def run(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        scores = np.zeros(len(texts))
+        for i, text in enumerate(texts.to_pylist()):
+            chunks = (text or "").split()
+            distinct = set(chunks)
+            found = set(text_features(chunks, distinct))
+            for c in distinct:
+                own = memory.get(c)
+                if own is None:
+                    own = tuple(p for p in chunk_features(c) if weights[p])
+                    if len(memory) < CACHE_CHUNKS:
+                        memory[c] = own
+                if own:
+                    found.update(own)
+            scores[i] = math.fsum(weights[p] for p in found)
+        return scores, model.tails(scores)
+
+    return run
+
+
 def _score(shared, key: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: OrdinalModel = shared.value
-        weights = model.dense()
-        memory = _memory(key)
+        scored = _scorer(model, key)
         names = np.array(model.grades, np.float64)
         for b in S.batches_of(batches, 4 << 20):
-            scores = np.zeros(b.num_rows)
-            for i, text in enumerate(b.column(1).to_pylist()):
-                chunks = (text or "").split()
-                distinct = set(chunks)
-                found = set(text_features(chunks, distinct))
-                for c in distinct:
-                    own = memory.get(c)
-                    if own is None:
-                        own = tuple(p for p in chunk_features(c) if weights[p])
-                        if len(memory) < CACHE_CHUNKS:
-                            memory[c] = own
-                    if own:
-                        found.update(own)
-                scores[i] = math.fsum(weights[p] for p in found)
-            tails = model.tails(scores)
+            scores, tails = scored(b.column(1))
             expected = names[0] + tails @ np.diff(names) if len(names) else np.zeros(b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores), pa.array(expected), pa.array(list(tails), pa.list_(pa.float64()))], names=["key", "score", "expected_grade", "tails"])
 
@@ -228,9 +249,25 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     return out.select("key.doc_id", "score", "expected_grade", F.get("tails", F.lit(0)).alias("p_not_toxic"), good.alias("p_good"), F.coalesce(good >= 0.5, F.lit(True)).alias("selected"))
 
 
+def _select(shared, key: int, text_at: int, threshold: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scored = _scorer(shared.value, key)
+        for b in S.batches_of(batches, 4 << 20):
+            _, tails = scored(b.column(text_at))
+            yield b.filter(pa.array(tails[:, -1] >= threshold)) if tails.shape[1] else b
+
+    return run
+
+
 def select_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose tail probability of the best grade reaches the threshold."""
+    """The rows of docs, all columns, whose tail probability of the best grade reaches the threshold.
+
+    Without ratings, or with one grade only, all rows. Null texts are scored as empty, null ids carried, repeated rows
+    each judged alike; an empty table gives no rows; columns may have any names.
+    """
     model = fit(docs, graded(labels), id_col, text_col)
-    out = score(docs, model, docs.columns, text_col)
-    good = F.get("tails", F.size("tails") - 1)
-    return out.filter(F.coalesce(good >= threshold, F.lit(True))).select("key.*")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # The columns go by number, as names with dots would be taken for fields.
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    out = plain.mapInArrow(_select(shared, shared._jbroadcast.id(), docs.columns.index(text_col), threshold), plain.schema)
+    return out.toDF(*docs.columns)
