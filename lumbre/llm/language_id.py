@@ -77,7 +77,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             coded, _ = cut_words(b.column(0).filter(pc.equal(b.column(1), lang)))
             n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
             own = words.setdefault(lang, Counter())
-            for w, k in zip(coded.dictionary.to_pylist(), n.tolist()):
+            for w, k in zip(S.strings(coded.dictionary), n.tolist()):
                 own[w] += k
         if sum(map(len, words.values())) > 300_000:
             yield from out()
@@ -120,18 +120,8 @@ class LanguageFilter:
         return np.where(score > 0, best, self.usual), score
 
 
-def build(kept: dict[str, np.ndarray], languages: tuple[str, ...], usual: str) -> LanguageFilter:
-    """kept: the hashes of each language's n-grams."""
-    order = {x: i for i, x in enumerate(languages)}
-    most = max(map(len, kept.values()), default=1)
-    m = 1 << max(10, (SLOTS_PER_GRAM * most - 1).bit_length())
-    out = LanguageFilter(languages, np.zeros((m, -(-len(languages) // 64)), np.uint64), np.zeros(len(languages)), order[usual])
-    for lang, grams in kept.items():
-        i = order[lang]
-        slots = np.unique(out.slots(grams).ravel())
-        out.rows[slots, i // 64] |= np.uint64(1 << (i % 64))
-        out.rate[i] = (len(slots) / m) ** HASHES
-    return out
+def slots_for(most: int) -> int:
+    return 1 << max(10, (SLOTS_PER_GRAM * most - 1).bit_length())
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageFilter | None:
@@ -145,11 +135,25 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> La
     total = F.broadcast(counts.groupBy("lang").agg(F.sum("n").alias("total")))
     rates = counts.join(total, "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("rate")).filter(F.col("rate") >= MIN_RATE)
     top = rates.groupBy("gram").agg(F.max("rate").alias("top"))
-    kept = rates.join(top, "gram").filter(F.col("rate") >= MIN_SHARE * F.col("top")).select("lang", "gram").collect()
-    grams: dict[str, list[int]] = {}
-    for r in kept:
-        grams.setdefault(r["lang"], []).append(r["gram"])
-    return build({x: np.array(sorted(g), np.int64).view(np.uint64) for x, g in grams.items()}, seen, max(seen, key=lambda x: (totals.get(x, 0), x)))
+    kept = S.store(rates.join(top, "gram").filter(F.col("rate") >= MIN_SHARE * F.col("top")).select("lang", "gram"), "grams-kept")
+    most = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).collect()[0][0] or 1
+    return filter_of(kept, seen, max(seen, key=lambda x: (totals.get(x, 0), x)), most)
+
+
+def filter_of(kept: DataFrame, languages: tuple[str, ...], usual: str, most: int) -> LanguageFilter:
+    """The filter of (lang, gram) rows. Slots of a language meet in Spark, OR-ed to words of 64 languages, so what comes back is the filter itself: a row per slot and word at most."""
+    m = slots_for(most)
+    low, step = F.col("gram").bitwiseAND(m - 1), F.shiftrightunsigned("gram", 32).bitwiseOR(1).bitwiseAND(m - 1)
+    order = F.element_at(F.create_map(*(x for i, lang in enumerate(languages) for x in (F.lit(lang), F.lit(i)))), F.col("lang"))
+    slots = kept.select(order.alias("l"), F.explode(F.array(*((low + k * step).bitwiseAND(m - 1) for k in range(HASHES)))).alias("slot"))
+    # A bit per language, twice set or not: of a language's equal slots one counts.
+    bits = slots.distinct().groupBy("slot", F.floor(F.col("l") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(l % 64 as int))")).alias("bits"))
+    out = LanguageFilter(languages, np.zeros((m, -(-len(languages) // 64)), np.uint64), np.zeros(len(languages)), languages.index(usual))
+    got = bits.toArrow()
+    out.rows[got["slot"].to_numpy(), got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    for i in range(len(languages)):
+        out.rate[i] = (np.count_nonzero(out.rows[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)) / m) ** HASHES
+    return out
 
 
 def _predict(shared) -> Callable:
@@ -160,7 +164,7 @@ def _predict(shared) -> Callable:
                 lang, score = ["und"] * b.num_rows, np.zeros(b.num_rows)
             else:
                 coded, counts = cut_words(b.column(2))
-                per_word = model.word_counts(coded.dictionary.to_pylist())
+                per_word = model.word_counts(S.strings(coded.dictionary))
                 # Each text has one word at least, if an empty one.
                 sums = np.add.reduceat(per_word[coded.indices.to_numpy()], np.cumsum(counts) - counts, axis=0)
                 letters = sums[:, -1] > 0
