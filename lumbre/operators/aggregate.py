@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumbre.errors import EngineError
 from lumbre.operators.project import col, require
+from lumbre.operators.quantile import exact_percentiles
 
 #: The basic aggregates come before the others in a summary.
 BASIC = ("suma", "media", "minimo", "maximo", "conteo")
@@ -76,27 +78,69 @@ def _labelled(df: DataFrame, metrics: list[Metric], taken: list[str]) -> list[Co
     return [expression(df, m).alias(m.label) for m in metrics]
 
 
+QUANTILES = ("mediana", "percentil")
+
+
+def _part(m: Metric) -> float:
+    return 0.5 if m.op == "mediana" else m.p / 100
+
+
+def _group_quantiles(df: DataFrame, keys: list[str], column: str, metrics: list[Metric]) -> DataFrame:
+    """Keys (as _k0, _k1, ...) and the quantiles of a column, linear between neighbours, NaN if a value is.
+
+    A group's equal values are one row before they are sorted, and the sort spills: no task holds a group in memory.
+    """
+    named = [f"_k{i}" for i in range(len(keys))]
+    v = col(column).cast("double")
+    counts = df.filter(v.isNotNull()).groupBy(*(col(k).alias(n) for k, n in zip(keys, named)), v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*named)
+    ranked = counts.withColumn("_to", F.sum("_n").over(whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(whole))
+    out, at = [], lambda m: (F.col("_all") - 1) * F.lit(_part(m))
+    for i, m in enumerate(metrics):
+        out += [F.min(F.when(F.col("_to") > F.floor(at(m)), F.col("_v"))).alias(f"_lo{i}"), F.min(F.when(F.col("_to") > F.ceil(at(m)), F.col("_v"))).alias(f"_hi{i}"), F.first(at(m) - F.floor(at(m))).alias(f"_part{i}")]
+    found = ranked.groupBy(*named).agg(*out, F.max(F.isnan("_v")).alias("_nan"))
+    value = lambda i: F.when(F.col("_nan"), F.lit(NAN)).when(F.col(f"_part{i}") > 0, F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_part{i}")).otherwise(F.col(f"_lo{i}"))
+    return found.select(*named, *(value(i).alias(m.label) for i, m in enumerate(metrics)))
+
+
 def grouped(df: DataFrame, keys: list[str], metrics: list[Metric], first_seen: str | None = None) -> DataFrame:
-    """Group by keys: null is a group, all NaN are one. Partial sums are formed map-side.
+    """Group by keys: null is a group, all NaN are one. Partial sums are formed map-side; quantiles come from sorted counts.
 
     first_seen: a row id; groups then come in the order of their first row.
     """
     require(df, *keys)
     if not keys or not metrics:
         raise EngineError("ARGUMENT", "keys and aggregates are needed")
-    out = _labelled(df, metrics, keys)
+    made = _labelled(df, metrics, keys)
+    out = [c for c, m in zip(made, metrics) if m.op not in QUANTILES]
+    if first_seen:
+        out.append(F.min(col(first_seen)).alias("_first"))
     g = df.groupBy(*(col(k) for k in keys))
+    result = g.agg(*(out or [F.count(F.lit(1)).alias("_rows")]))
+    for column in dict.fromkeys(m.column for m in metrics if m.op in QUANTILES):
+        found = _group_quantiles(df, keys, column, [m for m in metrics if m.op in QUANTILES and m.column == column])
+        on = reduce(Column.__and__, (col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)))
+        result = result.join(found, on, "left").drop(*(f"_k{i}" for i in range(len(keys))))
     if first_seen:
-        return g.agg(*out, F.min(col(first_seen)).alias("_first")).orderBy("_first").drop("_first")
-    return g.agg(*out)
+        result = result.orderBy("_first")
+    return result.select(*(col(k) for k in keys), *(col(m.label) for m in metrics))
 
 
 def summary(df: DataFrame, metrics: list[Metric]) -> DataFrame:
-    """One row, also of an empty table. The basic aggregates stand first."""
+    """One row, also of an empty table. The basic aggregates stand first.
+
+    Quantiles are found by passes over the column (see `exact_percentiles`), before the row is asked for.
+    """
     if not metrics:
         raise EngineError("ARGUMENT", "aggregates are needed")
     metrics = [m for m in metrics if m.op in BASIC] + [m for m in metrics if m.op not in BASIC]
-    return df.agg(*_labelled(df, metrics, []))
+    made = _labelled(df, metrics, [])
+    result = df.agg(*([c for c, m in zip(made, metrics) if m.op not in QUANTILES] or [F.count(F.lit(1)).alias("_rows")]))
+    for column in dict.fromkeys(m.column for m in metrics if m.op in QUANTILES):
+        own = [m for m in metrics if m.op in QUANTILES and m.column == column]
+        values = [r["value"] for r in exact_percentiles(df, column, [100 * _part(m) for m in own]).collect()]
+        result = result.withColumns({m.label: F.lit(v).cast("double") for m, v in zip(own, values)})
+    return result.select(*(col(m.label) for m in metrics))
 
 
 def grouped_spill(df: DataFrame, key: str, metric: Metric) -> DataFrame:
