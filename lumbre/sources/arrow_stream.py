@@ -1,18 +1,18 @@
 """Arrow IPC streams as a Spark data source: `spark.read.format("arrow_stream")`, `df.write.format("arrow_stream")`.
 
 A stream has no index, so one file is one task; a folder of streams is read in parallel, a file per task. Record batches
-pass to Spark as they are. A written table is a folder with one stream per task, committed as a whole.
+pass to Spark as they are. A written table is a folder with one stream per task, committed as a whole. Paths with a scheme
+(file, hdfs, s3, gs) are opened by Arrow's file systems, so executors and driver need share no disk.
 """
 
 from __future__ import annotations
 
-import glob
-import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
@@ -22,9 +22,25 @@ from lumbre.errors import EngineError
 from lumbre.operators import project
 
 
+def _located(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def _streams_in(store: fs.FileSystem, folder: str) -> list[str]:
+    found = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+    return sorted(f.path for f in found if f.is_file and f.path.endswith(".arrows"))
+
+
 def _files(path: str) -> list[str]:
-    path = path.removeprefix("file://")
-    return sorted(glob.glob(os.path.join(path, "*.arrows"))) if os.path.isdir(path) else [path]
+    store, at = _located(path)
+    kind = store.get_file_info(at).type
+    if kind == fs.FileType.NotFound:
+        return []
+    return _streams_in(store, at) if kind == fs.FileType.Directory else [at]
+
+
+def _opened(path: str, file: str) -> pa.ipc.RecordBatchStreamReader:
+    return pa.ipc.open_stream(_located(path)[0].open_input_stream(file))
 
 
 def _flat(schema: pa.Schema, max_fields: int) -> pa.Schema:
@@ -42,16 +58,16 @@ class _File(InputPartition):
 
 
 class ArrowStreamReader(DataSourceReader):
-    def __init__(self, files: list[str], names: list[str], schema: StructType, max_rows: int):
-        self.files, self.names, self.schema, self.max_rows = files, names, schema, max_rows
+    def __init__(self, path: str, names: list[str], schema: StructType, max_rows: int):
+        self.path, self.names, self.schema, self.max_rows = path, names, schema, max_rows
 
     def partitions(self) -> list[_File]:
-        return [_File(f) for f in self.files]
+        return [_File(f) for f in _files(self.path)]
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
         target = to_arrow_schema(self.schema)
         n = 0
-        with pa.OSFile(partition.path) as f, pa.ipc.open_stream(f) as stream:
+        with _opened(self.path, partition.path) as stream:
             for batch in stream:
                 n += batch.num_rows
                 if n > self.max_rows:
@@ -67,30 +83,33 @@ class _Written(WriterCommitMessage):
 
 class ArrowStreamWriter(DataSourceArrowWriter):
     def __init__(self, path: str, schema: StructType, overwrite: bool):
-        self.path, self.overwrite = path.removeprefix("file://"), overwrite
+        self.path, self.overwrite = path, overwrite
         self.arrow = to_arrow_schema(schema)
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
-        os.makedirs(self.path, exist_ok=True)
-        staged, rows = os.path.join(self.path, f"part-{uuid.uuid4().hex}.staged"), 0
-        with pa.OSFile(staged, "wb") as f, pa.ipc.new_stream(f, self.arrow) as out:
+        store, folder = _located(self.path)
+        store.create_dir(folder, recursive=True)
+        staged, rows = f"{folder}/part-{uuid.uuid4().hex}.staged", 0
+        with store.open_output_stream(staged) as f, pa.ipc.new_stream(f, self.arrow) as out:
             for batch in batches:
                 out.write_batch(batch.cast(self.arrow) if batch.schema != self.arrow else batch)
                 rows += batch.num_rows
         return _Written(staged, rows)
 
     def commit(self, messages: list[_Written | None]) -> None:
+        store, folder = _located(self.path)
         if self.overwrite:
-            for old in glob.glob(os.path.join(self.path, "*.arrows")):
-                os.remove(old)
+            for old in _streams_in(store, folder):
+                store.delete_file(old)
         for m in messages:
             if m is not None:
-                os.replace(m.path, m.path.removesuffix(".staged") + ".arrows")
+                store.move(m.path, m.path.removesuffix(".staged") + ".arrows")
 
     def abort(self, messages: list[_Written | None]) -> None:
+        store, _ = _located(self.path)
         for m in messages:
-            if m is not None and os.path.exists(m.path):
-                os.remove(m.path)
+            if m is not None and store.get_file_info(m.path).type != fs.FileType.NotFound:
+                store.delete_file(m.path)
 
 
 class ArrowStreamSource(DataSource):
@@ -107,9 +126,9 @@ class ArrowStreamSource(DataSource):
 
     def schema(self) -> StructType:
         files = _files(self._path())
-        if not files or not os.path.exists(files[0]):
+        if not files:
             raise EngineError("IO", f"{self._path()} does not exist")
-        with pa.OSFile(files[0]) as f, pa.ipc.open_stream(f) as stream:
+        with _opened(self._path(), files[0]) as stream:
             own = _flat(stream.schema, int(self.options.get("max_fields", "128")))
         names = [n for n in self.options.get("columns", "").split(",") if n] or own.names
         missing = [n for n in names if n not in own.names]
@@ -118,7 +137,7 @@ class ArrowStreamSource(DataSource):
         return from_arrow_schema(pa.schema([_widened(own.field(n)) for n in names]))
 
     def reader(self, schema: StructType) -> ArrowStreamReader:
-        return ArrowStreamReader(_files(self._path()), schema.names, schema, int(self.options.get("max_rows", str(10**15))))
+        return ArrowStreamReader(self._path(), schema.names, schema, int(self.options.get("max_rows", str(10**15))))
 
     def writer(self, schema: StructType, overwrite: bool) -> ArrowStreamWriter:
         return ArrowStreamWriter(self._path(), schema, overwrite)
