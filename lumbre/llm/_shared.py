@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import warnings
@@ -50,6 +51,12 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps whose results are written: its cleaner waits for the driver's collectors."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def ascii_lower(col):
     """A-Z to a-z and nothing else."""
     return F.translate(col, UPPER, LOWER)

@@ -2,15 +2,16 @@
 
 The latent states are trained on an alphabet that a broadcast can hold: the HEAD most frequent training words, and
 BUCKETS classes into which all other words fall by hash. Rounds are passes over all training documents; the tasks return
-expected counts (one row per symbol), summed by Spark. The last pass also sums, for every word outside the head, its
-expected count in each state: a table of words that grows with the corpus and stays distributed. Emissions of the final
-model are word by word, by one formula for all words, frequent or rare: the word's counts by state, interpolated with
-the unigram model,
+expected counts (one row per symbol), summed by Spark. The last pass counts by word instead: every training word's
+expected number in each state. Emissions of the final model are word by word, by one formula for all words, frequent or
+rare: the word's counts by state, interpolated with the unigram model,
 
     P(w | s) = (n(w, s) + k(s) u(w)) / (n(s) + k(s)),   u(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)),
 
 where k(s) grows with the different words of the state as Witten and Bell have it, and one share is left for words never
-seen. Each state's emissions are thus a proper distribution over words.
+seen. Each state's emissions are thus a proper distribution over words. A token's share in a state is rounded to 1 / GRAIN
+in that pass, so that counts add up exactly, in whatever order and blocks they are taken. The counts of the KNOWN most frequent words are
+broadcast; those of all others are a table that grows with the corpus and stays distributed.
 
 Documents are coded in blocks (some megabytes of text). A block names its rarer words once, however often its documents
 repeat them; those that training has seen are joined with the table of words, and the block's texts are scored by the
@@ -21,9 +22,9 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,12 @@ from lumbre.llm import _shared as S
 
 STATES = 8
 HEAD, BUCKETS = 60_000, 4096
+#: Words whose counts are broadcast; it bounds what a worker holds, and changes no result.
+KNOWN = 200_000
 #: Passes over all training documents at most; they end when a pass gains less than GAIN (natural logarithm, per token).
-ROUNDS, GAIN = 10, 2e-4
+ROUNDS, GAIN = 8, 1e-3
+#: Parts of a token's share in a state, in the last pass; words of up to PACKED tokens have theirs in 16 bits each.
+GRAIN, PACKED = 4096, 15
 #: Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
 #: Tokens of documents that are worked on together; a longer document stands alone.
@@ -47,87 +52,109 @@ SCALE_STEPS = 16
 END = "\n"
 
 
-def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct words, the number of each word of all texts in a row, words per text).
 
     Words are runs of anything but space, tab, line feed, vertical tab, form feed and return, A-Z lower-cased. Null is empty.
     """
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
     coded = lists.flatten().dictionary_encode()
-    at, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    at, distinct = coded.indices.to_numpy(), coded.dictionary
     ends = lists.offsets.to_numpy()
-    if "" in distinct:  # white space at a text's ends
-        word = at != distinct.index("")
+    empty = pc.index(distinct, "").as_py()
+    if empty >= 0:  # white space at a text's ends
+        word = at != empty
         ends = np.append(0, np.cumsum(word))[ends]
         at = at[word]
     return distinct, at, np.diff(ends)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    held, rows, ends = [], 0, 0
 
-    def out() -> pa.RecordBatch:
-        got = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
-        counts.clear()
-        return got
+    def merged() -> pa.Table:
+        return pa.concat_tables(held).group_by("word").aggregate([("c", "sum")]).rename_columns(["word", "c"])
 
     for b in S.batches_of(batches, BLOCK_BYTES):
         distinct, at, _ = words_of(b.column(0))
-        n = np.bincount(at, minlength=len(distinct)).tolist()
-        for w, k in zip(distinct, n):
-            if k:
-                counts[w] += k
-        counts[END] += b.num_rows
-        if len(counts) > 400_000:
-            yield out()
-    if counts:
-        yield out()
+        n = np.bincount(at, minlength=len(distinct))
+        held.append(pa.table({"word": distinct, "c": pa.array(n, pa.int64())}).filter(pa.array(n > 0)))
+        rows, ends = rows + held[-1].num_rows, ends + b.num_rows
+        if rows > 1_000_000:
+            held = [merged()]
+            rows = held[0].num_rows
+            if rows > 500_000:
+                yield from held[0].to_batches()
+                held, rows = [], 0
+    if held:
+        yield from merged().to_batches()
+    if ends:
+        yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([ends], pa.int64())], names=["word", "c"])
+
+
+def class_of(word: str) -> int:
+    return zlib.crc32(word.encode()) % BUCKETS
 
 
 @dataclass
 class Alphabet:
-    head: dict[str, int]
-    counts: np.ndarray  # of the head words, in order
+    """Numbers of the known words, most frequent first after the end of a text; the first `head` are symbols by themselves."""
+
+    known: dict[str, int]
+    symbols: np.ndarray  # of each known word
+    counts: np.ndarray  # of each known word
+    head: int
     tokens: int
     words: int
 
+    @staticmethod
+    def of(top: pa.Table, ends: int, head: int, tokens: int, words: int) -> Alphabet:
+        names = [END, *S.strings(top["word"])]
+        symbols = np.array([i if i < head else head + class_of(w) for i, w in enumerate(names)], np.int64)
+        return Alphabet({w: i for i, w in enumerate(names)}, symbols, np.append(float(ends), top["c"].to_numpy()), head, tokens, words)
+
     @property
     def size(self) -> int:
-        return len(self.head) + BUCKETS
+        """Symbols."""
+        return self.head + BUCKETS
 
     def shares(self, counts: np.ndarray) -> np.ndarray:
         """u of words with these counts."""
         return (counts + 0.5) / (self.tokens + 0.5 * (self.words + 1))
 
-    def unigram(self, buckets: np.ndarray) -> np.ndarray:
-        c = np.concatenate([self.counts, buckets]) + 0.5
-        return c / c.sum()
+    def unigram(self, rest: np.ndarray) -> np.ndarray:
+        """Shares of the symbols; rest: what words that aren't known add to each class."""
+        c = np.bincount(self.symbols, self.counts, self.size)
+        c[self.head :] += rest
+        return (c + 0.5) / (c + 0.5).sum()
 
 
 def _code(shared) -> Callable:
-    """A row per block: its documents, their tokens as symbols, and which rarer word each symbol of a class stands for."""
+    """A row per block: its documents, their tokens as symbols, and for each token of a class its word: a known word's number, or that plus the place in `tail`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        head = shared.value.head
-        n_head, block = len(head), TaskContext.get().partitionId() << 33
+        alphabet: Alphabet = shared.value
+        known, n_known = alphabet.known, len(alphabet.known)
+        block = TaskContext.get().partitionId() << 33
         one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
         for b in S.batches_of(batches, BLOCK_BYTES):
             distinct, at, sizes = words_of(b.column(2))
-            symbol = np.fromiter((head.get(w, -1) for w in distinct), np.int64, len(distinct))
+            distinct = S.strings(distinct)
+            number = np.fromiter((known.get(w, -1) for w in distinct), np.int64, len(distinct))
             present = np.zeros(len(distinct), bool)
             present[at] = True
-            rare = np.flatnonzero((symbol < 0) & present)
+            rare = np.flatnonzero((number < 0) & present)
             words = [distinct[i] for i in rare.tolist()]
-            symbol[rare] = [n_head + zlib.crc32(w.encode()) % BUCKETS for w in words]
-            number = np.full(len(distinct), -1, np.int64)
-            number[rare] = np.arange(len(rare))
-            tail_at = number[at]
-            symbols = np.insert(symbol[at], np.cumsum(sizes), head[END])
+            number[rare] = n_known + np.arange(len(rare))
+            symbol = np.concatenate([alphabet.symbols, np.fromiter((alphabet.head + class_of(w) for w in words), np.int64, len(words))])[number]
+            symbols = np.insert(symbol[at], np.cumsum(sizes), 0)
+            own = number[at]
+            own = own[own >= alphabet.head]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), one(b.column(0)), one(b.column(1)), one(pa.array(sizes + 1, pa.int64())), pa.array([symbols.astype("<u2").tobytes()], pa.binary()), one(pa.array(words, pa.string())), pa.array([tail_at[tail_at >= 0].astype("<u4").tobytes()], pa.binary())],
-                names=["block", "doc_ids", "held_out", "sizes", "symbols", "tail", "tail_at"],
+                [pa.array([block], pa.int64()), one(b.column(0)), one(b.column(1)), one(pa.array(sizes + 1, pa.int64())), pa.array([symbols.astype("<u2").tobytes()], pa.binary()), one(pa.array(words, pa.string())), pa.array([own.astype("<u4").tobytes()], pa.binary())],
+                names=["block", "doc_ids", "held_out", "sizes", "symbols", "tail", "numbers"],
             )
             block += 1
 
@@ -171,6 +198,25 @@ def aligned(table: np.ndarray) -> np.ndarray:
     return out
 
 
+class Scratch:
+    """Arrays of a row per token that a worker uses again and again: memory of this size, freshly mapped for each group, costs more than the recursions."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def rows(self, name: str, n: int, k: int) -> np.ndarray:
+        a = self.held.get(name)
+        if a is None or len(a) < n or a.shape[1] != k:
+            self.held[name] = a = aligned(np.empty((n + n // 8, k)))
+        return a[:n]
+
+    def gathered(self, name: str, table: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.take(table, at, axis=0, out=self.rows(name, len(at), table.shape[1]), mode="clip")
+
+
+SCRATCH = Scratch()
+
+
 @dataclass
 class Batch:
     """Sequences laid side by side, step by step: the first step of all, then the second of all that have one, ..."""
@@ -221,9 +267,10 @@ def forward(start: np.ndarray, move: np.ndarray, e: np.ndarray, b: Batch, out: n
 
 
 def expected(start: np.ndarray, move: np.ndarray, e: np.ndarray, b: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start counts, move counts, states of each token in b's layout, likelihoods). Overwrites e."""
-    alpha, logs = forward(start, move, e, b, np.empty_like(e))
-    beta = np.ones_like(e)
+    """(start counts, move counts, states of each token in b's layout, likelihoods). Overwrites e; the states stand in scratch memory until the next call."""
+    alpha, logs = forward(start, move, e, b, SCRATCH.rows("alpha", *e.shape))
+    beta = SCRATCH.rows("beta", *e.shape)
+    beta.fill(1)
     back = np.ascontiguousarray(move.T)
     active, at, dot, mul = b.active.tolist(), b.at.tolist(), np.matmul, np.multiply
     for t in range(len(active) - 1, 0, -1):
@@ -240,7 +287,7 @@ def expected(start: np.ndarray, move: np.ndarray, e: np.ndarray, b: Batch) -> tu
     alpha /= total
     first = active[0]
     before = np.arange(first, len(e)) - np.repeat(b.active[:-1], b.active[1:])
-    moves = alpha[before].T @ e[first:]
+    moves = SCRATCH.gathered("before", alpha, before).T @ e[first:]
     return beta[:first].sum(axis=0), moves * move, beta, logs
 
 
@@ -263,59 +310,67 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield row
 
 
-def _counts(word: pa.Array, symbol: np.ndarray, c: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    columns = [word, pa.array(symbol, pa.int32()), pa.array(c, pa.int64()), *(pa.array(np.ascontiguousarray(values[:, i])) for i in range(values.shape[1]))]
+def _counts(word: pa.Array, symbol: pa.Array, c: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    columns = [word, symbol, pa.array(c, pa.int64()), *(pa.array(np.ascontiguousarray(values[:, i])) for i in range(values.shape[1]))]
     return pa.RecordBatch.from_arrays(columns, names=["word", "symbol", "c", *(f"s{i}" for i in range(values.shape[1]))])
 
 
+def _word_numbers(row: dict, head: int) -> np.ndarray:
+    """Of each token the known word's number, or that plus the place in the block's tail."""
+    out = row["flat"].copy()
+    out[out >= head] = np.frombuffer(row["numbers"][0].as_buffer(), "<u4")
+    return out
+
+
 def _expect(shared, words: bool) -> Callable:
-    """Rows (word, symbol, c, counts by state): symbol -1 the start states, -2 the likelihood (in s0), -3 - i the moves from state i; with `words` also the rarer words, whose symbol is null."""
+    """Rows (word, symbol, c, counts by state): symbol -1 the start states, -2 the likelihood (in s0), -3 - i the moves from state i.
+    From 0 on symbols, or with `words` numbers of known words; other words then come by name, with their counts c."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, unigram = shared.value
-        k, size = len(model.start), len(model.emit)
+        model, unigram, head, n_known = shared.value
+        k, size = len(model.start), n_known if words else len(model.emit)
         ratio = aligned(model.emit / unigram[:, None])
+        logs_of = np.log(unigram)
         start, moves, symbols, likelihood = np.zeros(k), np.zeros((k, k)), np.zeros((size, k)), 0.0
         for row in _blocks(batches):
+            numbers = _word_numbers(row, head) if words else row["flat"]
             n_tail = len(row["tail"].flatten()) if words else 0
             tail, tail_c = np.zeros((n_tail, k)), np.zeros(n_tail, np.int64)
-            if n_tail:
-                number = np.full(len(row["flat"]), -1, np.int64)
-                number[row["flat"] >= size - BUCKETS] = np.frombuffer(row["tail_at"][0].as_buffer(), "<u4")
             for group in groups_of(row["sizes"], np.flatnonzero(~row["held"])):
                 b = Batch.of(row["sizes"][group])
                 flat = b.laid(row["flat"], row["starts"][group])
-                a, m, gamma, logs = expected(model.start, model.move, ratio[flat], b)
+                a, m, gamma, logs = expected(model.start, model.move, SCRATCH.gathered("e", ratio, flat), b)
                 start += a
                 moves += m
-                likelihood += float(logs.sum() + np.log(unigram)[flat].sum())
+                likelihood += float(logs.sum() + logs_of[flat].sum())
+                own = b.laid(numbers, row["starts"][group]) if words else flat
+                if words:
+                    np.rint(np.multiply(gamma, GRAIN, out=gamma), out=gamma)
                 for s in range(k):
-                    symbols[:, s] += np.bincount(flat, gamma[:, s], size)
+                    got = np.bincount(own, gamma[:, s], size + n_tail)
+                    symbols[:, s] += got[:size]
+                    tail[:, s] += got[size:]
                 if n_tail:
-                    own = b.laid(number, row["starts"][group])
-                    rare = np.flatnonzero(own >= 0)
-                    tail_c += np.bincount(own[rare], minlength=n_tail)
-                    for s in range(k):
-                        tail[:, s] += np.bincount(own[rare], gamma[rare, s], n_tail)
-            if n_tail:
-                seen = np.flatnonzero(tail_c)
-                yield pa.RecordBatch.from_arrays([row["tail"].flatten().take(pa.array(seen)), pa.nulls(len(seen), pa.int32()), pa.array(tail_c[seen]), *(pa.array(np.ascontiguousarray(tail[seen, s])) for s in range(k))], names=["word", "symbol", "c", *(f"s{s}" for s in range(k))])
+                    tail_c += np.bincount(own, minlength=size + n_tail)[size:]
+            seen = np.flatnonzero(tail_c)
+            if len(seen):
+                yield _counts(row["tail"].flatten().take(pa.array(seen)), pa.nulls(len(seen), pa.int32()), tail_c[seen], tail[seen] / GRAIN)
         seen = np.flatnonzero(symbols.any(axis=1))
         number = np.concatenate([seen, [-1, -2], -3 - np.arange(k)])
-        values = np.concatenate([symbols[seen], start[None], np.eye(1, k) * likelihood, moves])
-        yield _counts(pa.nulls(len(number), pa.string()), number, np.zeros(len(number), np.int64), values)
+        values = np.concatenate([symbols[seen] / (GRAIN if words else 1), start[None], np.eye(1, k) * likelihood, moves])
+        yield _counts(pa.nulls(len(number), pa.string()), pa.array(number, pa.int32()), np.zeros(len(number), np.int64), values)
 
     return run
 
 
 @dataclass
 class Final:
-    """The model word by word: emissions of the head words relative to the unigram model, and what those of other words come from."""
+    """The model word by word."""
 
     start: np.ndarray
     move: np.ndarray
     alphabet: Alphabet
-    head: np.ndarray  # counts of the head words by state
+    counts: np.ndarray  # of the known words by state
     total: np.ndarray  # n(s)
     weight: np.ndarray  # k(s)
 
@@ -327,29 +382,33 @@ class Final:
 def _score(shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Final = shared.value
-        alphabet, n_head, k = model.alphabet, len(model.alphabet.head), len(model.start)
-        head_share = alphabet.shares(alphabet.counts)
-        head_ratio = model.ratio(model.head, head_share)
+        alphabet, k = model.alphabet, len(model.start)
+        known_share = alphabet.shares(alphabet.counts)
+        known_ratio = model.ratio(model.counts, known_share)
         for row in _blocks(batches):
-            sizes, flat = row["sizes"], row["flat"]
+            sizes, flat = row["sizes"], _word_numbers(row, alphabet.head)
             n_tail = len(row["tail"].flatten())
             tail_c, tail = np.zeros(n_tail), np.zeros((n_tail, k))
-            known = row["known"].flatten()
-            if len(known):
-                at = known.field("pos").to_numpy()
-                tail_c[at] = known.field("c").to_numpy()
+            met = row["met"].flatten()
+            if len(met):
+                at = met.field("pos").to_numpy()
+                tail_c[at] = met.field("c").to_numpy()
                 for s in range(k):
-                    tail[at, s] = known.field(f"s{s}").to_numpy()
-            flat[flat >= n_head] = n_head + np.frombuffer(row["tail_at"][0].as_buffer(), "<u4")
-            share = np.concatenate([head_share, alphabet.shares(tail_c)])
-            ratio = aligned(np.concatenate([head_ratio, model.ratio(tail, share[n_head:])]))
+                    tail[at, s] = (met.field(f"p{s // 4}").to_numpy() >> 16 * (s % 4) & 0xFFFF) / GRAIN
+                many = met.field("many")
+                full = np.flatnonzero(many.is_valid().to_numpy(zero_copy_only=False))
+                if len(full):
+                    tail[at[full]] = many.drop_null().flatten().to_numpy().reshape(-1, k)
+            tail_share = alphabet.shares(tail_c)
+            share = np.log10(np.concatenate([known_share, tail_share]))
+            ratio = aligned(np.concatenate([known_ratio, model.ratio(tail, tail_share)]))
             seen = np.concatenate([alphabet.counts, tail_c]) > 0
-            base = np.add.reduceat(np.log10(share)[flat], row["starts"])
+            base = np.add.reduceat(share[flat], row["starts"])
             n_known = np.add.reduceat(seen[flat].astype(np.int64), row["starts"])
             score = np.empty(len(sizes))
             for group in groups_of(sizes, np.arange(len(sizes))):
                 b = Batch.of(sizes[group])
-                _, logs = forward(model.start, model.move, ratio[b.laid(flat, row["starts"][group])], b)
+                _, logs = forward(model.start, model.move, SCRATCH.gathered("e", ratio, b.laid(flat, row["starts"][group])), b)
                 score[group[b.order]] = logs / math.log(10)
             yield pa.RecordBatch.from_arrays([row["doc_ids"].flatten(), row["held_out"].flatten(), pa.array(sizes, pa.int64()), pa.array(n_known), pa.array(base), pa.array(base + score)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
@@ -360,41 +419,42 @@ def _state_names(states: int) -> list[str]:
     return [f"s{i}" for i in range(states)]
 
 
-def _pass(coded: DataFrame, model: Hmm, unigram: np.ndarray, words: bool) -> tuple[DataFrame, object]:
-    states = len(model.start)
-    shared = coded.sparkSession.sparkContext.broadcast((model, unigram))
-    columns = ["held_out", "sizes", "symbols", *(["tail", "tail_at"] if words else [])]
-    rows = coded.select(*columns).mapInArrow(_expect(shared, words), "word string, symbol int, c long, " + ", ".join(f"{c} double" for c in _state_names(states)))
-    return rows, shared
+def _pass(coded: DataFrame, model: Hmm, unigram: np.ndarray, alphabet: Alphabet, words: bool) -> tuple[DataFrame, object]:
+    """The rows of `_expect`. Blocks are gathered to a few tasks per core, as each task returns up to a row per symbol."""
+    sc, states = coded.sparkSession.sparkContext, len(model.start)
+    shared = sc.broadcast((model, unigram, alphabet.head, len(alphabet.known)))
+    columns = ["held_out", "sizes", "symbols", *(["tail", "numbers"] if words else [])]
+    few = coded.select(*columns).coalesce(2 * sc.defaultParallelism)
+    return few.mapInArrow(_expect(shared, words), "word string, symbol int, c long, " + ", ".join(f"{c} double" for c in _state_names(states))), shared
 
 
 def _summed(rows: DataFrame, size: int, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """(start counts, move counts, counts by symbol, likelihood). At most one row per symbol comes back: the alphabet bounds it."""
     names = _state_names(states)
-    got = rows.filter("symbol is not null").groupBy("symbol").agg(*(F.sum(c).alias(c) for c in names)).toPandas()
-    number, values = got["symbol"].to_numpy(), got[names].to_numpy()
+    got = rows.filter("symbol is not null").groupBy("symbol").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
+    number, values = got["symbol"].to_numpy(), np.stack([got[c].to_numpy() for c in names], axis=1)
     emit, move = np.zeros((size, states)), np.zeros((states, states))
     emit[number[number >= 0]] = values[number >= 0]
     move[-3 - number[number < -2]] = values[number < -2]
     return values[number == -1].sum(axis=0), move, emit, float(values[number == -2, 0].sum())
 
 
-def train(coded: DataFrame, unigram: np.ndarray, tokens: int, states: int = STATES, rounds: int = ROUNDS, gain: float = GAIN) -> Hmm:
+def train(coded: DataFrame, unigram: np.ndarray, alphabet: Alphabet, states: int = STATES, rounds: int = ROUNDS, gain: float = GAIN) -> Hmm:
     """coded: blocks; documents that are held out teach nothing."""
     model, last = Hmm.initial(unigram, states), -math.inf
-    for _ in range(rounds if tokens else 0):
-        rows, shared = _pass(coded, model, unigram, False)
+    for _ in range(rounds if alphabet.tokens else 0):
+        rows, shared = _pass(coded, model, unigram, alphabet, False)
         start, move, emit, likelihood = _summed(rows, len(unigram), states)
         model = Hmm.from_counts(start, move, emit, unigram)
         shared.unpersist()
-        if likelihood - last < gain * tokens:
+        if likelihood - last < gain * alphabet.tokens:
             break
         last = likelihood
     return model
 
 
-def frequent(counts: DataFrame, most: int) -> tuple[list, int]:
-    """(rows (word, c) of the most frequent words, in order; the least count among them): all words from that count on,
+def frequent(counts: DataFrame, most: int) -> tuple[pa.Table, int]:
+    """(word and c of the most frequent words, in order; the least count among them): all words from that count on,
     which is the least one that leaves no more than `most`. It is found from how many words have each count, so the
     driver gets the head alone."""
     per = counts.groupBy("c").agg(F.count(F.lit(1)).alias("k"))
@@ -409,10 +469,11 @@ def frequent(counts: DataFrame, most: int) -> tuple[list, int]:
                 break
         else:
             least = 2
-    return sorted(counts.filter(F.col("c") >= least).collect(), key=lambda r: (-r["c"], r["word"])), least
+    got = counts.select("word", "c").filter(F.col("c") >= least).toArrow()
+    return got.take(pc.sort_indices(got, [("c", "descending"), ("word", "ascending")])), least
 
 
-def lm_scores(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = ROUNDS, head_words: int = HEAD) -> DataFrame:
+def lm_scores(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = ROUNDS, head_words: int = HEAD, known_words: int = KNOWN) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, and the two scores per token.
 
     held_out is a column of booleans (null: false); its rows teach nothing. A null text is empty and has one token, its
@@ -425,39 +486,49 @@ def lm_scores(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"))
     counts = S.store(rows.filter("not held_out").select("text").mapInArrow(_count_words, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).collect()[0]
-    top, least = frequent(counts.filter(F.col("word") != END), head_words)
+    top, least = frequent(counts.filter(F.col("word") != END), known_words)
+    # The head: all words from some count on, as many as it may hold.
+    c = top["c"].to_numpy()
+    n_head = next((i for i in range(min(head_words, len(c)), 0, -1) if i == len(c) or c[i] < c[i - 1]), 0)
     ends = counts.filter(F.col("word") == END).collect()
-    head = {END: 0, **{r["word"]: i + 1 for i, r in enumerate(top)}}
-    alphabet = Alphabet(head, np.array([ends[0]["c"] if ends else 0, *(r["c"] for r in top)], np.float64), total["n"], total["v"])
+    alphabet = Alphabet.of(top, ends[0]["c"] if ends else 0, n_head + 1, total["n"], total["v"])
     bucket = (F.crc32(F.col("word").cast("binary")) % BUCKETS).cast("int").alias("bucket")
-    classes = np.zeros(BUCKETS)
+    rest = np.zeros(BUCKETS)
     for r in counts.filter((F.col("word") != END) & (F.col("c") < least)).groupBy(bucket).agg(F.sum("c").alias("c")).collect():
-        classes[r["bucket"]] = r["c"]
-    unigram = alphabet.unigram(classes)
+        rest[r["bucket"]] = r["c"]
+    unigram = alphabet.unigram(rest)
 
     shared = spark.sparkContext.broadcast(alphabet)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    coded = S.store(rows.mapInArrow(_code(shared), f"block long, doc_ids array<{kind}>, held_out array<boolean>, sizes array<long>, symbols binary, tail array<string>, tail_at binary"), "coded")
-    model = train(coded, unigram, total["n"], states, rounds)
-
-    # The last pass: counts by state for symbols, and for every word outside the head.
-    names = _state_names(states)
-    last, model_shared = _pass(coded, model, unigram, True)
-    last = S.store(last if total["n"] else last.limit(0), "state-counts")
-    start, move, emit, _ = _summed(last, len(unigram), states)
-    words = S.store(last.filter("word is not null").groupBy("word").agg(F.sum("c").alias("c"), *(F.sum(c).alias(c) for c in names)), "word-states")
-    tail_types = words.agg(*(F.coalesce(F.sum(F.least(F.col(c), F.lit(1.0))), F.lit(0.0)).alias(c) for c in names)).collect()[0]
-    S.discard(last)
-    fitted = Hmm.from_counts(start, move, emit, unigram) if total["n"] else model
-    n_head = len(head)
-    weight = Hmm.weights(np.minimum(emit[:n_head], 1).sum(axis=0) + np.array([tail_types[c] for c in names]))
-    best = spark.sparkContext.broadcast(Final(fitted.start, fitted.move, alphabet, emit[:n_head], emit.sum(axis=0), weight))
+    coded = S.store(rows.mapInArrow(_code(shared), f"block long, doc_ids array<{kind}>, held_out array<boolean>, sizes array<long>, symbols binary, tail array<string>, numbers binary"), "coded")
+    S.discard(counts)
+    model = train(coded, unigram, alphabet, states, rounds)
+    S.release(spark)
+
+    # The last pass: counts by state of every word.
+    names, n_known = _state_names(states), len(alphabet.known)
+    last, _ = _pass(coded, model, unigram, alphabet, True)
+    last = S.store(last.groupBy("word", "symbol").agg(F.sum("c").alias("c"), *(F.sum(c).alias(c) for c in names)), "word-states")
+    S.release(spark)
+    start, move, own, _ = _summed(last if total["n"] else last.limit(0), n_known, states)
+    words = last.filter("word is not null").select("word", "c", *names)
+    rare = words.agg(*(F.coalesce(F.sum(x), F.lit(0.0)).alias(f"{k}{c}") for c in names for k, x in (("n", F.col(c)), ("k", F.least(F.col(c), F.lit(1.0)))))).collect()[0]
+    fitted = Hmm.from_counts(start, move, np.zeros_like(model.emit), unigram) if total["n"] else model
+    of_rare = lambda k: np.array([rare[f"{k}{c}"] for c in names])
+    weight = Hmm.weights(np.minimum(own, 1).sum(axis=0) + of_rare("k"))
+    best = spark.sparkContext.broadcast(Final(fitted.start, fitted.move, alphabet, own, own.sum(axis=0) + of_rare("n"), weight))
 
     # A block's rarer words meet their counts; each word is one row per block, so no word is frequent here.
     asked = coded.select("block", F.posexplode("tail").alias("pos", "word"))
-    met = asked.join(words, "word").groupBy("block").agg(F.collect_list(F.struct("pos", "c", *names)).alias("known"))
-    item = "struct<pos:int,c:long," + ",".join(f"{c}:double" for c in names) + ">"
-    ready = coded.join(met, "block", "left").select("doc_ids", "held_out", "sizes", "symbols", "tail", "tail_at", F.coalesce("known", F.expr(f"cast(array() as array<{item}>)")).alias("known"))
+    # Their counts come back as whole GRAINs: four states to a 64-bit number, for most words; words of more tokens have them in full.
+    few = F.col("c") <= PACKED
+    grains = lambda i: F.shiftleft(F.round(F.col(names[i]) * GRAIN).cast("long"), 16 * (i % 4))
+    packed = [f"p{k}" for k in range(-(-states // 4))]
+    numbers = [F.when(few, reduce(lambda x, y: x.bitwiseOR(y), (grains(i) for i in range(4 * k, min(states, 4 * k + 4))))).otherwise(F.lit(0).cast("long")).alias(p) for k, p in enumerate(packed)]
+    rows_back = asked.join(words, "word").select("block", "pos", "c", *numbers, F.when(~few, F.array(*names)).alias("many"))
+    met = rows_back.groupBy("block").agg(F.collect_list(F.struct("pos", "c", *packed, "many")).alias("met"))
+    item = "struct<pos:int,c:long," + ",".join(f"{p}:long" for p in packed) + ",many:array<double>>"
+    ready = coded.join(met, "block", "left").select("doc_ids", "held_out", "sizes", "symbols", "tail", "numbers", F.coalesce("met", F.expr(f"cast(array() as array<{item}>)")).alias("met"))
     scored = ready.mapInArrow(_score(best), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(total["n"]).cast("long").alias("train_tokens"), "base_score", "score",

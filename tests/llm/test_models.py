@@ -57,6 +57,55 @@ def test_op4_without_ratings(spark, odd, empty, odd_rows):
     assert ordinal.quality(empty, none).collect() == []
 
 
+def test_op4_scores_equal_a_plain_recomputation(spark):
+    """The optimum: at the fitted weights, no direction of a feature or threshold lowers the penalised likelihood; and scores, tails and grades are those of the weights."""
+    rng = np.random.default_rng(5)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(5)]
+    rows = []
+    for i in range(400):
+        grade = int(rng.integers(0, 3))
+        own = [*rng.choice(words, 8), *(["vile"] if grade == 0 and rng.random() < 0.9 else []), *(["dull"] if grade == 1 and rng.random() < 0.9 else [])]
+        rows.append((i, " ".join(own), grade))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = ordinal.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, grade int"))
+    places = [set(ordinal.places_of(t).tolist()) for _, t, _ in rows]
+
+    def loss(w, cuts):
+        total = 0.0
+        for own, (_, _, g) in zip(places, rows):
+            s = sum(w.get(p, 0.0) for p in own)
+            tail = [1.0, *(1 / (1 + math.exp(c - s)) for c in cuts), 0.0]
+            total -= math.log(tail[g] - tail[g + 1])
+        return total / len(rows) + 0.0045 / math.sqrt(len(rows)) * sum(map(abs, w.values()))
+
+    w, cuts = dict(zip(model.places.tolist(), model.weights.tolist())), model.thresholds.tolist()
+    best = loss(w, cuts)
+    for p in [ordinal._place("w vile"), ordinal._place("w dull"), *list(w)[:10]]:
+        for d in (-0.05, 0.05):
+            assert loss({**w, p: w.get(p, 0.0) + d}, cuts) > best - 1e-4
+    for k in (0, 1):
+        for d in (-0.05, 0.05):
+            assert loss(w, [c + d * (i == k) for i, c in enumerate(cuts)]) > best - 1e-4
+    for r in ordinal.score(docs, model, ["doc_id"]).collect():
+        s = sum(w.get(p, 0.0) for p in places[r.key.doc_id])
+        tails = [1 / (1 + math.exp(c - s)) for c in cuts]
+        assert abs(r.score - s) < 1e-9 and abs(r.expected_grade - sum(tails)) < 1e-9 and all(abs(a - b) < 1e-9 for a, b in zip(r.tails, tails))
+
+
+def test_op4_sample_is_bounded_and_the_same_at_any_partitioning(spark):
+    rows = [(i % 40, f"text number {i} " + "word " * (i % 7)) for i in range(300)]
+    ratings = spark.createDataFrame([(i, i % 3) for i in range(40)], "doc_id long, grade int")
+    models = [ordinal.fit(spark.createDataFrame(order, "doc_id long, text string").repartition(n), ratings, sample_docs=25, sample_places=400) for order, n in ((rows, 1), (rows[::-1], 6), (rows + rows, 3))]
+    for m in models[1:]:
+        assert m.places.tolist() == models[0].places.tolist() and m.weights.tolist() == models[0].weights.tolist() and m.thresholds.tolist() == models[0].thresholds.tolist()
+
+
+def test_op4_column_names_with_dots(spark):
+    docs = spark.createDataFrame([(1, "good text", 1), (2, "other text", 2)], "`doc_id` long, `text` string, `a.b` long")
+    left = ordinal.select_good(docs, spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int"))
+    assert left.columns == docs.columns and left.count() <= 2
+
+
 def test_op4_thresholds_of_four_grades():
     rng = np.random.default_rng(0)
     rows, grades = [], []
@@ -107,7 +156,7 @@ def test_op8_base_scores_and_gain(spark, larger):
 
 
 def test_op8_with_a_small_head_scores_rare_words_exactly(spark, odd, odd_rows):
-    out = hmm.lm_scores(odd, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, head_words=3, rounds=1)
+    out = hmm.lm_scores(odd, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, head_words=3, known_words=5, rounds=1)
     assert_base([tuple(r) for r in out.collect()], base_scores([r[:2] for r in odd_rows]))
     assert all(math.isfinite(r.score) and r.score < 0 for r in out.collect())
 
@@ -202,15 +251,16 @@ def plain_sweep(model, s):
     return np.log(c).sum(), a * beta, moves
 
 
-def test_op8_score_equals_a_plain_recomputation(spark):
-    """Every round and the final word model, document by document and word by word, with a head of 20 words."""
+@pytest.mark.parametrize("known", [20, 45, 10_000])
+def test_op8_score_equals_a_plain_recomputation(spark, known):
+    """Every round and the final word model, document by document and word by word, with a head of 20 words, whichever words are broadcast."""
     from conftest import SCHEMA, sentence
     import random
 
     rng, rounds, states = random.Random(6), 3, 3
     rows = [(i, sentence(rng, rng.randint(0, 40)), "en", "a", 1) for i in range(150)] + [(150, "ba " * 300, "en", "a", 1), (151, None, "en", "a", 1)]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    got = {r.doc_id: r for r in hmm.lm_scores(docs, F.col("doc_id") % 5 == 1, states=states, rounds=rounds, head_words=20).collect()}
+    got = {r.doc_id: r for r in hmm.lm_scores(docs, F.col("doc_id") % 5 == 1, states=states, rounds=rounds, head_words=20, known_words=known).collect()}
     texts = {i: [*words(t), hmm.END] for i, t, *_ in rows}
     taught = [i for i in texts if i % 5 != 1]
     c = Counter(w for i in taught for w in texts[i])
@@ -234,7 +284,7 @@ def test_op8_score_equals_a_plain_recomputation(spark):
             moves += m
             for w, x, g in zip(texts[i], s, gamma):
                 emit[x] += g
-                own[w] = own.get(w, 0) + g
+                own[w] = own.get(w, 0) + np.rint(g * hmm.GRAIN) / hmm.GRAIN
         last, model = model, hmm.Hmm.from_counts(start, moves, emit, unigram)
     total = sum(own.values())
     weight = 200 + sum(np.minimum(x, 1) for x in own.values())
@@ -252,7 +302,7 @@ def test_op8_score_equals_a_plain_recomputation(spark):
 
 def test_frequent_words_are_all_above_one_count(spark):
     counts = spark.createDataFrame([("a", 9), ("b", 5), ("c", 5), ("d", 2), ("e", 1)], "word string, c long")
-    names = lambda n: [r["word"] for r in hmm.frequent(counts, n)[0]]
+    names = lambda n: hmm.frequent(counts, n)[0]["word"].to_pylist()
     assert names(1) == ["a"] and names(2) == ["a"] and names(3) == ["a", "b", "c"] and names(4) == ["a", "b", "c", "d"] and names(5) == list("abcde")
 
 
@@ -283,15 +333,52 @@ def test_op9_nothing_to_learn(odd):
     assert {r.lang_pred for r in language_id.identify(odd, F.lit(True)).collect()} == {"und"}
 
 
-def test_filter_has_no_false_negatives_and_many_languages():
+def test_filter_has_no_false_negatives_and_many_languages(spark):
     languages = tuple(f"l{i:03}" for i in range(130))
-    grams = language_id.grams_of([f"w{chr(0x4E00 + j)}" for j in range(200)])[0]
-    grams = np.unique(grams)
-    f = language_id.build({x: grams[i : i + 40] for i, x in enumerate(languages)}, languages, languages[0])
-    assert f.rows.shape[1] == 3
+    grams = np.unique(language_id.grams_of([f"w{chr(0x4E00 + j)}" for j in range(200)])[0])
+    kept = spark.createDataFrame([(x, int(g)) for i, x in enumerate(languages) for g in grams[i : i + 40].view(np.int64)], "lang string, gram long")
+    f = language_id.filter_of(kept, languages, languages[0], 40)
+    assert f.rows.shape == (1024, 3)
     masks = f.masks(grams)
     for i in range(len(languages)):
-        assert ((masks[i : i + 40, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).all()
+        held = (masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)
+        assert held[i : i + 40].all()
+        slots = np.unique(f.slots(grams[i : i + 40]))
+        assert abs(f.rate[i] - (len(slots) / 1024) ** 3) < 1e-12 and held.sum() < 80
+
+
+def test_op9_equals_a_plain_recomputation(spark):
+    """Counts, cuts, masks and corrected shares with sets instead of filters; a text's language is that of the largest share, ties to the first."""
+    rng = __import__("random").Random(2)
+    parts = {"aa": "ba lo ti ne".split(), "bb": "ra mi ko lo".split(), "cc": "xu zi ba qe".split()}
+    rows = [(i, " ".join("".join(rng.choice(parts[x]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 30))), x) for i, x in enumerate(rng.choices(list(parts), k=120))]
+    docs = spark.createDataFrame([*rows, (500, "12 34", "aa"), (501, "xx yy", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_id.identify(docs, F.col("doc_id") % 4 == 2).collect()}
+    counts = {x: Counter() for x in parts}
+    grams = lambda text: [int(h) for w in re.findall(r"[^\W\d_]+", text.lower()) for h in language_id.grams_of([w])[0]]
+    for i, t, x in rows:
+        if i % 4 != 2:
+            counts[x].update(grams(t))
+    rate = {x: {g: n / sum(c.values()) for g, n in c.items()} for x, c in counts.items()}
+    top = {g: max(r.get(g, 0) for r in rate.values()) for r in rate.values() for g in r}
+    kept = {x: {g for g, v in r.items() if v >= language_id.MIN_RATE and v >= language_id.MIN_SHARE * top[g]} for x, r in rate.items()}
+    m = language_id.slots_for(max(map(len, kept.values())))
+    f = language_id.LanguageFilter(("aa", "bb", "cc"), np.zeros((m, 1), np.uint64), np.zeros(3), 0)
+    slots = {x: set(f.slots(np.array(sorted(k), np.uint64)).ravel().tolist()) for x, k in kept.items()}
+    for i, t, _ in rows:
+        own = grams(t)
+        share = []
+        for x in ("aa", "bb", "cc"):
+            wrong = (len(slots[x]) / m) ** 3
+            hits = sum(all(s in slots[x] for s in f.slots(np.array([g], np.uint64))[0].tolist()) for g in own)
+            share.append((hits / len(own) - wrong) / (1 - wrong))
+        assert got[i].lang_pred == ("aa", "bb", "cc")[share.index(max(share))] and abs(got[i].score - min(1, max(0, max(share)))) < 1e-9
+    assert got[500].lang_pred == "und" and got[500].score == 0 and got[501].lang_pred in parts
+
+
+def test_op9_ties_go_to_the_first_language(spark):
+    docs = spark.createDataFrame([(1, "ba lo", "zz"), (2, "ba lo", "aa"), (3, "ba", None)], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(docs).collect()} == {1: "aa", 2: "aa", 3: "aa"}
 
 
 def test_grams_are_those_of_the_marked_word():
