@@ -308,11 +308,11 @@ def decimal_parse(spark, d):
     return table(spark, d, "events").select("event_id", finance.parse_column(text).cast("double").alias("valor"))
 
 
-@query("SELECT p_partkey, round(CAST(p_retailprice AS DOUBLE) / p_size, 4) AS cociente, round(power(1 + p_size / 100.0, 3), 6) AS potencia FROM part")
+@query("SELECT p_partkey, round(CAST(p_retailprice AS DOUBLE) / p_size, 9) AS cociente, round(power(1 + p_size / 100.0, 3), 6) AS potencia FROM part")
 def decimal_divide_power(spark, d):
     t = table(spark, d, "part").select("p_partkey", F.col("p_retailprice").cast("string").cast(finance.TYPE).alias("p"), F.col("p_size").cast(finance.TYPE).alias("n"))
     out = t.select("p_partkey", finance.divide_column(F.col("p"), F.col("n"), 12).cast("double").alias("cociente"), finance.power_column((1 + F.col("n") / 100).cast(finance.TYPE), F.lit(3)).cast("double").alias("potencia"))
-    return rounded(rounded(out, "cociente"), "potencia", n=6)
+    return rounded(rounded(out, "cociente", n=9), "potencia", n=6)
 
 
 @query("SELECT s_suppkey, CAST(CAST(s_acctbal AS DECIMAL(18, 2)) - 1 AS DOUBLE) AS resto, 'USD' AS moneda FROM supplier")
