@@ -24,7 +24,6 @@ from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,14 +64,12 @@ def fingerprints_of(texts: list[str | None], shingle: int = 3) -> np.ndarray:
         words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
         if not words:
             continue
-        if len(words) <= shingle:
-            own = [digest(b" ".join(words), SEED)]
-        else:
-            own = [digest(b" ".join(w), SEED) for w in zip(*(words[k:] for k in range(shingle)))]
+        k = max(1, len(words) - shingle + 1)
+        pieces = zip(*(words[j : j + k] for j in range(min(shingle, len(words)))))
         starts.append(n)
         at.append(i)
-        hashes.append(np.array(own, np.uint64))
-        n += len(own)
+        hashes.append(np.fromiter((digest(b" ".join(w), SEED) for w in pieces), np.uint64, k))
+        n += k
     if n:
         sums = _lane_sums(np.concatenate(hashes), np.array(starts))
         counts = np.diff(np.append(starts, n))
@@ -83,7 +80,7 @@ def fingerprints_of(texts: list[str | None], shingle: int = 3) -> np.ndarray:
 
 def _fingerprint_batches(shingle: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in S.batches_of(batches, 4 << 20):
+        for b in S.batches_of(batches, 2 << 20):
             fp = fingerprints_of(b.column(2).to_pylist(), shingle).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=["doc_id", "text_hash", "fp"])
 
@@ -166,48 +163,49 @@ def _deal_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, c * 64 + g, np.int64)), pa.array(key.view(np.int64)), pa.array(own.view(np.int64))], names=["choice", "bucket", "fp"])
 
 
-def _links_of_groups(keys: list[str], radius: int, refs: np.ndarray) -> Callable:
-    """Rows come sorted by `keys`; a bucket may go on in the next batch. Edges, and per batch a row without one that counts the pairs looked at and those that the table left."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-
-        def links(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            fp = frame["fp"].to_numpy().view(np.uint64)
-            table = pivot_table(fp, refs)
-            same = np.zeros(len(frame), bool)
-            same[1:] = np.logical_and.reduce([frame[k].to_numpy()[1:] == frame[k].to_numpy()[:-1] for k in keys])
-            first = np.flatnonzero(~same)
-            sizes = np.diff(np.append(first, len(frame)))
-            # Buckets of two, all at once.
-            x = first[sizes == 2]
-            near = x[(np.abs(table[x] - table[x + 1]) <= radius).all(axis=1)]
-            candidates, survivors = len(x), len(near)
-            near = near[np.bitwise_count(fp[near] ^ fp[near + 1]) <= radius]
-            a, b = [near], [near + 1]
-            for i, n in zip(first[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-                found, looked, left = spanning_links(fp[i : i + n], table[i : i + n], radius)
-                candidates, survivors = candidates + looked, survivors + left
-                if found:
-                    pairs = np.array(found) + i
-                    a.append(pairs[:, 0])
-                    b.append(pairs[:, 1])
-            a, b = fp[np.concatenate(a)].view(np.int64), fp[np.concatenate(b)].view(np.int64)
-            if len(a):
-                yield pd.DataFrame({"a": a, "b": b, "candidates": np.zeros(len(a), np.int64), "survivors": np.zeros(len(a), np.int64)}).astype({"a": "Int64", "b": "Int64"})
-            yield pd.DataFrame({"a": [None], "b": [None], "candidates": [candidates], "survivors": [survivors]}).astype({"a": "Int64", "b": "Int64"})
-
-        for frame in batches:
-            if held is not None:
-                frame = pd.concat([held, frame], ignore_index=True)
-            if not len(frame):
+FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("candidates", pa.int64()), ("survivors", pa.int64())])
+
+
+def _links_of_groups(radius: int, refs: np.ndarray) -> Callable:
+    """Rows (keys..., fp) come sorted by the keys; a bucket may go on in the next batch. Edges, and per batch a row without one that counts the pairs looked at and those that the table left."""
+
+    def links(keys: list[np.ndarray], fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        table = pivot_table(fp, refs)
+        fresh = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        first = np.append(0, np.flatnonzero(fresh) + 1)
+        sizes = np.diff(np.append(first, len(fp)))
+        # Buckets of two, all at once.
+        x = first[sizes == 2]
+        near = x[(np.abs(table[x] - table[x + 1]) <= radius).all(axis=1)]
+        candidates, survivors = len(x), len(near)
+        near = near[np.bitwise_count(fp[near] ^ fp[near + 1]) <= radius]
+        a, b = [near], [near + 1]
+        for i, n in zip(first[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+            found, looked, left = spanning_links(fp[i : i + n], table[i : i + n], radius)
+            candidates, survivors = candidates + looked, survivors + left
+            if found:
+                pairs = np.array(found) + i
+                a.append(pairs[:, 0])
+                b.append(pairs[:, 1])
+        a, b = fp[np.concatenate(a)].view(np.int64), fp[np.concatenate(b)].view(np.int64)
+        none = np.zeros(len(a), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(none), pa.array(none)], schema=FOUND)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([candidates]), pa.array([survivors])], schema=FOUND)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            own = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            own = [np.concatenate(x) for x in zip(held, own)] if held is not None else own
+            if not len(own[0]):
                 continue
-            last = np.logical_and.reduce([(frame[k] == frame[k].iloc[-1]).to_numpy() for k in keys])
-            held, done = frame[last], frame[~last]
-            if len(done):
-                yield from links(done)
-        if held is not None and len(held):
-            yield from links(held)
+            other = np.logical_or.reduce([k != k[-1] for k in own[:-1]])
+            cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+            held = [c[cut:] for c in own]
+            if cut:
+                yield from links([k[:cut] for k in own[:-1]], own[-1][:cut].view(np.uint64))
+        if held is not None:
+            yield from links(held[:-1], held[-1].view(np.uint64))
 
     return run
 
@@ -228,8 +226,8 @@ def search(distinct: DataFrame, radius: int = 3, bucket_rows: int = 16384, pivot
         # Buckets over the limit number at most 20 n / bucket_rows; the join is left to the planner, which knows their size.
         small = dealt.join(hot, "bucket", "left_anti")
         fine = dealt.join(hot, "bucket", "left_semi").mapInArrow(_deal_again, "choice long, bucket long, fp long")
-        again = fine.repartition("choice", "bucket").sortWithinPartitions("choice", "bucket", "fp").mapInPandas(_links_of_groups(["choice", "bucket"], radius, refs), found)
-    out = small.repartition("bucket").sortWithinPartitions("bucket", "fp").mapInPandas(_links_of_groups(["bucket"], radius, refs), found)
+        again = fine.repartition("choice", "bucket").sortWithinPartitions("choice", "bucket", "fp").mapInArrow(_links_of_groups(radius, refs), found)
+    out = small.repartition("bucket").sortWithinPartitions("bucket", "fp").mapInArrow(_links_of_groups(radius, refs), found)
     if not hot.isEmpty():
         out = out.unionByName(again)
     stored = S.store(out, "simhash-links")
