@@ -45,7 +45,7 @@ GRAIN, PACKED = 4096, 15
 #: Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
 #: Tokens of documents that are worked on together; a longer document stands alone.
-BATCH_TOKENS = 800_000
+BATCH_TOKENS = 500_000
 #: Steps between scalings. A step changes a state's weight by its emission relative to the unigram model, well within 1e15.
 SCALE_STEPS = 16
 #: The end of a text, as a word: no word holds white space.
@@ -213,6 +213,11 @@ class Scratch:
     def gathered(self, name: str, table: np.ndarray, at: np.ndarray) -> np.ndarray:
         return np.take(table, at, axis=0, out=self.rows(name, len(at), table.shape[1]), mode="clip")
 
+    def clear(self) -> None:
+        """At a task's end: the worker may go on with other work."""
+        self.held.clear()
+        pa.default_memory_pool().release_unused()
+
 
 SCRATCH = Scratch()
 
@@ -358,6 +363,7 @@ def _expect(shared, words: bool) -> Callable:
         seen = np.flatnonzero(symbols.any(axis=1))
         number = np.concatenate([seen, [-1, -2], -3 - np.arange(k)])
         values = np.concatenate([symbols[seen] / (GRAIN if words else 1), start[None], np.eye(1, k) * likelihood, moves])
+        SCRATCH.clear()
         yield _counts(pa.nulls(len(number), pa.string()), pa.array(number, pa.int32()), np.zeros(len(number), np.int64), values)
 
     return run
@@ -411,6 +417,8 @@ def _score(shared) -> Callable:
                 _, logs = forward(model.start, model.move, SCRATCH.gathered("e", ratio, b.laid(flat, row["starts"][group])), b)
                 score[group[b.order]] = logs / math.log(10)
             yield pa.RecordBatch.from_arrays([row["doc_ids"].flatten(), row["held_out"].flatten(), pa.array(sizes, pa.int64()), pa.array(n_known), pa.array(base), pa.array(base + score)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+            del ratio, share, tail
+        SCRATCH.clear()
 
     return run
 
