@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from lumbre.llm import _shared as S
 
 #: Chunks kept per Python worker (some 300 bytes each); beyond that they are learnt for one batch only.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 300_000
 #: The pattern by which the tokenizer cuts lower-cased text; what it doesn't match (white space) goes.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+").findall
 #: Up to U+024F, but for two kinds of white space, lower-casing and the classes of characters are the same here and in the
@@ -258,6 +258,8 @@ def _run(path: str, full: bool) -> Callable:
                 columns += [ids, decoded]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+            del joined, decoded, ids, columns
+            pa.default_memory_pool().release_unused()
 
     return run
 
