@@ -23,7 +23,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -189,11 +189,15 @@ class Hmm:
         return Hmm(s / s.sum(), m / m.sum(axis=1, keepdims=True), e / e.sum(axis=0))
 
 
-def aligned(table: np.ndarray) -> np.ndarray:
-    """A copy whose rows of eight doubles are one cache line each."""
-    room = np.empty(table.size + 8)
+def aligned_room(n: int, k: int) -> np.ndarray:
+    """Rows of k doubles, not set; rows of eight are one cache line each."""
+    room = np.empty(n * k + 8)
     at = (-room.ctypes.data % 64) // 8
-    out = room[at : at + table.size].reshape(table.shape)
+    return room[at : at + n * k].reshape(n, k)
+
+
+def aligned(table: np.ndarray) -> np.ndarray:
+    out = aligned_room(*table.shape)
     out[:] = table
     return out
 
@@ -207,7 +211,7 @@ class Scratch:
     def rows(self, name: str, n: int, k: int) -> np.ndarray:
         a = self.held.get(name)
         if a is None or len(a) < n or a.shape[1] != k:
-            self.held[name] = a = aligned(np.empty((n + n // 8, k)))
+            self.held[name] = a = aligned_room(n + n // 8, k)
         return a[:n]
 
     def gathered(self, name: str, table: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -245,7 +249,7 @@ class Batch:
     def laid(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The tokens of the sequences, which begin at `starts` in flat, in this layout."""
         before = np.cumsum(self.sizes) - self.sizes
-        out = np.empty(len(self.place), flat.dtype)
+        out = np.empty(len(self.place), np.intp)
         out[self.place] = flat[np.repeat(starts[self.order] - before, self.sizes) + np.arange(len(self.place))]
         return out
 
@@ -310,7 +314,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             row = {n: b.column(n).slice(i, 1) for n in b.schema.names}
             row["sizes"] = row["sizes"].flatten().to_numpy()
             row["starts"] = np.cumsum(row["sizes"]) - row["sizes"]
-            row["flat"] = np.frombuffer(row["symbols"][0].as_buffer(), "<u2").astype(np.int64)
+            row["flat"] = np.frombuffer(row["symbols"][0].as_buffer(), "<u2").astype(np.int32)
             row["held"] = row["held_out"].flatten().to_numpy(zero_copy_only=False)
             yield row
 
@@ -375,26 +379,30 @@ class Final:
 
     start: np.ndarray
     move: np.ndarray
-    alphabet: Alphabet
+    alphabet: Alphabet  # without names and symbols, which scoring has no use for
     counts: np.ndarray  # of the known words by state
     total: np.ndarray  # n(s)
     weight: np.ndarray  # k(s)
 
-    def ratio(self, counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
-        """P(w | s) / u(w) of words with these counts by state and shares u."""
-        return (counts / shares[:, None] + self.weight) / (self.total + self.weight)
+    def ratio(self, counts: np.ndarray, shares: np.ndarray, out: np.ndarray) -> None:
+        """P(w | s) / u(w) of words with these counts by state and shares u; out may be counts."""
+        np.divide(counts, shares[:, None], out=out)
+        out += self.weight
+        out /= self.total + self.weight
 
 
 def _score(shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Final = shared.value
         alphabet, k = model.alphabet, len(model.start)
-        known_share = alphabet.shares(alphabet.counts)
-        known_ratio = model.ratio(model.counts, known_share)
+        n_words, known_share, held = len(alphabet.counts), alphabet.shares(alphabet.counts), np.empty((0, k))
         for row in _blocks(batches):
-            sizes, flat = row["sizes"], _word_numbers(row, alphabet.head)
-            n_tail = len(row["tail"].flatten())
-            tail_c, tail = np.zeros(n_tail), np.zeros((n_tail, k))
+            sizes, flat, n_tail = row["sizes"], _word_numbers(row, alphabet.head), row["n_tail"][0].as_py()
+            if len(held) < n_words + n_tail:  # one table for all blocks: the known words' rows stay, the others are each block's own
+                held = aligned_room(n_words + n_tail + n_tail // 8, k)
+                model.ratio(model.counts, known_share, held[:n_words])
+            ratio, tail, tail_c = held[: n_words + n_tail], held[n_words : n_words + n_tail], np.zeros(n_tail)
+            tail.fill(0)
             met = row["met"].flatten()
             if len(met):
                 at = met.field("pos").to_numpy()
@@ -407,17 +415,18 @@ def _score(shared) -> Callable:
                     tail[at[full]] = many.drop_null().flatten().to_numpy().reshape(-1, k)
             tail_share = alphabet.shares(tail_c)
             share = np.log10(np.concatenate([known_share, tail_share]))
-            ratio = aligned(np.concatenate([known_ratio, model.ratio(tail, tail_share)]))
+            model.ratio(tail, tail_share, tail)
             seen = np.concatenate([alphabet.counts, tail_c]) > 0
             base = np.add.reduceat(share[flat], row["starts"])
-            n_known = np.add.reduceat(seen[flat].astype(np.int64), row["starts"])
+            n_known = np.add.reduceat(seen[flat], row["starts"], dtype=np.int64)
             score = np.empty(len(sizes))
             for group in groups_of(sizes, np.arange(len(sizes))):
                 b = Batch.of(sizes[group])
                 _, logs = forward(model.start, model.move, SCRATCH.gathered("e", ratio, b.laid(flat, row["starts"][group])), b)
                 score[group[b.order]] = logs / math.log(10)
             yield pa.RecordBatch.from_arrays([row["doc_ids"].flatten(), row["held_out"].flatten(), pa.array(sizes, pa.int64()), pa.array(n_known), pa.array(base), pa.array(base + score)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-            del ratio, share, tail
+            del row, met, flat, share
+            pa.default_memory_pool().release_unused()
         SCRATCH.clear()
 
     return run
@@ -524,7 +533,7 @@ def lm_scores(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col:
     fitted = Hmm.from_counts(start, move, np.zeros_like(model.emit), unigram) if total["n"] else model
     of_rare = lambda k: np.array([rare[f"{k}{c}"] for c in names])
     weight = Hmm.weights(np.minimum(own, 1).sum(axis=0) + of_rare("k"))
-    best = spark.sparkContext.broadcast(Final(fitted.start, fitted.move, alphabet, own, own.sum(axis=0) + of_rare("n"), weight))
+    best = spark.sparkContext.broadcast(Final(fitted.start, fitted.move, replace(alphabet, known={}, symbols=alphabet.symbols[:0]), own, own.sum(axis=0) + of_rare("n"), weight))
 
     # A block's rarer words meet their counts; each word is one row per block, so no word is frequent here.
     asked = coded.select("block", F.posexplode("tail").alias("pos", "word"))
@@ -536,7 +545,7 @@ def lm_scores(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col:
     rows_back = asked.join(words, "word").select("block", "pos", "c", *numbers, F.when(~few, F.array(*names)).alias("many"))
     met = rows_back.groupBy("block").agg(F.collect_list(F.struct("pos", "c", *packed, "many")).alias("met"))
     item = "struct<pos:int,c:long," + ",".join(f"{p}:long" for p in packed) + ",many:array<double>>"
-    ready = coded.join(met, "block", "left").select("doc_ids", "held_out", "sizes", "symbols", "tail", "numbers", F.coalesce("met", F.expr(f"cast(array() as array<{item}>)")).alias("met"))
+    ready = coded.join(met, "block", "left").select("doc_ids", "held_out", "sizes", "symbols", F.size("tail").alias("n_tail"), "numbers", F.coalesce("met", F.expr(f"cast(array() as array<{item}>)")).alias("met"))
     scored = ready.mapInArrow(_score(best), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(total["n"]).cast("long").alias("train_tokens"), "base_score", "score",
