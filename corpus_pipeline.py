@@ -26,8 +26,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more), the row with the smallest id stays.
 
-    Texts of that similarity have 64-bit fingerprints that differ in some ten bits, more than blocks of equal bits or
-    pivot tables can search; candidates come from minima of the same shingle hashes, and similarity is exact.
+    By op7's method, SimHash with pivot distance tables before every candidate pair, on fingerprints of 256 bits as
+    texts of that similarity differ in more than op7's 3 of 64; the similarity of what is left is exact.
     """
     return near_copies.one_of_each_group(docs)
 

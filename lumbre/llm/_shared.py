@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import sys
 import tempfile
 import uuid
 import warnings
@@ -57,6 +59,25 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Returns a worker's freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def forget() -> None:
+    """A worker goes on with other operators' tasks: what those remember (`MEMORIES` of their modules) goes; it changes no result."""
+    for name, module in list(sys.modules.items()):
+        if name.startswith("lumbre.llm."):
+            for memory in getattr(module, "MEMORIES", ()):
+                memory.cache_clear()
+    gc.collect()
+    give_back()
+
+
 def ascii_lower(col):
     """A-Z to a-z and nothing else."""
     return F.translate(col, UPPER, LOWER)

@@ -187,6 +187,9 @@ def _memory(key: int) -> dict[str, tuple[int, ...]]:
     return {}
 
 
+MEMORIES = (_memory,)
+
+
 def _scorer(model: OrdinalModel, key: int) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     """Texts to (scores, tails)."""
     weights, memory = model.dense(), _memory(key)

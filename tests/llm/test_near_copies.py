@@ -3,11 +3,12 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from conftest import SCHEMA, sentence
 
 import corpus_pipeline
-from lumbre.llm import near_copies, simhash
+from lumbre.llm import _shared, near_copies, ordinal, simhash
 
 
 def shingles(text):
@@ -87,3 +88,48 @@ def test_components_in_one_task_and_in_rounds(spark):
     frame = spark.createDataFrame(edges, "a long, b long")
     one, rounds = (sorted(map(tuple, simhash.components(frame, n).collect())) for n in (1000, 0))
     assert one == rounds and len(one) > 100
+
+
+def test_pivot_tables_stand_before_every_candidate(spark):
+    """Texts that share a passage meet in buckets; the tables discard most of their pairs, and no link."""
+    rng, rows = random.Random(21), []
+    passage = sentence(rng, 160)
+    for _ in range(60):
+        words = sentence(rng, 240).split()
+        rows.append((len(rows), f"{passage} {' '.join(words)}"))
+        words[120] = "changed"
+        rows.append((len(rows), f"{passage} {' '.join(words)}"))
+    stored = near_copies.shingle_rows(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = near_copies.search(stored)
+    looked, left = simhash.pivot_effect(found)
+    edges = {frozenset((r.a, r.b)) for r in near_copies.edges_of(found).collect()}
+    of = {r.doc_id: r.fp for r in stored.collect()}
+    assert edges == {frozenset((of[i], of[i + 1])) for i in range(0, 120, 2)}
+    assert 60 <= left < looked / 2
+
+
+def test_fingerprints_are_op7s_and_wider():
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.random()}" for _ in range(n)) for n in (1, 4, 5, 6, 9, 300, 3000)]
+    wide = near_copies.fingerprints([near_copies.shingle_hashes(t) for t in texts])
+    assert wide.shape == (7, 4) and (wide[:, 0] == simhash.fingerprints_of(texts, 5)).all()
+    apart = np.bitwise_count(wide[:, None] ^ wide[None, :]).sum(axis=2)
+    near, left = near_copies.within(wide)
+    assert (near == (apart <= near_copies.RADIUS) & ~np.eye(7, dtype=bool)).all() and near.sum() <= 2 * left
+
+
+def test_radius_holds_what_is_similar():
+    """Pairs of similarity 0.8 just so, of small and of large sets, are well within the radius; unrelated ones are not."""
+    rng = np.random.default_rng(3)
+    for common, one, two in ((4, 0, 1), (8, 1, 1), (8, 2, 0), (40, 5, 5), (400, 50, 50), (400, 0, 100)):
+        h = rng.integers(0, 1 << 64, (300, common + one + two), np.uint64)
+        a, b = near_copies.fingerprints(list(h[:, : common + one])), near_copies.fingerprints([np.append(x[:common], x[common + one :]) for x in h])
+        assert np.bitwise_count(a ^ b).sum(axis=1).max() <= near_copies.RADIUS - 8
+        assert np.bitwise_count(a[1:] ^ b[:-1]).sum(axis=1).min() > near_copies.RADIUS
+
+
+def test_a_worker_forgets_what_the_stage_before_remembers():
+    ordinal._memory(1)["word"] = (1,)
+    list(near_copies._set_batches(5)(iter([])))
+    assert ordinal._memory(1) == {}
+    _shared.give_back()
