@@ -46,6 +46,8 @@ GRAIN, PACKED = 4096, 15
 BLOCK_BYTES = 8 << 20
 #: Tokens of documents that are worked on together; a longer document stands alone.
 BATCH_TOKENS = 500_000
+#: Tokens whose rows, in a few tables, fit a core's cache.
+CACHE_TOKENS = 2048
 #: Steps between scalings. A step changes a state's weight by its emission relative to the unigram model, well within 1e15.
 SCALE_STEPS = 16
 #: The end of a text, as a word: no word holds white space.
@@ -232,7 +234,8 @@ class Batch:
 
     order: np.ndarray  # sequence numbers, longest first
     sizes: np.ndarray  # in that order
-    place: np.ndarray  # where the tokens of the sequences, one after the other in that order, stand in the layout
+    rank: np.ndarray  # of each token in the layout, its sequence's place in that order
+    step: np.ndarray  # of each token in the layout
     active: np.ndarray  # sequences at each step
     at: np.ndarray  # where each step begins
 
@@ -242,68 +245,78 @@ class Batch:
         sizes = sizes[order]
         active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(int(sizes[0])), "right")
         at = np.cumsum(active) - active
-        before = np.cumsum(sizes) - sizes
-        step = np.arange(int(sizes.sum())) - np.repeat(before, sizes)
-        return Batch(order, sizes, at[step] + np.repeat(np.arange(len(order)), sizes), active, at)
+        return Batch(order, sizes, np.arange(int(sizes.sum())) - np.repeat(at, active), np.repeat(np.arange(len(active)), active), active, at)
+
+    @property
+    def last(self) -> np.ndarray:
+        """Where each sequence's last token stands."""
+        return self.at[self.sizes - 1] + np.arange(len(self.order))
 
     def laid(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The tokens of the sequences, which begin at `starts` in flat, in this layout."""
-        before = np.cumsum(self.sizes) - self.sizes
-        out = np.empty(len(self.place), np.intp)
-        out[self.place] = flat[np.repeat(starts[self.order] - before, self.sizes) + np.arange(len(self.place))]
-        return out
+        at = starts[self.order].take(self.rank)
+        at += self.step
+        return flat.take(at).astype(np.intp, copy=False)
 
 
-def forward(start: np.ndarray, move: np.ndarray, e: np.ndarray, b: Batch, out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(forward variables, each sequence's likelihood as a logarithm, longest first) for the emissions e of b's tokens; may overwrite e."""
+def forward(start: np.ndarray, move: np.ndarray, e: np.ndarray, b: Batch, out: np.ndarray | None = None, scales: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(forward variables, each sequence's likelihood as a logarithm, longest first) for the emissions e of b's tokens; may overwrite e.
+    `scales` takes what the steps are divided by, one array for each step that is scaled."""
     a = e if out is None else out
-    logs = np.zeros(len(b.order))
+    logs, ones = np.zeros(len(b.order)), np.ones(len(start))
     active, at = b.active.tolist(), b.at.tolist()
     np.multiply(e[: active[0]], start, out=a[: active[0]])
-    held, dot, mul = np.empty((active[0], len(start))), np.matmul, np.multiply
+    held, mul = np.empty((active[0], len(start))), np.multiply
+    # Most steps are small and their time is that of the calls: an array's own dot begins soonest.
     for t in range(1, len(active)):
         n, i, j = active[t], at[t], at[t - 1]
-        got = held[:n]
-        dot(a[j : j + n], move, out=got)
-        mul(got, e[i : i + n], out=a[i : i + n])
+        now = a[i : i + n]
+        mul(a[j : j + n].dot(move, held[:n]), e[i : i + n], now)
         if not t % SCALE_STEPS:
-            now = a[i : i + n]
-            c = now.sum(axis=1)
+            c = now.dot(ones)
             now /= c[:, None]
             logs[:n] += np.log(c)
-    last = b.at[b.sizes - 1] + np.arange(len(b.order))
-    return a, logs + np.log(a[last].sum(axis=1))
+            if scales is not None:
+                scales.append(c)
+    return a, logs + np.log(a[b.last] @ ones)
 
 
 def expected(start: np.ndarray, move: np.ndarray, e: np.ndarray, b: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start counts, move counts, states of each token in b's layout, likelihoods). Overwrites e; the states stand in scratch memory until the next call."""
-    alpha, logs = forward(start, move, e, b, SCRATCH.rows("alpha", *e.shape))
-    beta = SCRATCH.rows("beta", *e.shape)
-    beta.fill(1)
+    """(start counts, move counts, states of each token in b's layout, likelihoods). Overwrites e; the states stand in scratch memory until the next call, one state after the other."""
+    n_tokens, k = e.shape
+    scales: list[np.ndarray] = []
+    alpha, logs = forward(start, move, e, b, SCRATCH.rows("alpha", n_tokens, k), scales)
+    # Both ways have the same scales, and a sequence's last step its likelihood's inverse: each token's states add to 1 as they are.
+    beta, last = SCRATCH.rows("beta", n_tokens, k), b.last
+    beta[last] = 1 / alpha[last].sum(axis=1)[:, None]
     back = np.ascontiguousarray(move.T)
-    active, at, dot, mul = b.active.tolist(), b.at.tolist(), np.matmul, np.multiply
+    active, at, mul = b.active.tolist(), b.at.tolist(), np.multiply
     for t in range(len(active) - 1, 0, -1):
         n, i, j = active[t], at[t], at[t - 1]
         ahead = e[i : i + n]
-        mul(ahead, beta[i : i + n], out=ahead)
+        mul(ahead, beta[i : i + n], ahead)
         if not t % SCALE_STEPS:
-            ahead /= ahead.sum(axis=1)[:, None]
-        dot(ahead, back, out=beta[j : j + n])
-    # Each token's states add to 1, whatever its scale. What stands in e from the second step on is the successors' share.
-    mul(alpha, beta, out=beta)
-    total = beta.sum(axis=1)[:, None]
-    beta /= total
-    alpha /= total
-    first = active[0]
-    before = np.arange(first, len(e)) - np.repeat(b.active[:-1], b.active[1:])
-    moves = SCRATCH.gathered("before", alpha, before).T @ e[first:]
-    return beta[:first].sum(axis=0), moves * move, beta, logs
+            ahead /= scales.pop()[:, None]
+        ahead.dot(back, beta[j : j + n])
+    # What stands in e from the second step on is the successors' share. After steps of as many sequences, tokens and those before them lie side by side.
+    moves, ends = np.zeros((k, k)), [*at[1:], n_tokens]
+    alike = np.flatnonzero(np.diff(b.active[:-1], prepend=0, append=0)).tolist()  # steps whose number of sequences is another than the step's before; the last
+    for t, until in zip(alike, alike[1:]):
+        i, j, n = at[t + 1], ends[until], active[t]
+        moves += alpha[i - n : j - n].T.dot(e[i:j])
+    # Some tokens at a time, which stay in the processor's cache while they are turned.
+    states, held = SCRATCH.rows("states", n_tokens, k).reshape(k, n_tokens), np.empty((CACHE_TOKENS, k))
+    for i in range(0, n_tokens, CACHE_TOKENS):
+        some = slice(i, min(i + CACHE_TOKENS, n_tokens))
+        states[:, some] = mul(alpha[some], beta[some], held[: some.stop - i]).T
+    return states[:, : active[0]].sum(axis=1), moves * move, states.T, logs
 
 
 def groups_of(sizes: np.ndarray, chosen: np.ndarray, tokens: int = BATCH_TOKENS) -> Iterator[np.ndarray]:
-    """The chosen sequences, longest first, in groups of some `tokens` tokens."""
+    """The chosen sequences, longest first, in groups of up to some `tokens` tokens, which are alike in tokens."""
     chosen = chosen[np.argsort(-sizes[chosen], kind="stable")]
-    number = np.cumsum(sizes[chosen]) // tokens
+    total = int(sizes[chosen].sum())
+    number = (np.cumsum(sizes[chosen]) - sizes[chosen]) * -(-total // tokens) // max(1, total)
     for k in np.unique(number).tolist():
         yield chosen[number == k]
 
@@ -340,11 +353,11 @@ def _expect(shared, words: bool) -> Callable:
         k, size = len(model.start), n_known if words else len(model.emit)
         ratio = aligned(model.emit / unigram[:, None])
         logs_of = np.log(unigram)
-        start, moves, symbols, likelihood = np.zeros(k), np.zeros((k, k)), np.zeros((size, k)), 0.0
+        start, moves, symbols, likelihood = np.zeros(k), np.zeros((k, k)), np.zeros((k, size)), 0.0
         for row in _blocks(batches):
             numbers = _word_numbers(row, head) if words else row["flat"]
             n_tail = len(row["tail"].flatten()) if words else 0
-            tail, tail_c = np.zeros((n_tail, k)), np.zeros(n_tail, np.int64)
+            tail, tail_c = np.zeros((k, n_tail)), np.zeros(n_tail, np.int64)
             for group in groups_of(row["sizes"], np.flatnonzero(~row["held"])):
                 b = Batch.of(row["sizes"][group])
                 flat = b.laid(row["flat"], row["starts"][group])
@@ -357,13 +370,14 @@ def _expect(shared, words: bool) -> Callable:
                     np.rint(np.multiply(gamma, GRAIN, out=gamma), out=gamma)
                 for s in range(k):
                     got = np.bincount(own, gamma[:, s], size + n_tail)
-                    symbols[:, s] += got[:size]
-                    tail[:, s] += got[size:]
+                    symbols[s] += got[:size]
+                    tail[s] += got[size:]
                 if n_tail:
                     tail_c += np.bincount(own, minlength=size + n_tail)[size:]
             seen = np.flatnonzero(tail_c)
             if len(seen):
-                yield _counts(row["tail"].flatten().take(pa.array(seen)), pa.nulls(len(seen), pa.int32()), tail_c[seen], tail[seen] / GRAIN)
+                yield _counts(row["tail"].flatten().take(pa.array(seen)), pa.nulls(len(seen), pa.int32()), tail_c[seen], tail.T[seen] / GRAIN)
+        symbols = symbols.T
         seen = np.flatnonzero(symbols.any(axis=1))
         number = np.concatenate([seen, [-1, -2], -3 - np.arange(k)])
         values = np.concatenate([symbols[seen] / (GRAIN if words else 1), start[None], np.eye(1, k) * likelihood, moves])
