@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumbre import operators as O
@@ -45,8 +45,14 @@ BASIC = lambda c: [M("suma", c, name="suma"), M("media", c, name="media"), M("mi
 BASIC_SQL = lambda c: f"round(sum({c}), 4) AS suma, round(avg({c}), 4) AS media, min({c}) AS minimo, max({c}) AS maximo, count({c}) AS conteo"
 
 
+def signed_round(c: Column, n: int) -> Column:
+    """A double to n places; what rounds to zero keeps its sign, as in IEEE and in the SQL, and unlike F.round."""
+    return F.abs(F.round(c, n)) * F.signum(c)
+
+
 def rounded(df: DataFrame, *names: str, n: int = 4) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c), n) for c in names})
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: signed_round(F.col(c), n) if kinds[c] == "double" else F.round(F.col(c), n) for c in names})
 
 
 # The flagship: scan, derive, filter, group, sort.
@@ -483,12 +489,12 @@ def stream_summary(spark, d):
 
 @query(f"SELECT count(*) AS filas, round(sum(TRY_CAST(k AS DOUBLE)), 4) AS suma FROM {DIRTY_SQL} WHERE event_type = 'click'")
 def stream_filter_text(spark, d):
-    return bounded.summary(bounded.filtered(_dirty(spark, d), ("event_type", "==", "click")), [("suma", "k")]).select("filas", F.round("v0", 4).alias("suma"))
+    return bounded.summary(bounded.filtered(_dirty(spark, d), ("event_type", "==", "click")), [("suma", "k")]).select("filas", signed_round(F.col("v0"), 4).alias("suma"))
 
 
 @query(f"SELECT count(*) AS filas, round(sum(TRY_CAST(k AS DOUBLE)), 4) AS suma FROM {DIRTY_SQL} WHERE TRY_CAST(k AS DOUBLE) > 40")
 def stream_filter_number(spark, d):
-    return bounded.summary(bounded.filtered(_dirty(spark, d), ("k", ">", 40)), [("suma", "k")]).select("filas", F.round("v0", 4).alias("suma"))
+    return bounded.summary(bounded.filtered(_dirty(spark, d), ("k", ">", 40)), [("suma", "k")]).select("filas", signed_round(F.col("v0"), 4).alias("suma"))
 
 
 @query(f"""SELECT u, count(*) AS filas, sum(TRY_CAST(k AS DOUBLE)) AS suma, count(TRY_CAST(k AS DOUBLE)) AS validos, count_if(k = '') AS nulos, count_if(k <> '' AND TRY_CAST(k AS DOUBLE) IS NULL) AS invalidos,
@@ -555,7 +561,7 @@ def streaming_dedup(spark, d):
 @query("SELECT event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY event_type")
 def streaming_state(spark, d):
     out = _streamed(events.running_totals(_event_stream(spark, d).select("event_type", "value"), "event_type", "value"), "state", "update")
-    return out.groupBy("event_type").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 3).alias("total"))
+    return out.groupBy("event_type").agg(F.max("n").alias("n"), signed_round(F.max_by("total", "n"), 3).alias("total"))
 
 
 # Profiles and statistics.
@@ -772,7 +778,7 @@ def _along(name: str, kernel, sql: str):
 
     def f(spark, d):
         m = A.reshape(F.col("a"), 8, 8)
-        r6 = lambda x: F.round(x, 6)
+        r6 = lambda x: signed_round(x, 6)
         return _embeddings(spark, d).select("vec_id", F.transform(A.along(m, 0, kernel), r6).alias("eje0"), F.transform(A.along(m, 1, kernel), r6).alias("eje1"))
 
     f.__name__ = f"array_axis_{name}"
