@@ -33,6 +33,10 @@ def test_axis_mean(spark, vectors):
     same_to_the_sign(spark, vectors, "array_axis_mean")
 
 
+def test_axis_median(spark, vectors):
+    same_to_the_sign(spark, vectors, "array_axis_median")
+
+
 def test_rounded_columns_and_groups(spark):
     df = Q.rounded(spark.createDataFrame([(1, -1e-9, 7), (2, 1.23456, 8), (3, None, 9), (4, float("nan"), 1), (5, -2.55555, 1)], "k int, v double, i int"), "v", "i")
     assert dict(df.dtypes) == {"k": "int", "v": "double", "i": "int"}
