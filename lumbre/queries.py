@@ -801,7 +801,7 @@ def array_broadcast(spark, d):
     """Each matrix plus its first row, which is repeated along the other axis."""
     m = A.reshape(F.col("a"), 8, 8)
     out = A.add_rows(m, A.broadcast_rows(F.slice("a", 1, 8), 8))
-    return _embeddings(spark, d).select("vec_id", F.transform(out, lambda x: F.transform(x, lambda y: F.round(y, 6))).alias("suma"))
+    return _embeddings(spark, d).select("vec_id", F.transform(out, lambda x: F.transform(x, lambda y: signed_round(y, 6))).alias("suma"))
 
 
 @query("SELECT vec_id, list_transform(a, lambda x: CAST(trunc(x * 10) AS INTEGER)) AS enteros FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings)")

@@ -41,3 +41,7 @@ def test_rounded_columns_and_groups(spark):
     df = Q.rounded(spark.createDataFrame([(1, -1e-9, 7), (2, 1.23456, 8), (3, None, 9), (4, float("nan"), 1), (5, -2.55555, 1)], "k int, v double, i int"), "v", "i")
     assert dict(df.dtypes) == {"k": "int", "v": "double", "i": "int"}
     assert [repr(r.v) for r in df.orderBy("k").collect()] == ["-0.0", "1.2346", "None", "nan", "-2.5556"]
+
+
+def test_broadcast(spark, vectors):
+    same_to_the_sign(spark, vectors, "array_broadcast")
