@@ -45,3 +45,7 @@ def test_rounded_columns_and_groups(spark):
 
 def test_broadcast(spark, vectors):
     same_to_the_sign(spark, vectors, "array_broadcast")
+
+
+def test_matrix(spark, vectors):
+    same_to_the_sign(spark, vectors, "array_matrix")
