@@ -10,6 +10,7 @@ import re
 from collections.abc import Callable
 from decimal import ROUND_CEILING, ROUND_DOWN, ROUND_FLOOR, ROUND_HALF_EVEN, ROUND_HALF_UP, Context, Decimal, InvalidOperation
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -205,19 +206,79 @@ def series_npv(flows: DataFrame, keys: list[str], order: str, amount: str, rate:
     return at.groupBy(*keys).agg(F.sum(F.col(amount).cast("double") / F.pow(F.lit(1 + rate), F.col("_at"))).alias("npv"))
 
 
-def series_irr(flows: DataFrame, keys: list[str], order: str, amount: str, scale: int = 12) -> DataFrame:
-    """keys, irr of each series; a series is one task's work, and null if it has no rate."""
-
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        values = [Decimal(str(v)) for v in frame.sort_values(order)[amount]]
+_EPS = float(np.finfo(float).eps)
+_CELLS = 1 << 18  # flows that are solved at once
+
+
+def _signs(flows: np.ndarray, growth: np.ndarray) -> np.ndarray:
+    """The sign of each row's present value at the rate growth - 1, or 0 where doubles can't tell it.
+
+    Values are multiplied by a positive power of growth, so that no term is beyond its flow.
+    """
+    small = growth < 1
+    terms = np.ones(flows.shape)
+    terms[:, 1:] = np.where(small, growth, 1 / growth)[:, None]
+    terms = np.multiply.accumulate(terms, axis=1) * np.where(small[:, None], flows[:, ::-1], flows)
+    value, unsure = terms.sum(1), _EPS * (4 * flows.shape[1] + 16) * np.abs(terms).sum(1) + 1e-290
+    return np.where(np.abs(value) > unsure, np.sign(value), 0)
+
+
+def _rates(flows: np.ndarray, exact: Callable[[int], list[Decimal]], scale: int) -> np.ndarray:
+    """What `irr` gives for each row, by the same bisection in doubles; NaN if there is no rate.
+
+    A sign counts only beyond the rounding error. Where that leaves the last digit of a rate open, the exact flows settle
+    it: by their sign at the tie between two digits, or by the whole bisection.
+    """
+    n, unit = len(flows), 10.0**scale
+    out, low, high = np.full(n, np.nan), np.full(n, 1e-6), np.full(n, 11.0)
+    with np.errstate(all="ignore"):
+        at_low, at_high = _signs(flows, low), _signs(flows, high)
+        found = at_low * at_high < 0
+        rows = np.flatnonzero(found)
+        while len(rows):
+            middle = (low[rows] + high[rows]) / 2
+            side = _signs(flows[rows], middle) * at_low[rows]
+            low[rows[side > 0]], high[rows[side < 0]] = middle[side > 0], middle[side < 0]
+            rows = rows[side != 0]
+            rows = rows[high[rows] - low[rows] > 4 * _EPS * np.maximum(high[rows], 1)]
+    slack = 4 * _EPS * np.maximum(high, 1)
+    least, most = np.rint((low - 1 - slack) * unit), np.rint((high - 1 + slack) * unit)
+    sure = found & (least == most)
+    out[sure] = least[sure] / unit + 0.0
+    for i in np.flatnonzero(~sure & ~(at_low * at_high > 0)):
+        values = exact(i)
+        if found[i] and most[i] == least[i] + 1:
+            at_tie = npv(values, (Decimal(least[i]) + Decimal("0.5")).scaleb(-scale))
+            if at_tie:
+                out[i] = (most[i] if (at_tie > 0) == (at_low[i] > 0) else least[i]) / unit + 0.0
+                continue
         try:
-            rate = float(irr(values, scale))
+            out[i] = float(irr(values, scale)) + 0.0
         except EngineError:
-            rate = None
-        return pd.DataFrame([{**{k: frame[k].iloc[0] for k in keys}, "irr": rate}])
+            pass
+    return out
+
+
+def series_irr(flows: DataFrame, keys: list[str], order: str, amount: str, scale: int = 12) -> DataFrame:
+    """keys, irr of each series; a series is one task's work, and null if it has no rate."""
 
-    schema = ", ".join(f"`{k}` {dict(flows.dtypes)[k]}" for k in keys) + ", irr double"
-    return flows.groupBy(*keys).applyInPandas(solve, schema)
+    @F.pandas_udf("double")
+    def solve(series: pd.Series) -> pd.Series:
+        lengths, out = series.map(len).to_numpy(), np.full(len(series), np.nan)
+        for size in np.unique(lengths):
+            same = np.flatnonzero(lengths == size)
+            for at in range(0, len(same), step := max(1, _CELLS // int(size))):
+                rows = same[at : at + step]
+                matrix = np.stack([series.iloc[i] for i in rows]).astype(float)
+                out[rows] = _rates(matrix, lambda i, rows=rows: [Decimal(str(v)) for v in series.iloc[rows[i]]], scale)
+        return pd.Series(out)
+
+    value = F.col(amount)
+    if dict(flows.dtypes)[amount] == "float":
+        value = value.cast("string").cast("double")  # as its shortest text says
+    flow = F.struct(F.col(order).isNull().alias("last"), F.col(order).alias("order"), value.alias("value"))
+    lists = flows.groupBy(*keys).agg(F.sort_array(F.collect_list(flow)).alias("_flows"))
+    return lists.select(*keys, F.nanvl(solve(F.transform("_flows", lambda x: x["value"])), F.lit(None).cast("double")).alias("irr"))
 
 
 def check_series(flows: DataFrame, keys: list[str], order: str, currency: str) -> DataFrame:

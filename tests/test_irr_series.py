@@ -31,3 +31,37 @@ def test_irr_series_equals_bisection(spark, sf):
         assert abs(got[k] - low) < 1e-5
         rates.add(got[k])
     assert len(rates) > 50 and max(len(v) for v in flows.values()) > 10
+
+
+def test_rates_equal_exact_bisection():
+    """Series by the hundred in doubles, digit by digit as one by one in decimals; roots on bounds, several roots and none."""
+    import random
+    import time
+    from decimal import Decimal
+
+    import numpy as np
+
+    from lumbre.errors import EngineError
+    from lumbre.functions import finance
+
+    def exact(values):
+        try:
+            return float(finance.irr([Decimal(str(v)) for v in values])) + 0.0
+        except EngineError:
+            return None
+
+    rnd = random.Random(5)
+    price = lambda low, high: round(rnd.uniform(low, high), 2)
+    for size in (1, 2, 3, 8, 60, 400):
+        rows = [[-100 * price(900, 2000)] + [price(1000, 400000) for _ in range(size - 1)] for _ in range(30)]
+        rows += [[price(-1000, 1000) for _ in range(size)] for _ in range(10)] + [[float(rnd.choice([-100, 0, 100, 110, 1100])) for _ in range(size)] for _ in range(10)]
+        rows += [[-100.0, *[0.0] * (size - 2), 100.0 * k] for k in (1, 1.5, 11) if size > 1]
+        got = finance._rates(np.array(rows), lambda i: [Decimal(str(v)) for v in rows[i]], 12)
+        assert [None if g != g else repr(float(g)) for g in got] == [None if w is None else repr(w) for w in map(exact, rows)]
+
+    def refuse(i):
+        raise AssertionError("solved one by one")
+
+    began = time.process_time()
+    many = np.array([[-1000.0, *(300.0 + (k * 7 + i * 13) % 90 for i in range(9))] for k in range(90)])
+    assert np.isfinite(finance._rates(many, refuse, 9)).all() and time.process_time() - began < 5
