@@ -65,3 +65,15 @@ def test_rates_equal_exact_bisection():
     began = time.process_time()
     many = np.array([[-1000.0, *(300.0 + (k * 7 + i * 13) % 90 for i in range(9))] for k in range(90)])
     assert np.isfinite(finance._rates(many, refuse, 9)).all() and time.process_time() - began < 5
+
+
+def test_series_come_in_their_order(spark):
+    from decimal import Decimal
+
+    from lumbre.functions import finance
+
+    rows = [(1, 2, 121.0), (1, 1, -100.0), (1, None, 0.0), (2, 1, 5.0), (3, 1, -100.0), (3, 2, 100.0), (None, 1, -1.0), (None, 3, 2.0)]
+    for kind, cast in (("double", float), ("decimal(9,2)", lambda v: Decimal(str(v))), ("float", float)):
+        df = spark.createDataFrame([(k, i, cast(v)) for k, i, v in rows], f"k int, i int, f {kind}")
+        got = {r.k: r.irr for r in finance.series_irr(df, ["k"], "i", "f").collect()}
+        assert got == {1: 0.21, 2: None, 3: 0.0, None: 1.0} and repr(got[3]) == "0.0"
